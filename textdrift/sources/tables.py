@@ -65,30 +65,57 @@ METRICS = ["Perplexity", "Diversity", "HighFreq", "Entropy",
            "Rouge_1", "Rouge_2", "Rouge_L", "METEOR"]
 
 
+def _share(cond) -> "F.Column":
+    return F.avg(F.when(cond, F.lit(1.0)).otherwise(F.lit(0.0)))
+
+
+def lineitem_metric_exprs() -> dict:
+    """The eight stand-in metrics as aggregate expressions.
+
+    Each one is either exact in floating point (shares and means of integers,
+    so every engine gets the same bits) or irrational (a geometric mean), so
+    fixed-precision output never lands on a rounding tie.
+    """
+    return {
+        "Perplexity": F.exp(F.avg(F.ln("l_extendedprice"))),
+        "Diversity": F.countDistinct("l_partkey").cast("double"),
+        "HighFreq": _share(F.col("l_quantity") > 25),
+        "Entropy": F.avg("l_quantity"),
+        "Rouge_1": F.avg(F.round(F.col("l_discount") * 100)) / 10.0,
+        "Rouge_2": F.avg(F.round(F.col("l_tax") * 100)) / 10.0,
+        "Rouge_L": _share(F.col("l_discount") >= 0.05),
+        "METEOR": _share(F.col("l_quantity") <= 20),
+    }
+
+
+LINEITEM_METRIC_SQL = """
+           exp(avg(ln(l_extendedprice))) AS Perplexity,
+           CAST(count(DISTINCT l_partkey) AS DOUBLE) AS Diversity,
+           avg(CASE WHEN l_quantity > 25 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS HighFreq,
+           avg(l_quantity) AS Entropy,
+           avg(round(l_discount * 100)) / 10.0 AS Rouge_1,
+           avg(round(l_tax * 100)) / 10.0 AS Rouge_2,
+           avg(CASE WHEN l_discount >= 0.05 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS Rouge_L,
+           avg(CASE WHEN l_quantity <= 20 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS METEOR
+"""
+
+
 def lineitem_metrics(spark: SparkSession, sf_dir: str, experiment: str | None = None) -> DataFrame:
     """A metric observation table from ``lineitem``.
 
     One row per (Run = return flag, Generation = ship month since 1995-01).
     Eight aggregates stand in for the eight text metrics; their value ranges
     resemble the originals (a distinct count for Diversity, shares in [0, 1]
-    for HighFreq and the overlap scores).  With ``experiment`` the rows are
-    also split by line status and the column ``experiment`` is kept.
+    for HighFreq and the overlap scores, a geometric mean for Perplexity).
+    With ``experiment`` the rows are also split by line status and the column
+    ``experiment`` is kept.
     """
     li = read_table(spark, sf_dir, "lineitem")
     keys = [F.col("l_returnflag").alias("Run"),
             ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).alias("Generation")]
     if experiment:
         keys = [F.col("l_linestatus").alias("experiment")] + keys
-    return li.groupBy(*keys).agg(
-        F.avg("l_extendedprice").alias("Perplexity"),
-        F.countDistinct("l_partkey").cast("double").alias("Diversity"),
-        F.avg(F.when(F.col("l_quantity") > 25, 1.0).otherwise(0.0)).alias("HighFreq"),
-        F.avg("l_quantity").alias("Entropy"),
-        F.avg(F.col("l_discount") * 10).alias("Rouge_1"),
-        F.avg(F.col("l_tax") * 10).alias("Rouge_2"),
-        F.avg(F.when(F.col("l_discount") >= 0.05, 1.0).otherwise(0.0)).alias("Rouge_L"),
-        F.avg(F.when(F.col("l_quantity") <= 20, 1.0).otherwise(0.0)).alias("METEOR"),
-    )
+    return li.groupBy(*keys).agg(*[e.alias(n) for n, e in lineitem_metric_exprs().items()])
 
 
 def lineitem_metrics_sql(experiment: bool = False) -> str:
@@ -98,14 +125,7 @@ def lineitem_metrics_sql(experiment: bool = False) -> str:
     return f"""
     SELECT {exp}l_returnflag AS Run,
            CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS Generation,
-           avg(l_extendedprice) AS Perplexity,
-           CAST(count(DISTINCT l_partkey) AS DOUBLE) AS Diversity,
-           avg(CASE WHEN l_quantity > 25 THEN 1.0 ELSE 0.0 END)::DOUBLE AS HighFreq,
-           avg(l_quantity) AS Entropy,
-           avg(l_discount * 10) AS Rouge_1,
-           avg(l_tax * 10) AS Rouge_2,
-           avg(CASE WHEN l_discount >= 0.05 THEN 1.0 ELSE 0.0 END)::DOUBLE AS Rouge_L,
-           avg(CASE WHEN l_quantity <= 20 THEN 1.0 ELSE 0.0 END)::DOUBLE AS METEOR
+           {LINEITEM_METRIC_SQL}
     FROM lineitem
     GROUP BY {grp}l_returnflag, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1
     """
