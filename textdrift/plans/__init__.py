@@ -1,3 +1,3 @@
 """Registered query plans; importing this package fills the registry."""
 
-from textdrift.plans import analysis_queries, monitor_queries, text_queries  # noqa: F401
+from textdrift.plans import analysis_queries, monitor_queries, overlap_queries, text_queries  # noqa: F401
