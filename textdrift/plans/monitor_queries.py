@@ -52,10 +52,14 @@ def _replay_sql(partition: str | None) -> str:
           FROM s WINDOW r AS (PARTITION BY {partition + ', ' if partition else ''}Run ORDER BY seq),
                         h AS ({pk}ORDER BY seq ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
     c AS (SELECT *, least(seq + 1, 20) AS hist_len,
-                 CASE WHEN seq - pseq <= 19 THEN Diversity / NULLIF(pD, 0) - 1 END
-                     AS Diversity_change,
-                 CASE WHEN seq - pseq <= 19 THEN HighFreq / NULLIF(pH, 0) - 1 END
-                     AS HighFreq_change,
+                 CASE WHEN seq - pseq <= 19 THEN
+                     CASE WHEN pD = 0 THEN CASE WHEN Diversity > 0 THEN 'inf'::DOUBLE
+                                                WHEN Diversity < 0 THEN '-inf'::DOUBLE END
+                          ELSE Diversity / pD - 1 END END AS Diversity_change,
+                 CASE WHEN seq - pseq <= 19 THEN
+                     CASE WHEN pH = 0 THEN CASE WHEN HighFreq > 0 THEN 'inf'::DOUBLE
+                                                WHEN HighFreq < 0 THEN '-inf'::DOUBLE END
+                          ELSE HighFreq / pH - 1 END END AS HighFreq_change,
                  CASE WHEN least(seq + 1, 20) >= 10 THEN
                      (Diversity - my) / (CASE WHEN sy > 0 THEN sy ELSE 1 END)
                      - coalesce(cxy / NULLIF(sx * sy, 0), 0)
@@ -67,8 +71,11 @@ def _replay_sql(partition: str | None) -> str:
     v AS (SELECT *, CASE WHEN warning_count >= {t3} THEN 'severe'
                          WHEN warning_count >= {t2} THEN 'warning'
                          WHEN warning_count >= {t1} THEN 'notice' END AS level FROM g)
-    SELECT {key_sel}seq, Run, Generation, round(Diversity_change, 6) AS Diversity_change,
-           round(HighFreq_change, 6) AS HighFreq_change,
+    SELECT {key_sel}seq, Run, Generation,
+           CASE WHEN isfinite(Diversity_change) THEN round(Diversity_change, 6) END
+               AS Diversity_change,
+           CASE WHEN isfinite(HighFreq_change) THEN round(HighFreq_change, 6) END
+               AS HighFreq_change,
            round(relation_residual, 6) AS relation_residual, warning_count, fired, level,
            coalesce(last_value(level IGNORE NULLS) OVER ({pk}ORDER BY seq
                     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 'normal') AS status
@@ -82,7 +89,10 @@ def _replay(spark, sf_dir, key=None, chunk=100_000):
 
 def _flat(df, with_key=False):
     cols = (["monitor_id"] if with_key else []) + OUT
-    return rounded(df.withColumn("fired", mon.fired_rules(df)).select(*cols))
+    df = df.withColumns({"fired": mon.fired_rules(df),
+                         "Diversity_change": mon.finite("Diversity_change"),
+                         "HighFreq_change": mon.finite("HighFreq_change")})
+    return rounded(df.select(*cols))
 
 
 @query("monitor_replay", _replay_sql(None))
@@ -126,8 +136,10 @@ def q_monitor_stream_by_run(spark, sf_dir):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     res = spark.read.parquet(base + "/out")
-    return rounded(res.select("monitor_id", "seq", "Run", "Generation", "Diversity_change",
-                              "HighFreq_change", "relation_residual", "warning_count",
+    return rounded(res.select("monitor_id", "seq", "Run", "Generation",
+                              mon.finite("Diversity_change").alias("Diversity_change"),
+                              mon.finite("HighFreq_change").alias("HighFreq_change"),
+                              "relation_residual", "warning_count",
                               F.col("fired"), "level", "status"))
 
 

@@ -169,7 +169,10 @@ def monitor_replay(obs: DataFrame, rules: MonitorRules | None = None,
     in_window = (F.col("seq") - F.col("_pseq")) <= W - 1
 
     def change(cur: str, prev: str) -> Column:
-        return F.when(in_window, F.try_divide(F.col(cur), F.col(prev)) - F.lit(1.0))
+        # x / 0 is +-inf (the rule fires), 0 / 0 has no change, as in pandas.
+        c, p = F.col(cur), F.col(prev)
+        inf = F.when(c > 0, F.lit(float("inf"))).when(c < 0, F.lit(float("-inf")))
+        return F.when(in_window, F.when(p == 0, inf).otherwise(c / p - F.lit(1.0)))
 
     def scale(s: str) -> Column:
         return F.when(F.col(s) > 0, F.col(s)).otherwise(F.lit(1.0))
@@ -206,6 +209,11 @@ def monitor_replay(obs: DataFrame, rules: MonitorRules | None = None,
     return x.drop(*drop)
 
 
+def finite(c: str) -> Column:
+    """NULL for an infinite value (for fixed-precision output)."""
+    return F.when(F.abs(F.col(c)) == F.lit(float("inf")), F.lit(None)).otherwise(F.col(c))
+
+
 def fired_rules(df: DataFrame) -> Column:
     """Comma list of fired rule numbers, e.g. ``"2,3"``."""
     return F.concat_ws(",", *[F.when(F.col(f"r{i}"), F.lit(str(i))) for i in range(1, 7)])
@@ -288,7 +296,11 @@ def _evaluate_key(hist: pd.DataFrame, first_new: int, rules: MonitorRules) -> pd
         ok = p >= 0 and s - seqs[p] <= W - 1
 
         def ch(a):
-            return (a[i] / a[p] - 1.0) if ok and a[p] != 0 else None
+            if not ok:
+                return None
+            if a[p] == 0:
+                return None if a[i] == 0 else (np.inf if a[i] > 0 else -np.inf)
+            return a[i] / a[p] - 1.0
         dch, hch = ch(dv), ch(hf)
         res = None
         if hist_len >= 10:
@@ -333,8 +345,11 @@ def _stream_fn(rules: MonitorRules):
             status = st[5]
             base = int(old["seq"].iloc[-1]) + 1 if len(old) else 0
         else:
-            old = pd.DataFrame({"seq": [], "Run": [], "HighFreq": [], "Diversity": [],
-                                "METEOR": []})
+            old = pd.DataFrame({"seq": pd.Series([], dtype="int64"),
+                                "Run": pd.Series([], dtype=new["Run"].dtype),
+                                "HighFreq": pd.Series([], dtype="float64"),
+                                "Diversity": pd.Series([], dtype="float64"),
+                                "METEOR": pd.Series([], dtype="float64")})
             status, base = "normal", 0
         new = new.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
         new["seq"] = np.arange(base, base + len(new), dtype=np.int64)
@@ -351,7 +366,8 @@ def _stream_fn(rules: MonitorRules):
                         r["METEOR"], dch, hch, res, len(fired), ",".join(map(str, fired)),
                         lv, status))
         keep = hist.iloc[-(W - 1):] if W > 1 else hist.iloc[0:0]
-        state.update((keep["seq"].tolist(), keep["Run"].tolist(), keep["HighFreq"].tolist(),
+        state.update(([int(v) for v in keep["seq"]], [int(v) for v in keep["Run"]],
+                      keep["HighFreq"].tolist(),
                       keep["Diversity"].tolist(), keep["METEOR"].tolist(), status))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in STREAM_OUT.split(", ")])
     return fn
