@@ -10,6 +10,7 @@ from textdrift.operators import features as ft
 from textdrift.operators import stats as st
 from textdrift.plans.common import rounded
 from textdrift.plans.registry import query
+from textdrift.session import materialize
 from textdrift.sources.tables import (METRICS, lineitem_metric_exprs, lineitem_metrics,
                                       lineitem_metrics_sql, read_table)
 
@@ -17,15 +18,15 @@ LAGGED = ft.LAGGED
 
 
 def _metrics(spark, sf_dir):
-    return lineitem_metrics(spark, sf_dir)
+    return materialize(lineitem_metrics(spark, sf_dir))
 
 
 def _features(spark, sf_dir):
-    return ft.build_features(_metrics(spark, sf_dir))
+    return materialize(ft.build_features(_metrics(spark, sf_dir)))
 
 
 def _anomalies(spark, sf_dir):
-    return an.detect_anomalies(_features(spark, sf_dir))
+    return materialize(an.detect_anomalies(_features(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------------------

@@ -56,3 +56,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     folder = tempfile.mkdtemp(prefix="textdrift-ckpt-")
     sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
+
+
+def materialize(df):
+    """Write a small derived table (metric rows, feature rows) once to the
+    shared checkpoint folder and cut its lineage, so the many one-row
+    statistics computed from it do not re-read the source tables."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
