@@ -377,3 +377,43 @@ def q_collapsed_split(spark, sf_dir):
                                 F.avg("METEOR").alias("mean_meteor")).withColumn(
         "is_collapsed", F.lit(v))
     return rounded(part(low, True).unionByName(part(high, False)).filter(F.col("n_rows") > 0))
+
+
+# ---------------------------------------------------------------------------
+# Isolation forest (no SQL form: property tests in tests/test_forest.py)
+# ---------------------------------------------------------------------------
+
+SCALED = [f"{c}_scaled" for c in METRICS]
+
+
+def _forest_labels(spark, sf_dir):
+    from textdrift.operators.forest import isolation_forest
+    f = _features(spark, sf_dir).withColumn("row_key", F.concat_ws(":", "Run", "Generation"))
+    return isolation_forest(f, SCALED, "row_key", keep=["Run", "Generation"])
+
+
+@query("isolation_forest")
+def q_isolation_forest(spark, sf_dir):
+    """M4: isolation-forest labels (-1 / 1) of the feature rows."""
+    return rounded(_forest_labels(spark, sf_dir).select("Run", "Generation", "score",
+                                                        "anomaly_score"))
+
+
+@query("detect_anomalies_full")
+def q_detect_anomalies_full(spark, sf_dir):
+    """M7: isolation forest OR change OR relation anomalies."""
+    labels = _forest_labels(spark, sf_dir)
+    full = an.detect_anomalies(_features(spark, sf_dir), forest_labels=labels)
+    return full.select(*_DETECT_OUT)
+
+
+@query("embedding_outliers")
+def q_embedding_outliers(spark, sf_dir):
+    """M4 on the 64-dimensional ``embeddings`` table: the top 10 % by
+    isolation score get -1."""
+    from textdrift.operators.forest import isolation_forest
+    emb = read_table(spark, sf_dir, "embeddings")
+    dims = [F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)]
+    x = emb.select("vec_id", "label", *dims)
+    out = isolation_forest(x, [f"e{i}" for i in range(64)], "vec_id", keep=["label"])
+    return rounded(out.select("vec_id", "label", "score", "anomaly_score"))
