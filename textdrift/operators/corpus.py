@@ -84,9 +84,9 @@ def pack_blocks(records: DataFrame, block: int = 64, batch_size: int = 1000,
 def bootstrap_weights(df: DataFrame, replicates: int, id_col: str, seed: int = 0) -> DataFrame:
     """Sampling with replacement as Poisson(1) multiplicities per
     (row, replicate), drawn from a hash (inverse CDF), one explode per row:
-    ``(replicate, id, weight)`` for weights > 0."""
+    the row's columns plus ``replicate`` and ``weight`` (> 0 only)."""
     reps = F.sequence(F.lit(1), F.lit(replicates))
-    x = df.select(id_col, F.explode(reps).alias("replicate"))
+    x = df.select("*", F.explode(reps).alias("replicate"))
     u = (hash_u32(id_col, "replicate", seed=seed).cast("double") + 0.5) / 4294967296.0
     # inverse CDF of Poisson(1): smallest k with F(k) >= u (k <= 12 covers u < 1 - 1e-10)
     cdf, p, k_expr = 0.0, 0.36787944117144233, None

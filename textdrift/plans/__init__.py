@@ -1,4 +1,4 @@
 """Registered query plans; importing this package fills the registry."""
 
 from textdrift.plans import (analysis_queries, corpus_queries, monitor_queries,  # noqa: F401
-                             overlap_queries, text_queries)
+                             overlap_queries, pathmodel_queries, text_queries)
