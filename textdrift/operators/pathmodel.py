@@ -5,7 +5,8 @@ Spark computes the sufficient statistics in one aggregation each: the
 covariance matrix of the whole table, of every run (``groupBy``), of every
 bootstrap replicate (Poisson weights, one shuffle for all replicates) and of
 every fold.  Fits run on p x p matrices: on the driver for one matrix, in
-``applyInPandas`` for many.  No row-level data reaches Python.
+``mapInPandas`` (one fit per row of sums) for many.  No row-level data
+reaches Python.
 
 Model conventions: RAM notation, first loading of each latent fixed to 1,
 variances and covariances of exogenous observed variables fixed to their
@@ -147,9 +148,10 @@ def _discrepancy(Sig: np.ndarray, S: np.ndarray) -> float:
         L = np.linalg.cholesky(Sig)
     except np.linalg.LinAlgError:
         return np.inf
-    if np.linalg.cond(Sig) > 1e12:
+    d = np.diag(L)
+    if d.min() ** 2 < 1e-12 * d.max() ** 2:   # numerically singular
         return np.inf
-    logdet = 2.0 * np.sum(np.log(np.diag(L)))
+    logdet = 2.0 * np.sum(np.log(d))
     return logdet + np.trace(S @ np.linalg.inv(Sig)) - np.linalg.slogdet(S)[1] - S.shape[0]
 
 
@@ -375,9 +377,9 @@ def effect_decomposition(res: dict) -> list[tuple]:
     b = path_value(res, "SQ", "Diversity_scaled")
     c = path_value(res, "SQ", "HighFreq_scaled")
     c = 0.0 if math.isnan(c) else c
-    return [("direct", "HighFreq_scaled -> SQ", c),
-            ("indirect", "HighFreq_scaled -> Diversity_scaled -> SQ", a * b),
-            ("total", "HighFreq_scaled -> SQ", c + a * b)]
+    return [("direct", "HighFreq_scaled -> SQ", float(c)),
+            ("indirect", "HighFreq_scaled -> Diversity_scaled -> SQ", float(a * b)),
+            ("total", "HighFreq_scaled -> SQ", float(c + a * b))]
 
 
 # ---------------------------------------------------------------------------
@@ -409,40 +411,52 @@ PATH_SCHEMA = "key string, n double, converged boolean, " + ", ".join(
 
 
 def _fit_rows(model: PathModel, cols: Sequence[str], key_col: str, start=None):
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, row in pdf.iterrows():
-            S, n = _cov_from_sums(row, cols)
-            res = fit_moments(model, S, int(round(n)), list(cols), start=start)
-            out.append((str(row[key_col]), n, res["converged"],
-                        *[path_value(res, y, x) for y, x in KEY_PATHS]))
-        return pd.DataFrame(out, columns=[c.split()[0].strip("`") for c in PATH_SCHEMA.split(", ")])
+    names = [c.split()[0].strip("`") for c in PATH_SCHEMA.split(", ")]
+
+    def fn(batches):
+        for pdf in batches:
+            out = []
+            for _, row in pdf.iterrows():
+                S, n = _cov_from_sums(row, cols)
+                res = fit_moments(model, S, int(round(n)), list(cols), start=start, max_iter=200)
+                out.append((str(row[key_col]), float(n), bool(res["converged"]),
+                            *[path_value(res, y, x) for y, x in KEY_PATHS]))
+            yield pd.DataFrame(out, columns=names)
     return fn
 
 
+def _fit_each(sums: DataFrame, model: PathModel, cols: Sequence[str], start) -> DataFrame:
+    """One fit per row of sums.  An explicit ``repartition(n, key)`` (which
+    adaptive execution does not merge) spreads the CPU-bound fits over the
+    cluster; each fit sees one row of p x p sums."""
+    n = max(1, sums.sparkSession.sparkContext.defaultParallelism * 2)
+    return sums.repartition(n, "key").mapInPandas(_fit_rows(model, cols, "key", start),
+                                                  PATH_SCHEMA)
+
+
 def fit_by_group(df: DataFrame, group: str = "Run", model: PathModel = BASE_MODEL,
                  min_rows: int = 10) -> DataFrame:
     """M13 + P12: one fit per group with more than ``min_rows`` rows; the
     sums of every group come from one aggregation, each fit runs in
-    ``applyInPandas`` on one row of sums."""
+    ``mapInPandas`` on one row of sums."""
     cols = model.observed
     start = fit_path_model(df, model)["theta"]
     sums = df.groupBy(group).agg(*_sum_aggs(cols)).filter(F.col("sw") > min_rows)
     sums = sums.withColumn("key", F.col(group).cast("string"))
-    return sums.groupBy("key").applyInPandas(_fit_rows(model, cols, "key", start), PATH_SCHEMA)
+    return _fit_each(sums, model, cols, start)
 
 
 def bootstrap_path_model(df: DataFrame, id_col: str, replicates: int = 100,
                          model: PathModel = BASE_MODEL, seed: int = 0) -> DataFrame:
     """M15 + L6: Poisson-weighted replicates; all replicate moments come from
     one shuffle (``groupBy(replicate)`` over weighted sums), each replicate
-    is fitted in ``applyInPandas``.  Output: one row per replicate."""
+    is fitted in ``mapInPandas``.  Output: one row per replicate."""
     cols = model.observed
     start = fit_path_model(df, model)["theta"]
     w = bootstrap_weights(df.select(id_col, *cols), replicates, id_col, seed)
     sums = w.groupBy("replicate").agg(*_sum_aggs(cols, F.col("weight")))
     sums = sums.withColumn("key", F.col("replicate").cast("string"))
-    return sums.groupBy("key").applyInPandas(_fit_rows(model, cols, "key", start), PATH_SCHEMA) \
+    return _fit_each(sums, model, cols, start) \
         .withColumnRenamed("key", "replicate")
 
 
@@ -501,13 +515,14 @@ def cross_validate(df: DataFrame, id_col: str, k: int = 3, seed: int = 42,
 
 def findings(res: dict, ci: DataFrame) -> DataFrame:
     """Statements with their value and whether they hold."""
-    eff = {e[0]: e[2] for e in effect_decomposition(res)}
+    eff = {e[0]: float(e[2]) for e in effect_decomposition(res)}
+    cfi = float(res["fit"]["cfi"])
     spark = ci.sparkSession
     base = spark.createDataFrame(
         [("indirect effect larger than direct effect", abs(eff["indirect"]),
-          abs(eff["indirect"]) > abs(eff["direct"])),
-         ("total effect of HighFreq on SQ is positive", eff["total"], eff["total"] > 0),
-         ("model fit acceptable (CFI >= 0.9)", res["fit"]["cfi"], res["fit"]["cfi"] >= 0.9)],
+          bool(abs(eff["indirect"]) > abs(eff["direct"]))),
+         ("total effect of HighFreq on SQ is positive", eff["total"], bool(eff["total"] > 0)),
+         ("model fit acceptable (CFI >= 0.9)", cfi, bool(cfi >= 0.9))],
         "finding string, value double, holds boolean")
     boot = ci.select(F.concat(F.lit("bootstrap path significant: "), F.col("path")).alias("finding"),
                      F.col("mean").alias("value"), F.col("significant").alias("holds"))
