@@ -45,11 +45,17 @@ def ngrams(tokens, n: int, sep: str = " ") -> Column:
         return t
     grams = F.transform(
         F.sequence(F.lit(1), F.size(t) - F.lit(n - 1)),
-        lambda i: F.array_join(F.slice(t, i, n), sep),
+        lambda i: F.concat_ws(sep, *[F.element_at(t, i + j) for j in range(n)]),
     )
     return F.when(F.size(t) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
+def last_token(tokens) -> Column:
+    """The last token as a one-element array (empty for an empty array)."""
+    t = _col(tokens)
+    return F.when(F.size(t) >= 1, F.slice(t, -1, 1)).otherwise(F.array().cast("array<string>"))
+
+
 def heads(tokens) -> Column:
     """Every token that has a successor: the contexts of the bigrams."""
     t = _col(tokens)

@@ -19,9 +19,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textdrift.functions.text import heads, ngrams, tokenize
+from textdrift.functions.text import heads, last_token, ngrams, tokenize
 
-TOKEN, NGRAM, BIGRAM, CONTEXT = 0, 1, 2, 3
+TOKEN, NGRAM, BIGRAM, CONTEXT, LAST = 0, 1, 2, 3, 4
 
 
 def _tagger(kind: int):
@@ -39,6 +39,8 @@ def _items(tokens: Column, kinds: Sequence[int], n: int) -> Column:
             arr = ngrams(tokens, n)
         elif kind == BIGRAM:
             arr = ngrams(tokens, 2)
+        elif kind == LAST:
+            arr = last_token(tokens)
         else:
             arr = heads(tokens)
         parts.append(F.transform(arr, _tagger(kind)))
@@ -153,43 +155,55 @@ def token_entropy(records: DataFrame, group_cols: Sequence[str],
 def bigram_model(reference: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Counts of a bigram model trained on ``reference`` texts.
 
-    Returns ``(table, vocab)``: ``table(kind, item, tc)`` holds bigram counts
-    (kind 2, item ``"v w"``) and context counts (kind 3, item ``v``: how often
-    ``v`` starts a bigram); ``vocab`` is a one-row frame with ``V`` = distinct
-    reference tokens + 1 (an unknown-word slot).
+    Returns ``(table, vocab)``.  ``table(kind, item, tc)`` holds the bigram
+    counts under kind BIGRAM (item ``"v w"``) and the context counts (how
+    often ``v`` starts a bigram) under kinds TOKEN and LAST, so that they join
+    directly to the token and last-token rows of the scored texts.  ``vocab``
+    is a one-row frame with ``V`` = distinct reference tokens + 1 (an
+    unknown-word slot).
     """
     counts = item_counts(reference, [], text_col, kinds=(TOKEN, BIGRAM, CONTEXT))
-    table = counts.filter(F.col("kind") != TOKEN).select("kind", "item", F.col("c").alias("tc"))
+    bi = counts.filter(F.col("kind") == BIGRAM).select("kind", "item", F.col("c").alias("tc"))
+    ctx = counts.filter(F.col("kind") == CONTEXT).select("item", F.col("c").alias("tc"))
+    table = bi.unionByName(ctx.withColumn("kind", F.lit(TOKEN))).unionByName(
+        ctx.withColumn("kind", F.lit(LAST)))
     vocab = counts.filter(F.col("kind") == TOKEN).agg((F.count(F.lit(1)) + 1).alias("V"))
     return table, vocab
 
 
-def _log_prob_terms(counts: DataFrame, model: tuple[DataFrame, DataFrame], k: float) -> DataFrame:
-    """Attach ``c * log(smoothed count)`` to bigram and context rows.
+# The scored texts need token, bigram and last-token items: the context count
+# of v in a group is its token count minus the texts that end with v.
+PERPLEXITY_KINDS = (TOKEN, BIGRAM, LAST)
 
-    log P(w | v) = log(c(v w) + k) - log(c(v) + k V): bigram rows carry the
-    first term, context rows the second, so neither side of the join is
-    keyed by a hot context word (the count table has at most one row per
-    group and item).
-    """
-    table, vocab = model
-    rows = counts.filter(F.col("kind").isin(BIGRAM, CONTEXT))
-    joined = rows.join(table, on=["kind", "item"], how="left").crossJoin(F.broadcast(vocab))
+
+def perplexity_aggs(k: float) -> list:
+    """Aggregates over count rows joined to the model (``tc``, ``V``):
+    ``_nb`` bigrams, ``_num`` = sum c log(c(v w) + k), ``_den`` = sum over
+    contexts c log(c(v) + k V)."""
+    kind, c = F.col("kind"), F.col("c").cast("double")
     tc = F.coalesce(F.col("tc"), F.lit(0)).cast("double")
-    term = F.when(F.col("kind") == BIGRAM, F.log(tc + F.lit(k))).otherwise(
-        F.log(tc + F.lit(k) * F.col("V")))
-    return joined.withColumn("term", F.col("c") * term)
+    ctx_term = c * F.log(tc + F.lit(k) * F.col("V"))
+    return [
+        F.sum(F.when(kind == BIGRAM, F.col("c"))).alias("_nb"),
+        F.sum(F.when(kind == BIGRAM, c * F.log(tc + F.lit(k)))).alias("_num"),
+        (F.coalesce(F.sum(F.when(kind == TOKEN, ctx_term)), F.lit(0.0))
+         - F.coalesce(F.sum(F.when(kind == LAST, ctx_term)), F.lit(0.0))).alias("_den"),
+    ]
 
 
-def _perplexity_agg(terms: DataFrame, keys: Sequence[str]) -> DataFrame:
-    is_bi = F.col("kind") == BIGRAM
-    agg = terms.groupBy(*keys).agg(
-        F.sum(F.when(is_bi, F.col("c"))).alias("n_bigrams"),
-        F.sum(F.when(is_bi, F.col("term"))).alias("_num"),
-        F.sum(F.when(~is_bi, F.col("term"))).alias("_den"),
-    )
-    loss = (F.col("_den") - F.col("_num")) / F.col("n_bigrams")
-    return agg.select(*keys, "n_bigrams", F.when(F.col("n_bigrams") > 0, loss).alias("loss"))
+def _log_prob_agg(counts: DataFrame, model: tuple[DataFrame, DataFrame], k: float,
+                  keys: Sequence[str]) -> DataFrame:
+    """Per key: ``n_bigrams`` and mean negative log-likelihood ``loss``.
+
+    log P(w | v) = log(c(v w) + k) - log(c(v) + k V): bigram rows carry the
+    first term, token and last-token rows the second, so no join key is a hot
+    context word (the count table has one row per key and item)."""
+    table, vocab = model
+    joined = counts.join(table, on=["kind", "item"], how="left").crossJoin(F.broadcast(vocab))
+    agg = joined.groupBy(*keys).agg(*perplexity_aggs(k))
+    loss = (F.col("_den") - F.col("_num")) / F.col("_nb")
+    return agg.select(*keys, F.col("_nb").alias("n_bigrams"),
+                      F.when(F.col("_nb") > 0, loss).alias("loss"))
 
 
 def ngram_perplexity(records: DataFrame, reference: DataFrame, group_cols: Sequence[str],
@@ -199,9 +213,8 @@ def ngram_perplexity(records: DataFrame, reference: DataFrame, group_cols: Seque
     ``reference``: ``exp(-(1/N) sum log P(w_i | w_{i-1}))`` over the N
     bigrams of the group's texts."""
     g = list(group_cols)
-    counts = item_counts(records, g, text_col, kinds=(BIGRAM, CONTEXT))
-    model = bigram_model(reference, ref_text_col)
-    res = _perplexity_agg(_log_prob_terms(counts, model, k), g)
+    counts = item_counts(records, g, text_col, kinds=PERPLEXITY_KINDS)
+    res = _log_prob_agg(counts, bigram_model(reference, ref_text_col), k, g)
     return res.select(*g, "n_bigrams", F.exp("loss").alias("perplexity"))
 
 
@@ -211,9 +224,8 @@ def text_losses(records: DataFrame, reference: DataFrame, id_col: str = "id",
     """Per-text mean negative log-likelihood ``loss`` and bigram count
     ``n_tokens``: the ``(loss, length)`` table that A5/A6 aggregate."""
     keys = [id_col, *keep_cols]
-    counts = item_counts(records, keys, text_col, kinds=(BIGRAM, CONTEXT))
-    model = bigram_model(reference, ref_text_col)
-    res = _perplexity_agg(_log_prob_terms(counts, model, k), keys)
+    counts = item_counts(records, keys, text_col, kinds=PERPLEXITY_KINDS)
+    res = _log_prob_agg(counts, bigram_model(reference, ref_text_col), k, keys)
     return res.select(*keys, F.col("n_bigrams").alias("n_tokens"), "loss")
 
 

@@ -2,7 +2,7 @@
 
 The reference scores one (generation, run) per process and appends a CSV
 row.  Here all groups are scored in one job: the texts are tokenised once,
-one aggregation counts tokens, 3-grams, bigrams and bigram contexts per
+one aggregation counts tokens, 3-grams, bigrams and last tokens per
 group, and one more aggregation over that count table (joined to the group
 totals and to the bigram model) yields every metric.
 """
@@ -14,8 +14,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textdrift.operators.diversity import (BIGRAM, CONTEXT, NGRAM, TOKEN, bigram_model,
-                                           high_freq_expr, item_counts, with_group_totals)
+from textdrift.operators.diversity import (BIGRAM, LAST, NGRAM, TOKEN, bigram_model,
+                                           high_freq_expr, item_counts, perplexity_aggs,
+                                           with_group_totals)
 
 
 def score_corpus(records: DataFrame, reference: DataFrame | None = None,
@@ -26,7 +27,7 @@ def score_corpus(records: DataFrame, reference: DataFrame | None = None,
     ``high_freq_ratio``, ``entropy`` and, with a ``reference`` corpus, the
     add-k bigram ``perplexity``."""
     g = list(group_cols)
-    kinds = (TOKEN, NGRAM, BIGRAM, CONTEXT) if reference is not None else (TOKEN, NGRAM)
+    kinds = (TOKEN, NGRAM, BIGRAM, LAST) if reference is not None else (TOKEN, NGRAM)
     counts = item_counts(records, g, text_col, kinds=kinds, n=n)
     x = with_group_totals(counts, g)
     kind, c = F.col("kind"), F.col("c")
@@ -41,12 +42,7 @@ def score_corpus(records: DataFrame, reference: DataFrame | None = None,
     if reference is not None:
         table, vocab = bigram_model(reference, ref_text_col)
         x = x.join(table, on=["kind", "item"], how="left").crossJoin(F.broadcast(vocab))
-        tc = F.coalesce(F.col("tc"), F.lit(0)).cast("double")
-        aggs += [
-            F.sum(F.when(kind == BIGRAM, c)).alias("_nb"),
-            F.sum(F.when(kind == BIGRAM, cd * F.log(tc + F.lit(k)))).alias("_num"),
-            F.sum(F.when(kind == CONTEXT, cd * F.log(tc + F.lit(k) * F.col("V")))).alias("_den"),
-        ]
+        aggs += perplexity_aggs(k)
     agg = x.groupBy(*g).agg(*aggs)
     nt = F.col("n_tokens").cast("double")
     cols = [*g, F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"), "vocabulary", "diversity",
