@@ -97,3 +97,12 @@ def test_dispersion_matches_pandas(spark):
     assert math.isclose(got.Perplexity_STD, v.std())
     assert math.isclose(got.Perplexity_IQR, v.quantile(0.75) - v.quantile(0.25))
     assert math.isclose(got.Perplexity_CV, v.std() / v.mean())
+
+
+def test_exact_quantile_matches_numpy(spark):
+    rng = np.random.default_rng(5)
+    vals = rng.normal(size=1001).round(3)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(vals)], "id long, x double")
+    for q in (0.1, 0.5, 0.9, 0.975):
+        got = st.exact_quantile(df, "x", q, "id").first().quantile
+        assert math.isclose(got, float(np.quantile(vals, q)), rel_tol=1e-12, abs_tol=1e-12)

@@ -10,7 +10,8 @@
    set by the parameters alone, so it is broadcast; ``mapInPandas`` walks every
    row through every tree in numpy batches.
 4. Labels: rows whose score is above the ``1 - contamination`` quantile of
-   all scores get -1 (anomaly), others 1.
+   all scores get -1 (anomaly), others 1.  The exact quantile is read from
+   distributed ranks (no single aggregation buffer holds all scores).
 """
 
 from __future__ import annotations
@@ -134,8 +135,14 @@ def isolation_forest(df: DataFrame, features: Sequence[str], id_col: str,
                        + ["path_length double", "score double"])
     scored = df.mapInPandas(_scorer(forest, features, psi_eff, keep), schema)
     q = 1.0 - contamination
-    cut = F.percentile("score", q) if exact_quantile else F.percentile_approx("score", q, 100000)
-    thr = scored.agg(cut.cast("double").alias("_cut"))
+    if exact_quantile:
+        # distributed exact quantile: ranks from a range-partitioned sort
+        from textdrift.operators.stats import exact_quantile as _exact
+        from textdrift.session import materialize
+        scored = materialize(scored)
+        thr = _exact(scored, "score", q, id_col).select(F.col("quantile").alias("_cut"))
+    else:
+        thr = scored.agg(F.percentile_approx("score", q, 100000).cast("double").alias("_cut"))
     out = scored.crossJoin(F.broadcast(thr))
     return out.withColumn("anomaly_score", F.when(F.col("score") > F.col("_cut"), -1).otherwise(1)) \
         .drop("_cut")

@@ -176,3 +176,24 @@ def coefficients_long(df: DataFrame, ids: Sequence[str], values: Sequence[str],
                       name: str = "path", value: str = "value") -> DataFrame:
     """Wide -> long (``unpivot``)."""
     return df.unpivot(list(ids), list(values), name, value)
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, tiebreak: str) -> DataFrame:
+    """Exact linear-interpolated quantile of a large column without holding
+    all values in one aggregation buffer: rows are ranked by a range-
+    partitioned sort (distributed sequence numbers), then the two rows around
+    position ``q * (n - 1)`` are read.  One row ``(quantile)``."""
+    from textdrift.streaming.monitor import assign_sequence
+    ranked = assign_sequence(df.select(col, tiebreak).filter(F.col(col).isNotNull()),
+                             [col, tiebreak])
+    n = ranked.count()
+    if n == 0:
+        return df.sparkSession.createDataFrame([(None,)], "quantile double")
+    pos = q * (n - 1)
+    lo, hi = int(pos // 1), int(-(-pos // 1))
+    two = ranked.filter(F.col("seq").isin(lo, hi)).agg(
+        F.min(F.when(F.col("seq") == lo, F.col(col))).alias("_lo"),
+        F.min(F.when(F.col("seq") == hi, F.col(col))).alias("_hi"))
+    frac = float(pos - lo)
+    return two.select((F.col("_lo") + F.lit(frac) * (F.col("_hi") - F.col("_lo")))
+                      .cast("double").alias("quantile"))
