@@ -8,8 +8,9 @@ aggregate followed by a shuffle on the full key, so a hot token such as
 "the" is combined inside each task before it is shuffled and a group that
 holds a third of all rows is still spread over all reducers by its items.
 Everything after that works on the count table, whose size is bounded by
-the vocabulary, not by the number of rows.  Spark reuses the shuffle of the
-count table for every metric that reads it.
+the vocabulary, not by the number of rows.  The group totals that the
+high-frequency ratio needs come from per-text token counts (a map-side sum,
+no explode), so the count table is read once.
 """
 
 from __future__ import annotations
@@ -82,7 +83,7 @@ def token_stats(counts: DataFrame, group_cols: Sequence[str]) -> DataFrame:
 
 
 def high_freq_from_counts(counts: DataFrame, group_cols: Sequence[str],
-                          threshold: float = 0.01) -> DataFrame:
+                          threshold: float = 0.01, totals: DataFrame | None = None) -> DataFrame:
     """A3 on a count table: share of token occurrences whose relative
     frequency is strictly above ``threshold``.
 
@@ -92,14 +93,27 @@ def high_freq_from_counts(counts: DataFrame, group_cols: Sequence[str],
     both reads of ``counts`` identical, so their shuffle is reused.
     """
     g = list(group_cols)
-    joined = with_group_totals(counts, g)
+    joined = with_group_totals(counts, g, totals)
     return joined.groupBy(*g).agg(high_freq_expr(threshold).alias("high_freq_ratio"))
 
 
-def with_group_totals(counts: DataFrame, group_cols: Sequence[str]) -> DataFrame:
-    """Attach ``_n`` = token occurrences of the row's group."""
+def group_totals(records: DataFrame, group_cols: Sequence[str],
+                 text_col: str = "generated_text") -> DataFrame:
+    """``(group..., _n)``: token occurrences per group, summed from the
+    token-array size of each text (partial aggregation, one row per group
+    leaves each task)."""
     g = list(group_cols)
-    totals = counts.groupBy(*g).agg(F.sum(F.when(F.col("kind") == TOKEN, F.col("c"))).alias("_n"))
+    return records.groupBy(*g).agg(F.sum(F.size(tokenize(text_col))).alias("_n"))
+
+
+def with_group_totals(counts: DataFrame, group_cols: Sequence[str],
+                      totals: DataFrame | None = None) -> DataFrame:
+    """Attach ``_n`` = token occurrences of the row's group (from
+    :func:`group_totals` when given, else summed from the count table)."""
+    g = list(group_cols)
+    if totals is None:
+        totals = counts.groupBy(*g).agg(
+            F.sum(F.when(F.col("kind") == TOKEN, F.col("c"))).alias("_n"))
     if not g:
         return counts.crossJoin(F.broadcast(totals))
     # A null-safe condition: Catalyst infers no IS NOT NULL filter from it,
@@ -138,7 +152,8 @@ def high_freq_ratio(records: DataFrame, group_cols: Sequence[str], threshold: fl
                     text_col: str = "generated_text") -> DataFrame:
     """A3: high-frequency ratio per group."""
     counts = item_counts(records, group_cols, text_col, kinds=(TOKEN,))
-    return high_freq_from_counts(counts, group_cols, threshold)
+    totals = group_totals(records, group_cols, text_col)
+    return high_freq_from_counts(counts, group_cols, threshold, totals)
 
 
 def token_entropy(records: DataFrame, group_cols: Sequence[str],

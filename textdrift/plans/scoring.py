@@ -1,7 +1,7 @@
 """Score a corpus: one metric row per (run, generation) (A10, flagship).
 
 The reference scores one (generation, run) per process and appends a CSV
-row.  Here all groups are scored in one job: the texts are tokenised once,
+row.  Here all groups are scored together: the texts are tokenised once,
 one aggregation counts tokens, 3-grams, bigrams and last tokens per
 group, and one more aggregation over that count table (joined to the group
 totals and to the bigram model) yields every metric.
@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textdrift.operators.diversity import (BIGRAM, LAST, NGRAM, TOKEN, bigram_model,
-                                           high_freq_expr, item_counts, perplexity_aggs,
-                                           with_group_totals)
+                                           group_totals, high_freq_expr, item_counts,
+                                           perplexity_aggs, with_group_totals)
 
 
 def score_corpus(records: DataFrame, reference: DataFrame | None = None,
@@ -29,7 +29,8 @@ def score_corpus(records: DataFrame, reference: DataFrame | None = None,
     g = list(group_cols)
     kinds = (TOKEN, NGRAM, BIGRAM, LAST) if reference is not None else (TOKEN, NGRAM)
     counts = item_counts(records, g, text_col, kinds=kinds, n=n)
-    x = with_group_totals(counts, g)
+    # group totals from per-text token counts: the count table is read once
+    x = with_group_totals(counts, g, group_totals(records, g, text_col))
     kind, c = F.col("kind"), F.col("c")
     cd = c.cast("double")
     aggs = [

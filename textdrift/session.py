@@ -59,8 +59,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df):
-    """Write a small derived table (metric rows, feature rows) once to the
-    shared checkpoint folder and cut its lineage, so the many one-row
-    statistics computed from it do not re-read the source tables."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate table once as parquet into the shared
+    checkpoint folder and read it back: the lineage is cut (a lost executor
+    re-reads the files instead of recomputing the inputs) and every later
+    read is a columnar scan instead of a recomputation."""
+    import uuid
+    spark = df.sparkSession
+    path = checkpoint_dir(spark).rstrip("/") + f"/table-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
