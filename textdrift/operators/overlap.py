@@ -84,7 +84,8 @@ def pair_tokens(pairs: DataFrame, keys: Sequence[str], stem: bool = False) -> Da
         F.struct(F.lit("g").alias("side"), rouge_tokens("generated_text").alias("toks")),
         F.struct(F.lit("r").alias("side"), rouge_tokens("input_text").alias("toks")))
     s = pairs.select(*k, F.explode(sides).alias("s")).select(*k, "s.side", "s.toks")
-    long = s.select(*k, "side", F.posexplode("toks").alias("pos", "tok"))
+    # outer: a pair whose texts have no tokens keeps a (NULL) row
+    long = s.select(*k, "side", F.posexplode_outer("toks").alias("pos", "tok"))
     if stem:
         vocab = stem_vocabulary(long)
         long = (long.join(vocab, on="tok", how="left")
@@ -111,7 +112,8 @@ def rouge_n(pairs: DataFrame, keys: Sequence[str], ns: Sequence[int] = (1, 2),
     """
     k = list(keys)
     arr = token_arrays(pairs, k, stem)
-    tagged = []
+    tagged = [F.array(F.struct(F.lit("m").alias("side"), F.lit(0).alias("n"),
+                               F.lit("").alias("gram")))]   # one marker: every pair has a row
     for side, col in (("g", "gen_toks"), ("r", "ref_toks")):
         for n in ns:
             tagged.append(F.transform(ngrams(F.col(col), n), _gram_tagger(side, n)))
@@ -120,21 +122,22 @@ def rouge_n(pairs: DataFrame, keys: Sequence[str], ns: Sequence[int] = (1, 2),
     counts = items.groupBy(*k, "n", "gram").agg(
         F.count(F.when(F.col("side") == "g", 1)).alias("cg"),
         F.count(F.when(F.col("side") == "r", 1)).alias("cr"))
-    per_n = counts.groupBy(*k).agg(*[
-        F.sum(F.when(F.col("n") == n, F.least("cg", "cr"))).alias(f"ov{n}") for n in ns])
-    lens = arr.select(*k, F.size("gen_toks").alias("_lg"), F.size("ref_toks").alias("_lr"))
-    # every pair, including pairs with an empty side, gets a row
-    out = lens.join(per_n, on=k, how="left")
+    # n-gram totals per side are sums of the same counts: no length join
+    aggs = []
+    for n in ns:
+        at_n = F.col("n") == n
+        aggs += [F.coalesce(F.sum(F.when(at_n, F.least("cg", "cr"))), F.lit(0)).alias(f"ov{n}"),
+                 F.coalesce(F.sum(F.when(at_n, F.col("cg"))), F.lit(0)).alias(f"tg{n}"),
+                 F.coalesce(F.sum(F.when(at_n, F.col("cr"))), F.lit(0)).alias(f"tr{n}")]
+    per_pair = counts.groupBy(*k).agg(*aggs)
     cols = []
     for n in ns:
-        ov = F.coalesce(F.col(f"ov{n}"), F.lit(0))
-        tg = F.greatest(F.col("_lg") - (n - 1), F.lit(0))
-        tr = F.greatest(F.col("_lr") - (n - 1), F.lit(0))
+        ov, tg, tr = F.col(f"ov{n}"), F.col(f"tg{n}"), F.col(f"tr{n}")
         valid = (tg > 0) & (tr > 0)
         p = F.when(valid, ov / tg).otherwise(F.lit(0.0))
         r = F.when(valid, ov / tr).otherwise(F.lit(0.0))
         cols += [p.alias(f"rouge{n}_p"), r.alias(f"rouge{n}_r"), f1(p, r).alias(f"rouge{n}_f")]
-    return out.select(*k, *cols)
+    return per_pair.select(*k, *cols)
 
 
 def _gram_tagger(side: str, n: int):
@@ -159,15 +162,13 @@ def token_arrays(pairs: DataFrame, keys: Sequence[str], stem: bool = False) -> D
         return pairs.select(*k, rouge_tokens("generated_text").alias("gen_toks"),
                             rouge_tokens("input_text").alias("ref_toks"))
     long = pair_tokens(pairs, k, stem=True)
-    arr = (long.groupBy(*k, "side").agg(F.sort_array(F.collect_list(F.struct("pos", "tok")))
-                                        .alias("a"))
-           .withColumn("a", F.col("a.tok")))
-    g = arr.filter(F.col("side") == "g").select(*k, F.col("a").alias("gen_toks"))
-    r = arr.filter(F.col("side") == "r").select(*k, F.col("a").alias("ref_toks"))
-    empty = F.array().cast("array<string>")
-    return (pairs.select(*k).join(g, on=k, how="left").join(r, on=k, how="left")
-            .select(*k, F.coalesce("gen_toks", empty).alias("gen_toks"),
-                    F.coalesce("ref_toks", empty).alias("ref_toks")))
+
+    def side_array(side: str):
+        item = F.when((F.col("side") == side) & F.col("tok").isNotNull(), F.struct("pos", "tok"))
+        return F.sort_array(F.collect_list(item))
+    # one aggregation builds both ordered arrays of a pair
+    arr = long.groupBy(*k).agg(side_array("g").alias("g"), side_array("r").alias("r"))
+    return arr.select(*k, F.col("g.tok").alias("gen_toks"), F.col("r.tok").alias("ref_toks"))
 
 
 def rouge_l(pairs: DataFrame, keys: Sequence[str], stem: bool = False) -> DataFrame:
