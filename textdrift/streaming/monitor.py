@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from textdrift.session import checkpoint_dir
 from textdrift.streaming.rules import (COMPOSITE, COMPOSITE_MIN_WARNINGS, LEVELS,
-                                       RULE_SEVERITY, MonitorRules, suggestion_table)
+                                       RULE_SEVERITY, SUGGESTIONS, MonitorRules,
+                                       suggestion_table)
 
 REQUIRED = ["Run", "Generation", "Perplexity", "Diversity", "HighFreq", "METEOR"]
 KEY = "monitor_id"
@@ -388,3 +389,36 @@ def monitor_stream(stream: DataFrame, rules: MonitorRules | None = None,
     keyed = stream.withColumn(KEY, k)
     return keyed.groupBy(KEY).applyInPandasWithState(
         _stream_fn(rules), STREAM_OUT, STATE_SCHEMA, "append", "NoTimeout")
+
+
+def with_arrival_time(stream: DataFrame, col: str = "Timestamp") -> DataFrame:
+    """Stamp each observation with its arrival time."""
+    return stream.withColumn(col, F.current_timestamp())
+
+
+def run_monitor(stream: DataFrame, rules: MonitorRules, alerts_path: str, checkpoint: str,
+                key: Column | None = None, interval_seconds: int | None = None,
+                available_now: bool = False):
+    """R6 + R8 + R9: start the monitoring query.  Every micro-batch's
+    evaluated rows go through ``foreachBatch``: the rows with warnings are
+    appended to ``alerts_path`` (S11) together with their suggestion targets
+    (J7).  The trigger polls every ``interval_seconds`` (the rule config's
+    check interval by default) or processes what is available and stops."""
+    out = monitor_stream(stream, rules, key)
+    targets = {r: t for rule_ids, t, _, _ in SUGGESTIONS for r in rule_ids}
+
+    def sink(batch: DataFrame, epoch: int) -> None:
+        fired = batch.filter(F.col("warning_count") > 0)
+        rule_ids = F.split(F.col("fired"), ",")
+        mapping = F.create_map(*[x for r, t in targets.items() for x in (F.lit(str(r)), F.lit(t))])
+        fired = fired.withColumn("targets", F.array_distinct(
+            F.transform(rule_ids, lambda r: mapping[r])))
+        fired = fired.withColumn("epoch", F.lit(epoch))
+        fired.write.mode("append").json(alerts_path)
+
+    writer = out.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    else:
+        writer = writer.trigger(processingTime=f"{interval_seconds or rules.check_interval} seconds")
+    return writer.start()
