@@ -72,3 +72,13 @@ def q_findings(spark, sf_dir):
     res = pm.fit_path_model(f, pm.BASE_MODEL)
     boot = materialize(pm.bootstrap_path_model(f, "row_key", 100))
     return rounded(pm.findings(res, pm.bootstrap_ci(boot)))
+
+
+@query("bootstrap_long")
+def q_bootstrap_long(spark, sf_dir):
+    """Bootstrap replicates in long format (replicate, path, value)."""
+    from textdrift.operators.stats import coefficients_long
+    boot = pm.bootstrap_path_model(_keyed(spark, sf_dir), "row_key", 100)
+    paths = [f"{y}~{x}" for y, x in pm.KEY_PATHS]
+    wide = boot.select("replicate", *[F.col(f"`{p}`").alias(p.replace("~", "__on__")) for p in paths])
+    return rounded(coefficients_long(wide, ["replicate"], [p.replace("~", "__on__") for p in paths]))
