@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textdrift.session import checkpoint_dir
+from textdrift.session import materialize
 from textdrift.streaming.rules import (COMPOSITE, COMPOSITE_MIN_WARNINGS, LEVELS,
                                        RULE_SEVERITY, SUGGESTIONS, MonitorRules,
                                        suggestion_table)
@@ -57,8 +57,8 @@ def assign_sequence(obs: DataFrame, order_cols: Sequence[str], key: Column | Non
     many partitions.  ``monotonically_increasing_id`` numbers rows inside each
     sorted partition; a small table of per-(partition, key) counts, at most
     one row per partition and key, turns these into per-key offsets.  The
-    sorted rows are checkpointed (reliable, in ``spark.checkpoint.dir``) so
-    that both uses see the same partitioning even after a lost executor.
+    numbered rows are written once to the shared checkpoint folder, so both
+    uses read the same numbers even after a lost executor.
     """
     spark = obs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -69,8 +69,10 @@ def assign_sequence(obs: DataFrame, order_cols: Sequence[str], key: Column | Non
               .withColumn("_pid", F.spark_partition_id())
               .withColumn("_mono", F.monotonically_increasing_id()))
     if checkpoint:
-        checkpoint_dir(spark)
-        ranged = ranged.checkpoint(eager=True)
+        # _pid and _mono are stored as values, so a parquet table in the
+        # shared checkpoint folder fixes them as well as an RDD checkpoint
+        # would, and is much cheaper to write and read.
+        ranged = materialize(ranged)
     counts = ranged.groupBy("_pid", KEY).agg(F.count(F.lit(1)).alias("_cnt"),
                                             F.min("_mono").alias("_first"))
     w = Window.partitionBy(KEY).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
