@@ -106,3 +106,11 @@ def test_exact_quantile_matches_numpy(spark):
     for q in (0.1, 0.5, 0.9, 0.975):
         got = st.exact_quantile(df, "x", q, "id").first().quantile
         assert math.isclose(got, float(np.quantile(vals, q)), rel_tol=1e-12, abs_tol=1e-12)
+
+
+def test_ensure_scaled_reuses_or_computes(spark):
+    m = lineitem_metrics(spark, SF)
+    f = ft.build_features(m)
+    assert ft.ensure_scaled(f) is f
+    z = ft.ensure_scaled(m)
+    assert all(f"{c}_scaled" in z.columns for c in METRICS)

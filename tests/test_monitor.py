@@ -119,3 +119,20 @@ def test_suggestions_composite(spark):
     assert sug.filter("target = 'composite'").count() == n3
     # one row per (observation, target)
     assert sug.count() == sug.select("seq", "target").distinct().count()
+
+
+def test_load_rules_file_and_fallback(spark, tmp_path):
+    from textdrift.streaming.rules import load_rules
+    path = tmp_path / "rules.json"
+    path.write_text('{"warning_rules": {"meteor_threshold": 0.5},\n "monitoring": {"history_window": 30}}')
+    r = load_rules(spark, str(path))
+    assert r.meteor_threshold == 0.5 and r.highfreq_threshold == 0.8236 and r.history_window == 30
+    assert load_rules(spark, str(tmp_path / "missing.json")).meteor_threshold == 0.3727
+
+
+def test_any_warning_in(spark):
+    obs = events_observations(spark, SF)
+    rep = mon.monitor_replay(obs, EVENT_RULES)
+    a = rep.filter(mon.any_warning_in([1, 5])).count()
+    b = rep.filter("r1 or r5").count()
+    assert a == b

@@ -109,6 +109,14 @@ def zscore(df: DataFrame, cols: Sequence[str] = METRICS, suffix: str = "_scaled"
     return joined.withColumns(out).drop(*drop)
 
 
+def ensure_scaled(df: DataFrame, cols: Sequence[str] = METRICS,
+                  suffix: str = "_scaled") -> DataFrame:
+    """Reuse existing ``*_scaled`` columns, else compute the z-scores."""
+    if all(f"{c}{suffix}" in df.columns for c in cols):
+        return df
+    return zscore(df, available_features(df, cols), suffix)
+
+
 def add_collapse_flag(df: DataFrame, col: str = "METEOR",
                       threshold: float = COLLAPSE_THRESHOLD) -> DataFrame:
     """``is_collapsed`` = metric below the threshold (NULL -> false)."""

@@ -212,6 +212,12 @@ def monitor_replay(obs: DataFrame, rules: MonitorRules | None = None,
     return x.drop(*drop)
 
 
+def any_warning_in(rules: Sequence[int], col: str = "warnings") -> Column:
+    """True when any fired warning belongs to ``rules``."""
+    return F.coalesce(F.arrays_overlap(F.col(f"{col}.rule"),
+                                       F.array(*[F.lit(int(r)) for r in rules])), F.lit(False))
+
+
 def finite(c: str) -> Column:
     """NULL for an infinite value (for fixed-precision output)."""
     return F.when(F.abs(F.col(c)) == F.lit(float("inf")), F.lit(None)).otherwise(F.col(c))
