@@ -52,11 +52,13 @@ def zip_texts(generated: DataFrame, reference: DataFrame, order_col: str,
     distributed sequence numbering of the monitor (no single-partition
     window), then one inner equi-join."""
     from textdrift.streaming.monitor import assign_sequence
-    g = assign_sequence(generated.select(order_col, F.col(text_col).alias("generated_text")),
-                        [order_col]).select("seq", "generated_text")
-    r = assign_sequence(reference.select(order_col, F.col(text_col).alias("input_text")),
-                        [order_col]).select("seq", "input_text")
-    return g.join(r, on="seq", how="inner").withColumnRenamed("seq", PAIR)
+    # only the ordering key is numbered (and written); texts join back by key
+    gs = assign_sequence(generated.select(order_col), [order_col]).select(order_col, "seq")
+    rs = assign_sequence(reference.select(order_col), [order_col]).select(order_col, "seq")
+    g = gs.join(generated.select(order_col, F.col(text_col).alias("generated_text")), order_col)
+    r = rs.join(reference.select(order_col, F.col(text_col).alias("input_text")), order_col)
+    return (g.drop(order_col).join(r.drop(order_col), on="seq", how="inner")
+            .withColumnRenamed("seq", PAIR))
 
 
 # ---------------------------------------------------------------------------

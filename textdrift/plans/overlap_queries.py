@@ -98,3 +98,20 @@ def q_meteor_pairs(spark, sf_dir):
 def q_overlap_corpus(spark, sf_dir):
     """A8 + A9: corpus ROUGE-1/2/L (stemmed) and METEOR over all pairs."""
     return rounded(ov.corpus_overlap(ov.overlap_scores(_pairs(spark, sf_dir), KEYS)))
+
+
+@query("zip_texts", """
+    WITH g AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS pair_id,
+                      length(text) AS gen_chars FROM documents),
+         r AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS pair_id,
+                      length(text) AS ref_chars FROM benchmark)
+    SELECT pair_id, gen_chars, ref_chars FROM g JOIN r USING (pair_id)""")
+def q_zip_texts(spark, sf_dir):
+    """J1 by position: the i-th document (by id) with the i-th benchmark text,
+    cut to the shorter side; positions from distributed sequence numbers."""
+    from textdrift.sources.tables import benchmark_corpus, documents_as_records
+    gen = documents_as_records(spark, sf_dir).select("id", "generated_text")
+    ref = benchmark_corpus(spark, sf_dir).select("id", F.col("text").alias("generated_text"))
+    z = ov.zip_texts(gen, ref, "id")
+    return z.select("pair_id", F.length("generated_text").alias("gen_chars"),
+                    F.length("input_text").alias("ref_chars"))
