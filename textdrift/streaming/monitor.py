@@ -239,21 +239,20 @@ def flat_alerts(replayed: DataFrame) -> DataFrame:
 def suggest_actions(replayed: DataFrame) -> DataFrame:
     """Suggestions for the fired rules of every evaluated row.
 
-    Fired rules are exploded and joined to the 6-row suggestion table (a
-    broadcast of fixed size); each target appears once per row; a composite
-    row is added when at least three rules fired.
+    One pass: the fired rule numbers plus a composite marker (rule 0, when
+    at least three rules fired) are exploded and joined to a 7-row fixed
+    table (broadcast, size known); each target appears once per row.
     """
     spark = replayed.sparkSession
-    fired = replayed.select(KEY, "seq", "Run", "Generation", "warning_count",
-                            F.explode("warnings.rule").alias("rule"))
-    table = F.broadcast(suggestion_table(spark))
-    per_rule = (fired.join(table, on="rule")
-                .select(KEY, "seq", "Run", "Generation", "target", "suggestion", "priority")
-                .distinct())
-    comp = (replayed.filter(F.col("warning_count") >= COMPOSITE_MIN_WARNINGS)
-            .select(KEY, "seq", "Run", "Generation", F.lit(COMPOSITE[0]).alias("target"),
-                    F.lit(COMPOSITE[1]).alias("suggestion"), F.lit(COMPOSITE[2]).alias("priority")))
-    return per_rule.unionByName(comp)
+    marker = F.when(F.col("warning_count") >= COMPOSITE_MIN_WARNINGS, F.array(F.lit(0))) \
+        .otherwise(F.array().cast("array<int>"))
+    fired = replayed.select(KEY, "seq", "Run", "Generation",
+                            F.explode(F.concat(F.col("warnings.rule"), marker)).alias("rule"))
+    table = suggestion_table(spark).unionByName(spark.createDataFrame(
+        [(0, *COMPOSITE)], "rule int, target string, suggestion string, priority string"))
+    return (fired.join(F.broadcast(table), on="rule")
+            .select(KEY, "seq", "Run", "Generation", "target", "suggestion", "priority")
+            .dropDuplicates([KEY, "seq", "target"]))
 
 
 def warning_counts(history: DataFrame, replayed: DataFrame,
