@@ -196,6 +196,9 @@ def monitor_replay(obs: DataFrame, rules: MonitorRules | None = None,
     x = x.withColumn("warning_count", F.size("warnings"))
     x = x.withColumn("level", level_expr(F.col("warning_count"), rules.level_thresholds))
 
+    # The evaluated rows feed three reads below: write them once (shared
+    # checkpoint folder) instead of recomputing every window three times.
+    x = materialize(x)
     # W8 sticky status: last level inside the chunk, else carried from the
     # last earlier chunk that had one (a table with one row per chunk).
     upto = Window.partitionBy(*part).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
