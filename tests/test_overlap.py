@@ -84,3 +84,11 @@ def test_stemmed_rouge_uses_stems(spark):
     # "cats"/"cat": cat is 3 letters and is not stemmed, "cats" -> "cat";
     # "running" -> "run", "runs" -> "run"
     assert plain == 0.0 and stemmed == 1.0
+
+
+def test_salted_stem_join_is_identical(spark):
+    p = _pairs(spark, [("the cats were running home", "the cat runs home"),
+                       ("the the the running", "the runner ran"), ("", "x")])
+    a = sorted(map(tuple, ov.rouge_n(p, ["pair_id"], (1, 2), stem=True).collect()))
+    b = sorted(map(tuple, ov.rouge_n(p, ["pair_id"], (1, 2), stem=True, salt=4).collect()))
+    assert a == b

@@ -78,9 +78,14 @@ def stem_vocabulary(tokens: DataFrame, col: str = "tok",
     return vocab.mapInPandas(_stem_batches, "tok string, stem string")
 
 
-def pair_tokens(pairs: DataFrame, keys: Sequence[str], stem: bool = False) -> DataFrame:
+def pair_tokens(pairs: DataFrame, keys: Sequence[str], stem: bool = False,
+                salt: int = 1) -> DataFrame:
     """T3 (+T4): long table ``(keys..., side, pos, tok)`` of ROUGE tokens of
-    both texts, side ``g`` = generated and ``r`` = reference."""
+    both texts, side ``g`` = generated and ``r`` = reference.
+
+    ``salt > 1`` spreads the occurrences of every token over ``salt`` join
+    keys (the stem table is replicated ``salt`` times), so a very frequent
+    word does not load one reducer; results are identical."""
     k = list(keys)
     sides = F.array(
         F.struct(F.lit("g").alias("side"), rouge_tokens("generated_text").alias("toks")),
@@ -90,7 +95,13 @@ def pair_tokens(pairs: DataFrame, keys: Sequence[str], stem: bool = False) -> Da
     long = s.select(*k, "side", F.posexplode_outer("toks").alias("pos", "tok"))
     if stem:
         vocab = stem_vocabulary(long)
-        long = (long.join(vocab, on="tok", how="left")
+        on = ["tok"]
+        if salt > 1:
+            long = long.withColumn("_salt", F.pmod(F.xxhash64(*k, "side", "pos"), F.lit(salt)))
+            vocab = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
+                                     .cast("long"))
+            on = ["tok", "_salt"]
+        long = (long.join(vocab, on=on, how="left")
                 .select(*k, "side", "pos", F.coalesce("stem", "tok").alias("tok")))
     return long
 
@@ -105,7 +116,7 @@ def side_lengths(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def rouge_n(pairs: DataFrame, keys: Sequence[str], ns: Sequence[int] = (1, 2),
-            stem: bool = False) -> DataFrame:
+            stem: bool = False, salt: int = 1) -> DataFrame:
     """A8 for ROUGE-N: per pair precision, recall and F1 for each ``n``.
 
     The n-grams of both texts are tagged with ``n`` and side, exploded once
@@ -113,7 +124,7 @@ def rouge_n(pairs: DataFrame, keys: Sequence[str], ns: Sequence[int] = (1, 2),
     is ``sum(least(c_gen, c_ref))``.
     """
     k = list(keys)
-    arr = token_arrays(pairs, k, stem)
+    arr = token_arrays(pairs, k, stem, salt)
     tagged = [F.array(F.struct(F.lit("m").alias("side"), F.lit(0).alias("n"),
                                F.lit("").alias("gram")))]   # one marker: every pair has a row
     for side, col in (("g", "gen_toks"), ("r", "ref_toks")):
@@ -156,14 +167,15 @@ def _rouge_l_udf(gen: pd.Series, ref: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["p", "r", "f"])
 
 
-def token_arrays(pairs: DataFrame, keys: Sequence[str], stem: bool = False) -> DataFrame:
+def token_arrays(pairs: DataFrame, keys: Sequence[str], stem: bool = False,
+                 salt: int = 1) -> DataFrame:
     """Per pair: ``gen_toks`` and ``ref_toks`` ROUGE token arrays; with
     ``stem`` they are rebuilt in order from the stemmed long table."""
     k = list(keys)
     if not stem:
         return pairs.select(*k, rouge_tokens("generated_text").alias("gen_toks"),
                             rouge_tokens("input_text").alias("ref_toks"))
-    long = pair_tokens(pairs, k, stem=True)
+    long = pair_tokens(pairs, k, stem=True, salt=salt)
 
     def side_array(side: str):
         item = F.when((F.col("side") == side) & F.col("tok").isNotNull(), F.struct("pos", "tok"))
