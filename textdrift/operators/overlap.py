@@ -98,8 +98,8 @@ def pair_tokens(pairs: DataFrame, keys: Sequence[str], stem: bool = False,
         on = ["tok"]
         if salt > 1:
             long = long.withColumn("_salt", F.pmod(F.xxhash64(*k, "side", "pos"), F.lit(salt)))
-            vocab = vocab.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))
-                                     .cast("long"))
+            vocab = vocab.withColumn("_salt", F.explode(
+                F.sequence(F.lit(0).cast("long"), F.lit(salt - 1).cast("long"))))
             on = ["tok", "_salt"]
         long = (long.join(vocab, on=on, how="left")
                 .select(*k, "side", "pos", F.coalesce("stem", "tok").alias("tok")))
