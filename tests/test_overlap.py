@@ -92,3 +92,47 @@ def test_salted_stem_join_is_identical(spark):
     a = sorted(map(tuple, ov.rouge_n(p, ["pair_id"], (1, 2), stem=True).collect()))
     b = sorted(map(tuple, ov.rouge_n(p, ["pair_id"], (1, 2), stem=True, salt=4).collect()))
     assert a == b
+
+
+def test_stemmed_rouge_and_rouge_l_match_brute_force(spark):
+    import re
+    from collections import Counter
+
+    from textdrift.sources.tables import conversation_turns
+    pairs = ov.conversation_pairs(conversation_turns(spark, "/root/testdata/sf0.001"))
+    rows = pairs.toPandas()
+
+    def toks(t):
+        return [stem(w) if len(w) > 3 else w for w in re.findall(r"[a-z0-9]+", (t or "").lower())]
+
+    def lcs_dp(a, b):
+        prev = [0] * (len(b) + 1)
+        for x in a:
+            cur = [0]
+            for j, y in enumerate(b):
+                cur.append(prev[j] + 1 if x == y else max(prev[j + 1], cur[j]))
+            prev = cur
+        return prev[-1]
+
+    def f(o, n1, n2):
+        if n1 == 0 or n2 == 0:
+            return 0.0
+        p, r = o / n1, o / n2
+        return 0.0 if p + r == 0 else 2 * p * r / (p + r)
+
+    exp = {}
+    for _, r in rows.iterrows():
+        g, ref = toks(r.generated_text), toks(r.input_text)
+        grams = lambda t, n: Counter(tuple(t[i:i + n]) for i in range(len(t) - n + 1))
+        o1 = sum((grams(g, 1) & grams(ref, 1)).values())
+        o2 = sum((grams(g, 2) & grams(ref, 2)).values())
+        exp[(r.conv_id, r.turn)] = (f(o1, len(g), len(ref)), f(o2, len(g) - 1, len(ref) - 1),
+                                    f(lcs_dp(g, ref), len(g), len(ref)))
+    got_n = {(x.conv_id, x.turn): (x.rouge1_f, x.rouge2_f)
+             for x in ov.rouge_n(pairs, ["conv_id", "turn"], (1, 2), stem=True).collect()}
+    got_l = {(x.conv_id, x.turn): x.rougeL_f
+             for x in ov.rouge_l(pairs, ["conv_id", "turn"], stem=True).collect()}
+    assert set(got_n) == set(exp) == set(got_l)
+    for k, (e1, e2, el) in exp.items():
+        assert abs(got_n[k][0] - e1) < 1e-12 and abs(got_n[k][1] - e2) < 1e-12
+        assert abs(got_l[k] - el) < 1e-12
