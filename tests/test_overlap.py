@@ -136,3 +136,36 @@ def test_stemmed_rouge_and_rouge_l_match_brute_force(spark):
     for k, (e1, e2, el) in exp.items():
         assert abs(got_n[k][0] - e1) < 1e-12 and abs(got_n[k][1] - e2) < 1e-12
         assert abs(got_l[k] - el) < 1e-12
+
+
+def test_meteor_stack_matching_equals_naive_scan(spark):
+    """The O(n+m) matcher equals the plain scan: each hypothesis word from the
+    end takes the last unmatched reference word with the same key."""
+    import re
+
+    def naive(hyp, ref):
+        h, r = list(enumerate(hyp)), list(enumerate(ref))
+        matches = []
+        for key in (lambda w: w, stem):
+            for i in range(len(h))[::-1]:
+                for j in range(len(r))[::-1]:
+                    if key(h[i][1]) == key(r[j][1]):
+                        matches.append((h[i][0], r[j][0]))
+                        h.pop(i)
+                        r.pop(j)
+                        break
+        if not matches:
+            return 0.0
+        matches.sort()
+        m = len(matches)
+        chunks = 1 + sum(1 for a, b in zip(matches, matches[1:])
+                         if not (b[0] == a[0] + 1 and b[1] == a[1] + 1))
+        p, rc = m / len(hyp), m / len(ref)
+        return (1 - 0.5 * (chunks / m) ** 3) * p * rc / (0.9 * p + 0.1 * rc)
+
+    from textdrift.sources.tables import conversation_turns
+    rows = ov.conversation_pairs(conversation_turns(spark, "/root/testdata/sf0.001")).toPandas()
+    for _, r in rows.head(40).iterrows():
+        g = [t for t in re.findall(r"[\w]+|[^\w\s]", (r.generated_text or "").lower())]
+        ref = [t for t in re.findall(r"[\w]+|[^\w\s]", (r.input_text or "").lower())]
+        assert abs(meteor_pair(g, ref) - naive(g, ref)) < 1e-12
