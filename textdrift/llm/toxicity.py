@@ -1,15 +1,17 @@
 """Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
 Kernel.  Two words are compared by their common subsequences of four letters
-within six places, weighted by ``decay`` to the length they span, so letters
-that are skipped or inserted cost little (the gap-weighted subsequence kernel
-of Lodhi et al., limited to a span).  Its power ``degree`` sharpens the match;
-the kernel of two sentences is the sum over all pairs of words.
+within six places, weighted by ``decay`` for every place they skip (the
+tightest of several ways counts), so letters that are skipped or inserted cost
+little (the gap-weighted subsequence kernel of Lodhi et al.,
+limited to a span).  Its power ``degree`` sharpens the match;
+the kernel of two sentences is the sum over all pairs of different words.
 
 Nystroem.  A sentence is mapped to its kernel values with landmark words, made
 orthonormal by the inverse square root of the landmarks' own kernel matrix.
-Landmarks are chosen from the training texts: the words that tell the labels
-apart best, each unlike those before it, and common words as background.
+Landmarks are chosen from the training texts: the words and word beginnings
+that tell the labels apart best, each unlike those before it, and common words
+as background.
 
 Training.  Labels are per document; a document stands for its most suspicious
 sentence (its witness), first by the landmarks alone, then by the fitted
@@ -45,10 +47,14 @@ from .language_id import sample
 MAX_TRAIN = 12_000
 LANDMARKS = 96
 CANDIDATES = 3000
+#: Lengths of word beginnings that may be landmarks.
+STEMS = (4, 5, 6, 7)
+#: Least logarithmic odds of a telling landmark, at the lower bound.
+LEAST_ODDS = 2.0
 LETTERS = 4
 SPAN = 6
-DECAY = 0.8
-DEGREE = 2
+DECAY = 0.7
+DEGREE = 4
 THRESHOLD = 0.3
 STEP = 300_000
 
@@ -60,10 +66,10 @@ _OFFSETS = list(itertools.combinations(range(1, SPAN), LETTERS - 1))
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """Words of each sentence, letters only, in lower case."""
+    """The different words of each sentence, letters only, in lower case."""
     if not text:
         return []
-    return [w for s in _SENTENCE.split(text.lower()) if (w := s.translate(_DROP).split())]
+    return [list(dict.fromkeys(w)) for s in _SENTENCE.split(text.lower()) if (w := s.translate(_DROP).split())]
 
 
 def _symbols(words: list[str]) -> np.ndarray:
@@ -88,7 +94,7 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
                 code = code * _SYMBOLS + c[:, o:n - reach + o]
             rows.append(np.repeat(own, n - reach))
             codes.append(code.ravel())
-            weights.append(np.full(code.size, DECAY ** (reach + 1)))
+            weights.append(np.full(code.size, DECAY ** (reach + 1 - LETTERS)))
     if not rows:
         return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0)
     return np.concatenate(rows), np.concatenate(codes), np.concatenate(weights)
@@ -102,7 +108,7 @@ class Landmarks:
         row, code, weight = subsequences(words)
         self.codes, at = np.unique(code, return_inverse=True)
         self.features = np.zeros((len(self.codes), len(words)), np.float32)
-        np.add.at(self.features, (at, row), weight)
+        np.maximum.at(self.features, (at, row), weight)
         self.table: np.ndarray | None = None
 
     def kernel(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -115,7 +121,11 @@ class Landmarks:
         hit = np.flatnonzero(feature >= 0)
         if not len(hit):
             return np.empty(0, np.int64), np.empty((0, len(self.words)), np.float32)
-        hit = hit[np.argsort(row[hit], kind="stable")]
+        # of several ways to form one subsequence the tightest counts
+        pair = row[hit] * len(self.codes) + feature[hit]
+        order = np.lexsort((weight[hit], pair))
+        tightest = np.append(np.diff(pair[order]) > 0, True)
+        hit = hit[order[tightest]]
         owner, start = np.unique(row[hit], return_index=True)
         values = np.empty((len(owner), len(self.words)), np.float32)
         for s in range(0, len(owner), 20_000):  # bounds the expanded rows
@@ -255,7 +265,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_t
         for batch in batches:
             found: dict[str, list[int]] = {}
             for value, mark in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for word in {w for s in sentences(value) for w in s}:
+                words = {w for s in sentences(value) for w in s}
+                for word in words | {w[:n] for w in words for n in STEMS if len(w) > n}:
                     found.setdefault(word, [0, 0])[mark] += 1
             n = list(found.values())
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([a for a, _ in n], pa.int64()),
@@ -269,16 +280,19 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_t
     words = materialize(rows.mapInArrow(count, "word string, clean long, toxic long").groupBy("word")
                         .agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.length("word") >= LETTERS))
     odds = F.ln((F.col("toxic") / n1) / ((F.col("clean") + 0.5) / n0))
-    telling = words.where("toxic >= 2").orderBy((F.col("toxic") * odds).desc(), "word").limit(CANDIDATES)
+    sure = odds - 1.64 * F.sqrt(1 / F.col("toxic") + 1 / (F.col("clean") + 0.5))  # one-sided 95 % bound
+    telling = words.where((F.col("toxic") >= 2) & (sure > LEAST_ODDS)).orderBy((F.col("toxic") * odds).desc(), "word").limit(CANDIDATES)
     common = words.orderBy((F.col("clean") + F.col("toxic")).desc(), "word").limit(landmarks)
     names = choose([r["word"] for r in telling.select("word").collect()], landmarks * 2 // 3)
+    n_telling = len(names)
     names += [w for w in choose([r["word"] for r in common.select("word").collect()], landmarks - len(names)) if w not in names]
     marks = Landmarks(names)
     own = (marks.features.T @ marks.features).astype(float) ** DEGREE
-    scale = 1 / np.sqrt(np.maximum(np.diag(own), 1e-12))
-    value, vector = np.linalg.eigh(own * scale[:, None] * scale[None, :])
-    root = vector @ np.diag(1 / np.sqrt(np.maximum(value, 1e-6))) @ vector.T
-    telling_weights = np.where(np.arange(len(names)) < landmarks * 2 // 3, scale ** 2, 0.0)
+    scale = 1 / np.diag(own)  # a landmark's value with itself is 1, however long it is
+    value, vector = np.linalg.eigh(own * np.sqrt(scale[:, None] * scale[None, :]))
+    kept = value > 1e-2 * value.max()  # directions that the landmarks span well
+    root = vector[:, kept] / np.sqrt(value[kept])
+    telling_weights = np.where(np.arange(len(names)) < n_telling, scale, 0.0)
     model = Model(marks, telling_weights, 0.0, 1.0, 0.0)
 
     def witnesses(current: Model) -> tuple[np.ndarray, np.ndarray]:
