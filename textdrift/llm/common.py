@@ -6,12 +6,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textdrift.session import checkpoint_dir, materialize
 
-__all__ = ["SPACE", "WORD", "checkpoint_dir", "crc_bucket", "documents", "find_components",
+__all__ = ["Hasher", "SPACE", "WORD", "checkpoint_dir", "crc_bucket", "documents", "find_components",
            "materialize", "sorted_groups", "sources_of", "text_or_empty"]
 
 #: A run of ASCII white space, and a word: whatever stands between two such runs.
@@ -66,6 +67,18 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], key: str, value: str, limit
         yield held_k, held_v
 
 
+class Hasher(dict):
+    """64-bit hashes of words, remembered up to a bounded number."""
+
+    LIMIT = 400_000
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
+
+
 def find_components(edges: DataFrame, a: str = "a", b: str = "b",
                     write: Callable[[DataFrame], DataFrame] = materialize) -> DataFrame:
     """Connected components: ``(node, component)`` with the smallest node as

@@ -37,12 +37,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, sources_of, text_or_empty
+from .common import Hasher, documents, materialize, sources_of, text_or_empty
 
 WINDOW = 20
 SEED = 5
@@ -55,18 +54,6 @@ _SCHEMA = "anchor long, extent long, doc long, start int, count int"
 _NAMES = ["anchor", "extent", "doc", "start", "count"]
 
 
-class Hasher(dict):
-    """64-bit hashes of words, remembered up to a bounded number."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.LIMIT:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, np.uint64)
     out[0] = 1
