@@ -28,9 +28,11 @@ table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,67 +53,74 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 # ---------------------------------------------------------------- tokens
 
+class Remembered(dict):
+    """A dict that computes missing values and holds at most two generations
+    of ``limit`` entries; entries in use survive."""
+
+    def __init__(self, compute: Callable[[str], bytes], limit: int) -> None:
+        super().__init__()
+        self.compute, self.limit, self.old = compute, limit, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.compute(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian bytes, word by word.
 
     The tokenizer splits at white space first, so a text's ids are its words'
-    ids in turn; words are remembered up to a bounded number.  Texts with
-    special tokens or with control characters that Python alone counts as
-    white space are encoded whole.
+    ids in turn; words and their pieces are remembered up to a bounded number.
+    Texts with special tokens or with control characters that Python alone
+    counts as white space are encoded whole.
     """
 
-    LIMIT = 300_000
+    LIMIT = 250_000
     ODD = regex.compile(r"<\||[\x1c-\x1f]")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.whole = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.model = self.whole.model
+        self.letters = _byte_letters()
+        self.words = Remembered(self._word, self.LIMIT)
+        self.pieces = Remembered(self._piece, self.LIMIT)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        """Encode words not seen before, by their pieces where lower-casing
-        and normalisation are plain."""
-        parts = {}
-        new: dict[str, None] = {}
-        for word in words:
-            if max(word) < "ɐ":
-                parts[word] = own = _PIECE.findall(word.lower())
-                for piece in own:
-                    if piece not in self.pieces:
-                        new[piece] = None
-            else:
-                self.known[word] = self._ids(word)
-        if new:
-            found = self._encode_pieces(list(new))
-            self.pieces.update(found)
-        pieces = self.pieces
-        for word, own in parts.items():
-            self.known[word] = b"".join([pieces[p] for p in own])
-
-    def _encode_pieces(self, pieces: list[str]) -> dict[str, bytes]:
-        model, table = self.whole.model, _byte_letters()
-        tokenise = model.tokenize
-        return {p: np.array([t.id for t in tokenise(p.encode().decode("latin-1").translate(table))], "<u4").tobytes()
-                for p in pieces}
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        if not (piece.isascii() and piece.isprintable()):
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        if max(word) >= "\u0250":  # where lower-casing and normalisation may not be plain
+            return self._ids(word)
+        low = word.lower()
+        if low.isalpha():
+            return self.pieces[low]
+        if low[:-1].isalpha():
+            return self.pieces[low[:-1]] + self.pieces[low[-1]]
+        return b"".join([self.pieces[p] for p in _PIECE.findall(low)])
 
     def encode(self, text: str) -> bytes:
         if self.ODD.search(text):
             return self._ids(text)
-        words = text.split()
-        known = self.known
-        missing = [w for w in set(words) if w not in known]
-        if missing:
-            if len(known) > self.LIMIT:
-                known.clear()
-                missing = list(set(words))
-            if len(self.pieces) > self.LIMIT:
-                self.pieces.clear()
-            self._learn(missing)
-        return b"".join([known[w] for w in words])
+        words = self.words
+        return b"".join([words[w] for w in text.split()])
+
+
+@cache
+def encoder(path: str) -> WordEncoder:
+    """One encoder per Python worker, kept from task to task."""
+    return WordEncoder(path)
 
 
 def _byte_letters() -> dict[int, str]:
@@ -127,12 +136,12 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """``row, doc_id, piece, start, length, ids_crc32`` and, if asked for,
     ``ids``.  ``row`` is a hash of id and text that spreads the pieces."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
-        last = np.array([end], "<u4").tobytes()
+        encode = encoder(tokenizer).encode
+        last = array("I", [end]).tobytes()
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, value in enumerate(batch.column(2).to_pylist()):
-                raw = encoder.encode(value) + last
+                raw = encode(value) + last
                 for k in range(0, len(raw), 4 * capacity):
                     own = raw[k:k + 4 * capacity]
                     at.append(i)
