@@ -81,8 +81,8 @@ class WordEncoder:
     counts as white space are encoded whole.
     """
 
-    LIMIT = 250_000
-    ODD = regex.compile(r"<\||[\x1c-\x1f]")
+    LIMIT = 400_000
+    ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -101,7 +101,7 @@ class WordEncoder:
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def _word(self, word: str) -> bytes:
-        if max(word) >= "\u0250":  # where lower-casing and normalisation may not be plain
+        if not word.isascii() and max(word) >= "\u0250":  # where lower-casing and normalisation may not be plain
             return self._ids(word)
         low = word.lower()
         if low.isalpha():
@@ -111,7 +111,7 @@ class WordEncoder:
         return b"".join([self.pieces[p] for p in _PIECE.findall(low)])
 
     def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
+        if any(mark in text for mark in self.ODD):
             return self._ids(text)
         words = self.words
         return b"".join([words[w] for w in text.split()])
