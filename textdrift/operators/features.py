@@ -183,7 +183,7 @@ def lagrange_fill(metrics: DataFrame, target: int, nodes: Sequence[int],
                   F.when(F.col(order) == nodes[0], F.lit(weights[0])))
     sel = metrics.filter(F.col(order).isin(list(nodes))).withColumn("_w", wcol)
     agg = sel.groupBy(run).agg(
-        F.count(F.lit(1)).alias("_n"),
+        F.countDistinct(order).alias("_n"),
         *[F.sum(F.col(c) * F.col("_w")).alias(c) for c in cols])
     return (agg.filter(F.col("_n") == len(nodes))
             .select(F.col(run), F.lit(target).alias(order), *cols))
@@ -192,10 +192,11 @@ def lagrange_fill(metrics: DataFrame, target: int, nodes: Sequence[int],
 def fill_generation(metrics: DataFrame, target: int, nodes: Sequence[int],
                     cols: Sequence[str] = METRICS, run: str = "Run",
                     order: str = "Generation") -> DataFrame:
-    """M1 applied: replace (or add) generation ``target`` by its interpolation."""
-    filled = lagrange_fill(metrics, target, nodes, cols, run, order)
-    rest = metrics.filter(F.col(order) != target).select(run, order, *cols)
-    return rest.unionByName(filled)
+    """M1 applied: runs without generation ``target`` get its interpolation
+    where they have all nodes.  Rows that exist stay as they are."""
+    present = metrics.filter(F.col(order) == target).select(run).distinct()
+    filled = lagrange_fill(metrics, target, nodes, cols, run, order).join(present, run, "left_anti")
+    return metrics.select(run, order, *cols).unionByName(filled)
 
 
 def union_experiments(tables: Mapping[str, DataFrame], name: str = "experiment") -> DataFrame:

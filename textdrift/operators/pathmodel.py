@@ -81,6 +81,7 @@ KEY_PATHS = [("Diversity_scaled", "HighFreq_scaled"), ("SQ", "Diversity_scaled")
 
 class _Ram:
     def __init__(self, model: PathModel, S: np.ndarray, obs: list[str]):
+        self.model = model
         self.obs, self.lat = obs, model.latents
         names = obs + self.lat
         self.idx = {v: i for i, v in enumerate(names)}
@@ -119,26 +120,67 @@ class _Ram:
         self.n_exo = len(exo_obs) * (len(exo_obs) + 1) // 2
 
     def sigma(self, theta: np.ndarray) -> np.ndarray:
+        A, S = self._matrices(theta)
+        inv = np.linalg.inv(np.eye(self.m) - A)
+        return self.F @ inv @ S @ inv.T @ self.F.T
+
+    def _matrices(self, theta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         A, S = self.fixed_A.copy(), self.fixed_S.copy()
         for t, (kind, r, c, _) in zip(theta, self.params):
             if kind == "A":
                 A[r, c] = t
             else:
-                S[r, c] = t
-                S[c, r] = t
-        inv = np.linalg.inv(np.eye(self.m) - A)
-        return self.F @ inv @ S @ inv.T @ self.F.T
-
-    def start(self, S: np.ndarray) -> np.ndarray:
-        th = []
+                S[r, c] = S[c, r] = t
+        return A, S
+
+    def derivatives(self, theta: np.ndarray) -> list[np.ndarray]:
+        """d Sigma / d theta_i of every parameter, in closed form."""
+        A, S = self._matrices(theta)
+        B = np.linalg.inv(np.eye(self.m) - A)
+        G = self.F @ B                  # p x m
+        W = B @ S @ G.T                 # m x p: covariance of all with observed
+        out = []
         for kind, r, c, _ in self.params:
-            if kind == "A":
-                th.append(0.5 if c >= self.p else 0.0)
-            elif r == c:
-                th.append(0.5 * S[r, r] if r < self.p else 0.5)
-            else:
-                th.append(0.0)
-        return np.array(th)
+            d = np.outer(G[:, r], W[c]) if kind == "A" else np.outer(G[:, r], G[:, c])
+            out.append(d if kind == "S" and r == c else d + d.T)
+        return out
+
+    @property
+    def is_variance(self) -> np.ndarray:
+        return np.array([kind == "S" and r == c for kind, r, c, _ in self.params])
+
+    def starts(self, S: np.ndarray) -> list[np.ndarray]:
+        """Start values from the data.  A latent takes a share of its first
+        indicator's variance; loadings are ratios of covariances to it, the
+        structural part is least squares with the first indicator standing for
+        its latent.  Several shares give several starts."""
+        place = {v: i for i, v in enumerate(self.obs)}
+        out = []
+        for share in (0.9, 0.6, 0.3):
+            first = {lat: place[ind[0]] for lat, ind in self.model.measurement.items()}
+            proxy = {**place, **first}
+            cov = lambda a, b: S[proxy[a], proxy[b]] * (share if a == b and a in first else 1.0)
+            load = {(ind, lat): S[place[ind], first[lat]] / (share * S[first[lat], first[lat]])
+                    for lat, inds in self.model.measurement.items() for ind in inds}
+            slope, rest = {}, {v: cov(v, v) for v in [*self.obs, *first]}
+            for (ind, lat), w in load.items():
+                rest[ind] = S[place[ind], place[ind]] - w * w * share * S[first[lat], first[lat]]
+            for y, xs in self.model.structural.items():
+                between = np.array([[cov(a, b) for b in xs] for a in xs])
+                against = np.array([cov(x, y) for x in xs])
+                w = np.linalg.lstsq(between, against, rcond=None)[0]
+                slope.update({(y, x): float(b) for x, b in zip(xs, w)})
+                rest[y] = cov(y, y) - float(w @ against)
+            theta = []
+            for kind, r, c, (lval, _, rval) in self.params:
+                if kind == "A":
+                    theta.append(load.get((lval, rval), slope.get((lval, rval), 0.0)))
+                elif r == c:
+                    theta.append(max(rest[lval], 0.1 * cov(lval, lval)))
+                else:
+                    theta.append(0.0)
+            out.append(np.array(theta))
+        return out
 
 
 def _discrepancy(Sig: np.ndarray, S: np.ndarray) -> float:
@@ -155,65 +197,106 @@ def _discrepancy(Sig: np.ndarray, S: np.ndarray) -> float:
     return logdet + np.trace(S @ np.linalg.inv(Sig)) - np.linalg.slogdet(S)[1] - S.shape[0]
 
 
-def _jacobian(ram: _Ram, theta: np.ndarray, h: float = 1e-6) -> list[np.ndarray]:
-    out = []
-    for i in range(len(theta)):
-        e = np.zeros_like(theta)
-        e[i] = h
-        out.append((ram.sigma(theta + e) - ram.sigma(theta - e)) / (2 * h))
-    return out
-
-
 def _info(Sig: np.ndarray, d: list[np.ndarray]) -> np.ndarray:
     inv = np.linalg.inv(Sig)
     t = [inv @ di for di in d]
     return np.array([[np.sum(a * b.T) for b in t] for a in t])
 
 
-def fit_moments(model: PathModel, S: np.ndarray, n: int, obs: list[str],
-                max_iter: int = 500, tol: float = 1e-10,
-                start: np.ndarray | None = None) -> dict:
-    """ML fit of ``model`` to the covariance ``S`` of ``obs`` from ``n`` rows
-    by damped Fisher scoring.  Returns estimates, standard errors and the
-    fit indices."""
-    ram = _Ram(model, S, obs)
-    theta = ram.start(S) if start is None else np.array(start, dtype=float)
-    f = _discrepancy(ram.sigma(theta), S)
-    if not np.isfinite(f) and start is not None:
-        theta = ram.start(S)
-        f = _discrepancy(ram.sigma(theta), S)
-    converged = False
-    for _ in range(max_iter):
-        Sig = ram.sigma(theta)
-        d = _jacobian(ram, theta)
+MAX_ITER = 500
+
+
+def _descend(ram: _Ram, S: np.ndarray, theta: np.ndarray, max_iter: int,
+             tol: float) -> tuple[np.ndarray, float, bool]:
+    """BFGS with variances on the log scale, started from the Fisher
+    information.  Returns the estimates, the discrepancy and whether it
+    converged: a positive definite Sigma and a gradient so small that a whole
+    scoring step would lower the discrepancy by less than ``tol``."""
+    var = ram.is_variance
+    real = lambda x: np.where(var, np.exp(np.where(var, x, 0.0)), x)
+    x = np.where(var, np.log(np.where(var, theta, 1.0)), theta)
+
+    def slopes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        t = real(x)
+        Sig = ram.sigma(t)
         inv = np.linalg.inv(Sig)
+        d = [di * c for di, c in zip(ram.derivatives(t), np.where(var, t, 1.0))]
         resid = inv @ (Sig - S) @ inv
-        g = np.array([np.sum(resid * di) for di in d])
-        H = _info(Sig, d)
-        step = np.linalg.lstsq(H, g, rcond=None)[0]
-        lam = 1.0
-        while lam > 1e-8:
-            cand = theta - lam * step
-            fc = _discrepancy(ram.sigma(cand), S)
-            if np.isfinite(fc) and fc <= f + 1e-15:
+        return np.array([np.sum(resid * di) for di in d]), _info(Sig, d)
+
+    f = _discrepancy(ram.sigma(real(x)), S)
+    if not np.isfinite(f):
+        return theta, f, False
+    g, info = slopes(x)
+    back = np.linalg.pinv(info + 1e-6 * np.eye(len(x)))
+    for _ in range(max_iter):
+        gain = 0.5 * g @ np.linalg.lstsq(info, g, rcond=None)[0]
+        if gain < tol:
+            return real(x), f, True
+        step = -back @ g
+        if g @ step >= 0:
+            back = np.linalg.pinv(info + 1e-3 * np.eye(len(x)))
+            step = -back @ g
+        step *= min(1.0, 2.0 / max(np.max(np.abs(step)), 1e-300))
+        size = 1.0
+        while size > 1e-10:
+            f_new = _discrepancy(ram.sigma(real(x + size * step)), S)
+            if np.isfinite(f_new) and f_new <= f + 1e-4 * size * (g @ step):
                 break
-            lam /= 2
-        if lam <= 1e-8:
-            converged = True
-            break
-        theta, f_old, f = cand, f, fc
-        if abs(f_old - f) < tol and np.max(np.abs(lam * step)) < 1e-7:
-            converged = True
-            break
-    Sig = ram.sigma(theta)
-    info = (n / 2.0) * _info(Sig, _jacobian(ram, theta))
+            size /= 2
+        else:
+            # no lower value can be found: converged only if the gradient is
+            # as small as rounding leaves it
+            return real(x), f, bool(gain < 1e-9)
+        move = size * step
+        x, f = x + move, f_new
+        g_old, (g, info) = g, slopes(x)
+        y = g - g_old
+        if (c := move @ y) > 1e-14:
+            left = np.eye(len(x)) - np.outer(move, y) / c
+            back = left @ back @ left.T + np.outer(move, move) / c
+    return real(x), f, False
+
+
+def _interior(ram: _Ram, theta: np.ndarray, S: np.ndarray) -> bool:
+    """No variance has run against zero."""
+    return bool(np.min(theta[ram.is_variance]) > 1e-5 * np.min(np.diag(S)))
+
+
+def fit_moments(model: PathModel, S: np.ndarray, n: int, obs: list[str],
+                max_iter: int = MAX_ITER, tol: float = 1e-13,
+                start: np.ndarray | None = None) -> dict:
+    """ML fit of ``model`` to the covariance ``S`` of ``obs`` from ``n`` rows.
+    Of the fits from several starts (and ``start``, if given) the one with
+    the lowest discrepancy counts; converged ones without a vanishing variance
+    come first.  A covariance that
+    is not positive definite cannot be fitted: ``converged`` is false and the
+    estimates are NaN.  Returns estimates, standard errors and fit indices."""
+    ram = _Ram(model, S, obs)
+    k = len(ram.params)
+    best = (np.full(k, np.nan), float("nan"), False)
+    se = np.full(k, np.nan)
     try:
-        se = np.sqrt(np.clip(np.diag(np.linalg.inv(info)), 0, None))
+        np.linalg.cholesky(S)
+        if np.linalg.cond(S) > 1e14:
+            raise np.linalg.LinAlgError("singular covariance")
+        tried = []
+        for theta in ([] if start is None or not np.all(np.isfinite(start)) else [np.array(start, float)]) + ram.starts(S):
+            try:
+                tried.append(_descend(ram, S, theta, max_iter, tol))
+            except np.linalg.LinAlgError:
+                continue
+        if tried:
+            best = min(tried, key=lambda r: (not (r[2] and _interior(ram, r[0], S)), not r[2],
+                                             r[1] if np.isfinite(r[1]) else np.inf))
+            info = (n / 2.0) * _info(ram.sigma(best[0]), ram.derivatives(best[0]))
+            se = np.sqrt(np.clip(np.diag(np.linalg.inv(info)), 0, None))
     except np.linalg.LinAlgError:
-        se = np.full(len(theta), np.nan)
+        pass
+    theta, f, converged = best
     return {"model": model, "ram": ram, "theta": theta, "se": se, "F": f, "n": n,
             "S": S, "obs": obs, "converged": converged,
-            "fit": fit_indices(f, n, S, len(theta), len(theta) + ram.n_exo)}
+            "fit": fit_indices(f, n, S, k, k + ram.n_exo)}
 
 
 # --- distributions ----------------------------------------------------------
@@ -264,6 +347,11 @@ def fit_indices(f: float, n: int, S: np.ndarray, k: int, k_df: int | None = None
     AIC = chi2 + 2k, BIC = chi2 + k ln n with k the free parameters;
     baseline = independence model."""
     p = S.shape[0]
+    if not math.isfinite(f):                # nothing was fitted
+        nan = float("nan")
+        return {"chi_square": nan, "df": p * (p + 1) / 2 - (k if k_df is None else k_df), "p_value": nan,
+                "cfi": nan, "tli": nan, "rmsea": nan, "aic": nan, "bic": nan,
+                "baseline_chi_square": nan, "baseline_df": p * (p - 1) / 2, "n_params": k}
     chi2 = n * f
     df = p * (p + 1) / 2 - (k if k_df is None else k_df)
     fb = float(np.sum(np.log(np.diag(S))) - np.linalg.slogdet(S)[1])
@@ -286,7 +374,7 @@ def parameter_rows(res: dict) -> list[tuple]:
         out.append((inds[0], "~", lat, 1.0, None, None, None))
     for (_, _, _, (l, op, r)), est, se in zip(ram.params, res["theta"], res["se"]):
         z = est / se if se and se > 0 else None
-        out.append((l, op, r, float(est), float(se) if se == se else None,
+        out.append((l, op, r, float(est) if est == est else None, float(se) if se == se else None,
                     float(z) if z is not None else None,
                     normal_sf2(z) if z is not None else None))
     return out
@@ -305,8 +393,10 @@ def path_value(res: dict, lval: str, rval: str, op: str = "~") -> float:
 # ---------------------------------------------------------------------------
 
 def moments(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, int]:
-    """Population covariance matrix and n, one aggregate (p x p values)."""
+    """Population covariance matrix and n over the rows in which no
+    column is null, one aggregate (p x p values)."""
     c = list(cols)
+    df = df.dropna(subset=c)
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, a in enumerate(c):
         for b in c[i:]:
@@ -348,26 +438,35 @@ def fit_frame(spark, results: Sequence[dict]) -> DataFrame:
     return spark.createDataFrame(rows, FIT_SCHEMA)
 
 
+def _nested(a: PathModel, b: PathModel) -> bool:
+    """One model's paths are a part of the other's, over the same variables."""
+    paths = [{(y, x) for y, xs in m.structural.items() for x in xs} for m in (a, b)]
+    return (set(a.observed) == set(b.observed) and a.measurement == b.measurement
+            and paths[0] != paths[1] and (paths[0] <= paths[1] or paths[1] <= paths[0]))
+
+
 def compare_models(df: DataFrame, models: Sequence[PathModel] = MODELS) -> DataFrame:
-    """Fit indices of every model, the best by minimum AIC flagged
-    (``min_by``), and the chi-square difference test of each model against
-    the base model when nested degrees of freedom differ."""
+    """Fit indices of every model, the best converged one by AIC, and
+    for models nested with the first the chi-square difference test."""
     obs = list(dict.fromkeys(v for m in models for v in m.observed))
     S, n = moments(df, obs)
     results = []
     for m in models:
         idx = [obs.index(v) for v in m.observed]
         results.append(fit_moments(m, S[np.ix_(idx, idx)], n, m.observed))
-    fits = fit_frame(df.sparkSession, results)
-    best = fits.agg(F.min_by("model", "aic").alias("_best"))
-    base = fits.filter(F.col("model") == models[0].name).select(
-        F.col("chi_square").alias("_c0"), F.col("df").alias("_d0"))
-    out = fits.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(base))
-    dchi = F.abs(F.col("chi_square") - F.col("_c0"))
-    ddf = F.abs(F.col("df") - F.col("_d0"))
-    return out.select("*", (F.col("model") == F.col("_best")).alias("best_by_aic"),
-                      F.when(ddf > 0, dchi).alias("delta_chi_square"),
-                      F.when(ddf > 0, ddf).alias("delta_df")).drop("_best", "_c0", "_d0")
+    base = results[0]
+    tests = []
+    for r in results:
+        ddf = abs(r["fit"]["df"] - base["fit"]["df"])
+        dchi = abs(r["fit"]["chi_square"] - base["fit"]["chi_square"])
+        ok = ddf > 0 and math.isfinite(dchi) and _nested(r["model"], base["model"])
+        tests.append((r["model"].name, *((float(dchi), float(ddf), chi2_sf(dchi, ddf)) if ok else (None,) * 3)))
+    spark = df.sparkSession
+    fits = fit_frame(spark, results)
+    best = fits.where("converged").agg(F.min_by("model", "aic").alias("_best"))
+    test = spark.createDataFrame(tests, "model string, delta_chi_square double, delta_df double, delta_p_value double")
+    return (fits.join(test, "model").crossJoin(F.broadcast(best))
+            .withColumn("best_by_aic", F.coalesce(F.col("model") == F.col("_best"), F.lit(False))).drop("_best"))
 
 
 def effect_decomposition(res: dict) -> list[tuple]:
@@ -387,7 +486,10 @@ def effect_decomposition(res: dict) -> list[tuple]:
 # ---------------------------------------------------------------------------
 
 def _sum_aggs(cols: Sequence[str], w=None):
-    w = F.lit(1.0) if w is None else w
+    whole = F.lit(True)
+    for c in cols:
+        whole = whole & F.col(c).isNotNull()
+    w = F.when(whole, F.lit(1.0) if w is None else w)   # incomplete rows count in no sum
     aggs = [F.sum(w).alias("sw")]
     aggs += [F.sum(w * F.col(c)).alias(f"s|{c}") for c in cols]
     for i, a in enumerate(cols):
@@ -418,9 +520,10 @@ def _fit_rows(model: PathModel, cols: Sequence[str], key_col: str, start=None):
             out = []
             for _, row in pdf.iterrows():
                 S, n = _cov_from_sums(row, cols)
-                res = fit_moments(model, S, int(round(n)), list(cols), start=start, max_iter=200)
-                out.append((str(row[key_col]), float(n), bool(res["converged"]),
-                            *[path_value(res, y, x) for y, x in KEY_PATHS]))
+                res = fit_moments(model, S, int(round(n)), list(cols), start=start)
+                ok = bool(res["converged"])
+                out.append((str(row[key_col]), float(n), ok,
+                            *[path_value(res, y, x) if ok else None for y, x in KEY_PATHS]))
             yield pd.DataFrame(out, columns=names)
     return fn
 
@@ -462,13 +565,17 @@ def bootstrap_path_model(df: DataFrame, id_col: str, replicates: int = 100,
 
 def bootstrap_ci(boot: DataFrame) -> DataFrame:
     """A23 + A25: mean, sample std, 2.5 / 97.5 percentiles per path and the
-    significance flag ``|mean| > 2 std``."""
+    significance flag ``|mean| > 2 std``, over the converged fits;
+    ``n_fits`` counts these and ``n_failed`` the others."""
+    counts = [F.sum(F.col("converged").cast("long")).alias("n_fits"),
+              F.sum((~F.col("converged")).cast("long")).alias("n_failed")]
+    used = lambda p: F.when(F.col("converged"), F.col(f"`{p}`"))
     paths = [f"{y}~{x}" for y, x in KEY_PATHS]
-    row = boot.agg(*[F.struct(F.avg(f"`{p}`").alias("mean"), F.stddev_samp(f"`{p}`").alias("std"),
-                              F.percentile(f"`{p}`", 0.025).alias("ci_lower"),
-                              F.percentile(f"`{p}`", 0.975).alias("ci_upper")).alias(f"p{i}")
-                     for i, p in enumerate(paths)])
-    recs = [F.struct(F.lit(p).alias("path"), F.col(f"p{i}.*")) for i, p in enumerate(paths)]
+    row = boot.agg(*counts, *[F.struct(F.avg(used(p)).alias("mean"), F.stddev_samp(used(p)).alias("std"),
+                                       F.percentile(used(p), 0.025).alias("ci_lower"),
+                                       F.percentile(used(p), 0.975).alias("ci_upper")).alias(f"p{i}")
+                              for i, p in enumerate(paths)])
+    recs = [F.struct(F.lit(p).alias("path"), F.col(f"p{i}.*"), "n_fits", "n_failed") for i, p in enumerate(paths)]
     out = row.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
     return out.withColumn("significant", F.abs("mean") > 2 * F.col("std"))
 

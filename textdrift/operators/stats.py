@@ -47,20 +47,26 @@ def _pairs(cols: Sequence[str]):
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every column pair, long format
-    ``(var_a, var_b, corr)``; NULL when a column is constant.
+    """Pearson correlation of every column pair over the rows in which
+    both are not NULL, long format ``(var_a, var_b, corr)``; NULL when a
+    column is constant there.
 
-    One aggregate computes all pairs.  ``corr`` itself raises on a constant
-    column under ANSI mode, so the ratio is taken with ``try_divide``.
+    One aggregate computes each pair once.  ``corr`` itself raises on a
+    constant column under ANSI mode, so the ratio is taken with ``try_divide``.
     """
-    aggs = [F.stddev_pop(c).alias(f"{c}__sd") for c in cols]
-    pairs = _pairs(cols)
-    aggs += [F.covar_pop(a, b).alias(f"{a}__{b}__cov") for a, b in pairs]
+    half = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
+    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
+    aggs = []
+    for a, b in half:
+        aggs += [F.stddev_pop(F.when(both(a, b), F.col(a))).alias(f"{a}__{b}__sa"),
+                 F.stddev_pop(F.when(both(a, b), F.col(b))).alias(f"{a}__{b}__sb"),
+                 F.covar_pop(a, b).alias(f"{a}__{b}__cov")]
     row = df.agg(*aggs)
+    value = {(a, b): F.try_divide(F.col(f"{a}__{b}__cov"), F.col(f"{a}__{b}__sa") * F.col(f"{a}__{b}__sb"))
+             for a, b in half}
     recs = [F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
-                     F.try_divide(F.col(f"{a}__{b}__cov"),
-                                  F.col(f"{a}__sd") * F.col(f"{b}__sd")).alias("corr"))
-            for a, b in pairs]
+                     value.get((a, b), value.get((b, a))).alias("corr"))
+            for a, b in _pairs(cols)]
     return row.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
 
 

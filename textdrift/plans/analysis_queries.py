@@ -113,14 +113,9 @@ def q_features(spark, sf_dir):
     SELECT experiment, Generation, {', '.join(f'round(avg({c}), 6) AS {c}' for c in METRICS)}
     FROM ({lineitem_metrics_sql(experiment=True)}) GROUP BY experiment, Generation""")
 def q_mean_by_generation(spark, sf_dir):
-    """A1 + U1: per-experiment tables (line status O / F) stacked with their
+    """A1 + U1: the table of every experiment (line status) stacked with its
     name kept, then the mean of each metric over runs per generation."""
-    parts = {}
-    for status in ("O", "F"):
-        sub = lineitem_metrics(spark, sf_dir, experiment="status")
-        parts[status] = sub.filter(F.col("experiment") == status).drop("experiment")
-    stacked = ft.union_experiments(parts)
-    return rounded(ft.mean_by_generation(stacked))
+    return rounded(ft.mean_by_generation(lineitem_metrics(spark, sf_dir, experiment="experiment")))
 
 
 def _lagrange_sql(target, nodes):

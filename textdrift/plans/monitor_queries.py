@@ -121,9 +121,9 @@ def q_monitor_stream_by_run(spark, sf_dir):
     ``applyInPandasWithState``, run over the events file with an
     ``availableNow`` trigger into a parquet sink; returns the sink."""
     base = checkpoint_dir(spark).rstrip("/") + f"/monitor-stream-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet").schema
-    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-              .option("maxFilesPerTrigger", 1).parquet(sf_dir))
+    events = f"{sf_dir.rstrip('/')}/events.parquet"     # a file, or a folder of part files
+    schema = spark.read.parquet(events).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(events)
     k = F.get_json_object("props", "$.k").cast("double")
     obs = stream.select(
         "event_id", "ts", F.col("user_id").alias("Run"),

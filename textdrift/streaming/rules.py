@@ -31,26 +31,21 @@ DEFAULT_CONFIG = {
 }
 
 # Rule number -> severity, and the rule groups of the
-# suggestion table with their target and priority.  A composite suggestion
-# is added when at least 3 rules fire.
+# suggestion table with their target and priority (the advice is our own).  A
+# composite suggestion is added when at least 3 rules fire.
 RULE_SEVERITY = {1: "medium", 2: "high", 3: "high", 4: "medium", 5: "medium", 6: "high"}
 SUGGESTIONS = [
     ([1, 5], "high_frequency_ratio",
-     "add a repetition penalty or adjust the sampling temperature to use fewer frequent words",
-     "high"),
+     "a few words dominate the output: look at the decoding settings and at repeated training text", "high"),
     ([2, 4], "diversity",
-     "raise the sampling temperature or use top-k / top-p sampling for more diverse output",
-     "high"),
+     "fewer distinct n-grams than before: widen decoding or mix more human text into the next corpus", "high"),
     ([3], "semantic_quality",
-     "lower the sampling temperature for more coherent output or add a semantic reward signal",
-     "medium"),
+     "overlap with the references fell: check the prompts and the share of generated text", "medium"),
     ([6], "metric_relation",
-     "check the gradient updates for anomalies; lower the learning rate or add regularisation",
-     "high"),
+     "diversity left its usual relation to word frequency: inspect the last training run's log", "high"),
 ]
-COMPOSITE = ("composite",
-             "pause training, roll back to the last stable checkpoint and retune several "
-             "hyper-parameters before restarting", "critical")
+COMPOSITE = ("composite", "several signs at once: stop the chain and resume from the last good generation",
+             "critical")
 COMPOSITE_MIN_WARNINGS = 3
 LEVELS = ("notice", "warning", "severe")
 
