@@ -460,7 +460,7 @@ def compare_models(df: DataFrame, models: Sequence[PathModel] = MODELS) -> DataF
         ddf = abs(r["fit"]["df"] - base["fit"]["df"])
         dchi = abs(r["fit"]["chi_square"] - base["fit"]["chi_square"])
         ok = ddf > 0 and math.isfinite(dchi) and _nested(r["model"], base["model"])
-        tests.append((r["model"].name, *((float(dchi), float(ddf), chi2_sf(dchi, ddf)) if ok else (None,) * 3)))
+        tests.append((r["model"].name, *((float(dchi), float(ddf), float(chi2_sf(dchi, ddf))) if ok else (None,) * 3)))
     spark = df.sparkSession
     fits = fit_frame(spark, results)
     best = fits.where("converged").agg(F.min_by("model", "aic").alias("_best"))

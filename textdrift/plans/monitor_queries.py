@@ -123,7 +123,8 @@ def q_monitor_stream_by_run(spark, sf_dir):
     base = checkpoint_dir(spark).rstrip("/") + f"/monitor-stream-{uuid.uuid4().hex}"
     events = f"{sf_dir.rstrip('/')}/events.parquet"     # a file, or a folder of part files
     schema = spark.read.parquet(events).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(events)
+    # as a pattern, since a stream's plain path must be a folder
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(events[:-1] + "[t]")
     k = F.get_json_object("props", "$.k").cast("double")
     obs = stream.select(
         "event_id", "ts", F.col("user_id").alias("Run"),
