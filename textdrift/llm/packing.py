@@ -254,7 +254,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     if len(rows):
         repeat = fit(left, rows)
         for k in np.argsort(-repeat, kind="stable").tolist():
-            want = int(round(float(repeat[k])))
+            want = int(repeat[k])  # rounded down: best fit packs what is over
             if want < 1:
                 break
             lengths = tuple(n for n in rows[k].tolist() if n)
