@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import documents, sources_of, text_or_empty
 
-# The patterns and least lengths of the three kinds.
+# The patterns and least lengths of the three kinds.  ACCESS and
+# HEX carry their least length, which takes the same matches: a shorter run of
+# their characters holds no longer one.  A short ASSIGN value still uses up its
+# text, so its length is checked after matching.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"(AKIA[A-Z0-9]+)"
-HEX = r"([0-9a-f]+)"
+ACCESS = r"(AKIA[A-Z0-9]{16,})"
+HEX = r"([0-9a-f]{24,})"
 KINDS = (("assign", ASSIGN, 6), ("access", ACCESS, 20), ("hex", HEX, 24))
 #: What a text must hold for a kind to have any span; only saves work.
 HINTS = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "access": r"AKIA", "hex": r"[0-9a-f]{24}"}
@@ -99,12 +102,17 @@ def window_spans(start: Column, value: Column, order: int, kind: str, alphabet:
     # c * log2(c) for the counts a window can have
     term = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(WINDOW + 2)])
     most = WINDOW * (math.log2(WINDOW) - bits)  # the entropy is log2(W) - sum / W
-    zero = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("s"),
+    zero = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("s"),
                     F.array().cast(SPAN).alias("out"))
 
-    def step(st: Column, i: Column) -> Column:
-        new = F.instr(F.lit(alphabet), F.substring(value, i, F.lit(1)))
-        gone = F.when(i > WINDOW, F.instr(F.lit(alphabet), F.substring(value, i - WINDOW, F.lit(1)))).otherwise(F.lit(-1))
+    # the class numbers of the characters, each beside the one that leaves the window
+    codes = F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(alphabet), ch))
+    leaving = F.concat(F.array_repeat(F.lit(-1), WINDOW), codes)
+    moves = F.zip_with(codes, F.slice(leaving, F.lit(1), F.length(value)),
+                       lambda new, gone: F.struct(new.alias("new"), gone.alias("gone")))
+
+    def step(st: Column, move: Column) -> Column:
+        new, gone, i = move["new"], move["gone"], st["i"] + 1
         c_new = F.get(st["n"], new)
         c_old = F.get(st["n"], gone)
         counts = F.when(new == gone, st["n"]).otherwise(
@@ -120,9 +128,9 @@ def window_spans(start: Column, value: Column, order: int, kind: str, alphabet:
             F.concat(F.slice(st["out"], F.lit(1), F.size(st["out"]) - 1),
                      F.array(_span(last["start"], end, order, kind))),
         ).otherwise(F.concat(st["out"], F.array(_span(begin, end, order, kind))))
-        return F.struct(counts.alias("n"), total.alias("s"), F.when(hit, joined).otherwise(st["out"]).alias("out"))
+        return F.struct(i.alias("i"), counts.alias("n"), total.alias("s"), F.when(hit, joined).otherwise(st["out"]).alias("out"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(value)), zero, step, lambda st: st["out"])
+    return F.aggregate(moves, zero, step, lambda st: st["out"])
 
 
 def _kept(matches: str, order: int, kind: str, least: int) -> Column:
