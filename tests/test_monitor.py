@@ -136,3 +136,9 @@ def test_any_warning_in(spark):
     a = rep.filter(mon.any_warning_in([1, 5])).count()
     b = rep.filter("r1 or r5").count()
     assert a == b
+
+
+def test_shallow_section_keeps_other_settings():
+    cfg = merge_config({"monitoring": {"history_window": 30}}, merge="shallow")
+    rules = MonitorRules.from_config(cfg)
+    assert rules.history_window == 30 and rules.check_interval == 10 and rules.level_thresholds == [1, 2, 3]

@@ -169,3 +169,10 @@ def test_meteor_stack_matching_equals_naive_scan(spark):
         g = [t for t in re.findall(r"[\w]+|[^\w\s]", (r.generated_text or "").lower())]
         ref = [t for t in re.findall(r"[\w]+|[^\w\s]", (r.input_text or "").lower())]
         assert abs(meteor_pair(g, ref) - naive(g, ref)) < 1e-12
+
+
+def test_zip_texts_with_repeated_order_values(spark):
+    gen = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (3, "d")], "id long, generated_text string")
+    ref = spark.createDataFrame([(5, "x"), (5, "y"), (6, "z")], "id long, generated_text string")
+    got = sorted((r.pair_id, r.generated_text, r.input_text) for r in ov.zip_texts(gen, ref, "id").collect())
+    assert got == [(0, "a", "x"), (1, "b", "y"), (2, "c", "z")]

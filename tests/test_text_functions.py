@@ -89,3 +89,20 @@ def test_bigram_perplexity_brute_force(spark):
     lp = [math.log((big.get((v, w), 0) + 1) / (ctx.get(v, 0) + 4))
           for v, w in [("a", "b"), ("b", "c"), ("c", "d")]]
     assert math.isclose(got, math.exp(-sum(lp) / 3), rel_tol=1e-12)
+
+
+def test_groups_without_items_stay(spark):
+    from textdrift.operators import diversity as dv
+    rows = [("a", 0, "one two three four"), ("b", 0, ""), ("c", 0, "single"), ("c", 0, None)]
+    rec = spark.createDataFrame(rows, "run string, generation int, generated_text string")
+    ref = spark.createDataFrame([("one two three",)], "text string")
+    g = ["run", "generation"]
+    got = {r.run: r for r in score_corpus(rec, ref).collect()}
+    assert [got[k].n_tokens for k in "abc"] == [4, 0, 1]
+    assert [got[k].vocabulary for k in "abc"] == [4, 0, 1] and [got[k].diversity for k in "abc"] == [2, 0, 0]
+    assert got["b"].entropy is None and got["b"].high_freq_ratio is None and got["b"].perplexity is None
+    assert got["c"].entropy == 0 and got["c"].perplexity is None and got["a"].perplexity > 0
+    assert {r.run: r.diversity for r in dv.ngram_diversity(rec, g).collect()} == {"a": 2, "b": 0, "c": 0}
+    assert {r.run for r in dv.token_entropy(rec, g).collect()} == {"a", "b", "c"}
+    assert {r.run: r.high_freq_ratio for r in dv.high_freq_ratio(rec, g).collect()} == {"a": 1.0, "b": None, "c": 1.0}
+    assert {r.run: r.n_bigrams for r in dv.ngram_perplexity(rec, ref, g).collect()} == {"a": 3, "b": 0, "c": 0}

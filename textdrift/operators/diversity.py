@@ -50,12 +50,13 @@ def _items(tokens: Column, kinds: Sequence[int], n: int) -> Column:
 
 def item_counts(records: DataFrame, group_cols: Sequence[str], text_col: str = "generated_text",
                 kinds: Sequence[int] = (TOKEN, NGRAM), n: int = 3) -> DataFrame:
-    """``(group..., kind, item, c)``: occurrences of each item per group."""
+    """``(group..., kind, item, c)``: occurrences of each item per group.  A
+    group without items keeps a row of NULL kind, so it stays in the result."""
     g = list(group_cols)
     # Tokens are materialised in their own projection first: the n-gram
     # lambdas reference the array many times and must not re-run the regex.
     tokenized = records.select(*g, tokenize(text_col).alias("_tok"))
-    exploded = tokenized.select(*g, F.explode(_items(F.col("_tok"), kinds, n)).alias("it"))
+    exploded = tokenized.select(*g, F.explode_outer(_items(F.col("_tok"), kinds, n)).alias("it"))
     return (exploded.select(*g, F.col("it.kind").alias("kind"), F.col("it.item").alias("item"))
             .groupBy(*g, "kind", "item").agg(F.count(F.lit(1)).alias("c")))
 
@@ -127,8 +128,8 @@ def with_group_totals(counts: DataFrame, group_cols: Sequence[str],
 
 
 def high_freq_expr(threshold: float) -> Column:
-    is_high = (F.col("kind") == TOKEN) & (F.col("c") / F.col("_n") > F.lit(threshold))
-    return F.coalesce(F.sum(F.when(is_high, F.col("c"))), F.lit(0)) / F.first("_n")
+    is_high = (F.col("kind") == TOKEN) & (F.try_divide("c", "_n") > F.lit(threshold))
+    return F.try_divide(F.coalesce(F.sum(F.when(is_high, F.col("c"))), F.lit(0)), F.first("_n"))
 
 
 def ngram_diversity(records: DataFrame, group_cols: Sequence[str], n: int = 3,
@@ -145,7 +146,7 @@ def ngram_diversity(records: DataFrame, group_cols: Sequence[str], n: int = 3,
         grams = tokenized.select(*g, F.explode(ngrams(F.col("_tok"), n)).alias("item"))
         return grams.groupBy(*g).agg(F.approx_count_distinct("item", rsd).alias("diversity"))
     counts = item_counts(records, g, text_col, kinds=(NGRAM,), n=n)
-    return counts.groupBy(*g).agg(F.count(F.lit(1)).alias("diversity"))
+    return counts.groupBy(*g).agg(F.count("kind").alias("diversity"))
 
 
 def high_freq_ratio(records: DataFrame, group_cols: Sequence[str], threshold: float = 0.01,
@@ -217,7 +218,7 @@ def _log_prob_agg(counts: DataFrame, model: tuple[DataFrame, DataFrame], k: floa
     joined = counts.join(table, on=["kind", "item"], how="left").crossJoin(F.broadcast(vocab))
     agg = joined.groupBy(*keys).agg(*perplexity_aggs(k))
     loss = (F.col("_den") - F.col("_num")) / F.col("_nb")
-    return agg.select(*keys, F.col("_nb").alias("n_bigrams"),
+    return agg.select(*keys, F.coalesce("_nb", F.lit(0)).alias("n_bigrams"),
                       F.when(F.col("_nb") > 0, loss).alias("loss"))
 
 
@@ -241,7 +242,8 @@ def text_losses(records: DataFrame, reference: DataFrame, id_col: str = "id",
     keys = [id_col, *keep_cols]
     counts = item_counts(records, keys, text_col, kinds=PERPLEXITY_KINDS)
     res = _log_prob_agg(counts, bigram_model(reference, ref_text_col), k, keys)
-    return res.select(*keys, F.col("n_bigrams").alias("n_tokens"), "loss")
+    # a text without a bigram has no loss
+    return res.where("n_bigrams > 0").select(*keys, F.col("n_bigrams").alias("n_tokens"), "loss")
 
 
 def weighted_perplexity(losses: DataFrame, group_cols: Sequence[str], loss_col: str = "loss",

@@ -50,15 +50,14 @@ def zip_texts(generated: DataFrame, reference: DataFrame, order_col: str,
     """J1 by position: the i-th generated text (by ``order_col``) with the
     i-th reference text; the longer side is cut.  Positions come from the
     distributed sequence numbering of the monitor (no single-partition
-    window), then one inner equi-join."""
+    window), then one inner equi-join.  The texts go through the numbering, so
+    rows that share an ``order_col`` value keep a position each (by text)."""
     from textdrift.streaming.monitor import assign_sequence
-    # only the ordering key is numbered (and written); texts join back by key
-    gs = assign_sequence(generated.select(order_col), [order_col]).select(order_col, "seq")
-    rs = assign_sequence(reference.select(order_col), [order_col]).select(order_col, "seq")
-    g = gs.join(generated.select(order_col, F.col(text_col).alias("generated_text")), order_col)
-    r = rs.join(reference.select(order_col, F.col(text_col).alias("input_text")), order_col)
-    return (g.drop(order_col).join(r.drop(order_col), on="seq", how="inner")
-            .withColumnRenamed("seq", PAIR))
+    g = generated.select(order_col, F.col(text_col).alias("generated_text"))
+    r = reference.select(order_col, F.col(text_col).alias("input_text"))
+    g = assign_sequence(g, [order_col, "generated_text"]).select("seq", "generated_text")
+    r = assign_sequence(r, [order_col, "input_text"]).select("seq", "input_text")
+    return g.join(r, on="seq", how="inner").withColumnRenamed("seq", PAIR)
 
 
 # ---------------------------------------------------------------------------

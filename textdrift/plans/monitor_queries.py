@@ -82,7 +82,7 @@ def _replay_sql(partition: str | None) -> str:
     FROM v"""
 
 
-def _replay(spark, sf_dir, key=None, chunk=100_000):
+def _replay(spark, sf_dir, key=None, chunk=10_000):
     obs = events_observations(spark, sf_dir)
     return mon.monitor_replay(obs, EVENT_RULES, key=key, chunk=chunk)
 

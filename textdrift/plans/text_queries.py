@@ -17,7 +17,10 @@ _TOKEN_COUNTS = f"""
     dt AS ({DOC_TOKENS}),
     tc AS (SELECT run, generation, t AS item, count(*) AS c
            FROM (SELECT run, generation, unnest(tok) AS t FROM dt) GROUP BY ALL),
-    tg AS (SELECT run, generation, sum(c) AS n_tokens, count(*) AS vocabulary FROM tc GROUP BY ALL),
+    tg AS (SELECT g.*, coalesce(v.vocabulary, 0) AS vocabulary
+           FROM (SELECT run, generation, sum(len(tok)) AS n_tokens FROM dt GROUP BY ALL) g
+           LEFT JOIN (SELECT run, generation, count(*) AS vocabulary FROM tc GROUP BY ALL) v
+           USING (run, generation)),
     grams AS (SELECT run, generation, count(DISTINCT item) AS diversity
               FROM ({ngram_rows('SELECT run, generation, tok FROM dt', 'run, generation', 3)})
               GROUP BY ALL),
@@ -48,7 +51,7 @@ SELECT tg.run, tg.generation, tg.n_tokens, tg.vocabulary,
        round(ent.high_freq_ratio, 6) AS high_freq_ratio,
        round(ent.entropy, 6) AS entropy,
        round(ppl.perplexity, 6) AS perplexity
-FROM tg JOIN ent USING (run, generation)
+FROM tg LEFT JOIN ent USING (run, generation)
         LEFT JOIN grams USING (run, generation)
         LEFT JOIN ppl USING (run, generation)
 """
@@ -61,9 +64,10 @@ def q_score_corpus(spark, sf_dir):
 
 
 @query("ngram_diversity", f"WITH {_TOKEN_COUNTS} "
-       "SELECT run, generation, diversity FROM grams")
+       "SELECT run, generation, coalesce(diversity, 0) AS diversity "
+       "FROM tg LEFT JOIN grams USING (run, generation)")
 def q_ngram_diversity(spark, sf_dir):
-    """A2: distinct 3-grams per group (groups with at least one 3-gram)."""
+    """A2: distinct 3-grams per group, 0 where there is none."""
     return dv.ngram_diversity(documents_as_records(spark, sf_dir), GROUP, n=3)
 
 
@@ -76,7 +80,8 @@ def q_ngram_diversity_approx(spark, sf_dir):
 
 
 @query("high_freq_ratio", f"WITH {_TOKEN_COUNTS} "
-       "SELECT run, generation, round(high_freq_ratio, 6) AS high_freq_ratio FROM ent")
+       "SELECT run, generation, round(high_freq_ratio, 6) AS high_freq_ratio "
+       "FROM tg LEFT JOIN ent USING (run, generation)")
 def q_high_freq_ratio(spark, sf_dir):
     """A3: share of token occurrences with relative frequency > 0.01."""
     return rounded(dv.high_freq_ratio(documents_as_records(spark, sf_dir), GROUP, 0.01))
@@ -84,14 +89,15 @@ def q_high_freq_ratio(spark, sf_dir):
 
 @query("token_entropy", f"WITH {_TOKEN_COUNTS} "
        "SELECT run, generation, n_tokens, vocabulary, round(entropy, 6) AS entropy "
-       "FROM tg JOIN ent USING (run, generation)")
+       "FROM tg LEFT JOIN ent USING (run, generation)")
 def q_token_entropy(spark, sf_dir):
     """A4: base-2 entropy of the token distribution per group."""
     return rounded(dv.token_entropy(documents_as_records(spark, sf_dir), GROUP))
 
 
 @query("ngram_perplexity", f"WITH dt AS ({DOC_TOKENS}), {bigram_model_ctes()}, {_PERPLEXITY} "
-       "SELECT run, generation, n_bigrams, round(perplexity, 6) AS perplexity FROM ppl")
+       "SELECT run, generation, coalesce(n_bigrams, 0) AS n_bigrams, round(perplexity, 6) AS perplexity "
+       "FROM (SELECT DISTINCT run, generation FROM dt) LEFT JOIN ppl USING (run, generation)")
 def q_ngram_perplexity(spark, sf_dir):
     """Add-1 bigram perplexity of each group under the benchmark corpus."""
     return rounded(dv.ngram_perplexity(documents_as_records(spark, sf_dir),

@@ -142,7 +142,7 @@ def level_expr(count: Column, thresholds: Sequence[int]) -> Column:
 
 def monitor_replay(obs: DataFrame, rules: MonitorRules | None = None,
                    order_cols: Sequence[str] = ("ts", "event_id"), key: Column | None = None,
-                   chunk: int = 100_000, checkpoint: bool = True) -> DataFrame:
+                   chunk: int = 10_000, checkpoint: bool = True) -> DataFrame:
     """Run the six rules over a stored observation table, row by row.
 
     Output: one row per observation with ``monitor_id, seq``, the inputs, the
@@ -411,8 +411,8 @@ def run_monitor(stream: DataFrame, rules: MonitorRules, alerts_path: str, checkp
                 available_now: bool = False):
     """R6 + R8 + R9: start the monitoring query.  Every micro-batch's
     evaluated rows go through ``foreachBatch``: the rows with warnings are
-    appended to ``alerts_path`` (S11) together with their suggestion targets
-    (J7).  The trigger polls every ``interval_seconds`` (the rule config's
+    written to ``alerts_path/epoch=N`` (S11) together with their suggestion
+    targets (J7); an epoch that is replayed replaces its own folder.  The trigger polls every ``interval_seconds`` (the rule config's
     check interval by default) or processes what is available and stops."""
     out = monitor_stream(stream, rules, key)
     targets = {r: t for rule_ids, t, _, _ in SUGGESTIONS for r in rule_ids}
@@ -423,8 +423,7 @@ def run_monitor(stream: DataFrame, rules: MonitorRules, alerts_path: str, checkp
         mapping = F.create_map(*[x for r, t in targets.items() for x in (F.lit(str(r)), F.lit(t))])
         fired = fired.withColumn("targets", F.array_distinct(
             F.transform(rule_ids, lambda r: mapping[r])))
-        fired = fired.withColumn("epoch", F.lit(epoch))
-        fired.write.mode("append").json(alerts_path)
+        fired.write.mode("overwrite").json(f"{alerts_path.rstrip('/')}/epoch={epoch}")
 
     writer = out.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     if available_now:

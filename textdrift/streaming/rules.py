@@ -64,7 +64,9 @@ class MonitorRules:
 
     @classmethod
     def from_config(cls, config: dict) -> "MonitorRules":
-        w, m = config["warning_rules"], config["monitoring"]
+        w = config["warning_rules"]
+        # a section that replaced the default may leave settings out
+        m = DEFAULT_CONFIG["monitoring"] | config["monitoring"]
         return cls(**{k: float(v) for k, v in w.items()},
                    history_window=int(m["history_window"]),
                    level_thresholds=list(m["warning_level_thresholds"]),
