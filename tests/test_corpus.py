@@ -64,3 +64,17 @@ def test_kfold_covers_all_rows(spark):
     df = spark.range(900)
     f = cp.kfold(df, 3, "id").groupBy("fold").count().collect()
     assert sorted(r.fold for r in f) == [0, 1, 2] and sum(r["count"] for r in f) == 900
+
+
+def test_pack_blocks_equals_concatenation(spark):
+    import random
+    rnd = random.Random(3)
+    rows = [(i, [f"t{i}_{k}" for k in range(rnd.choice([0, 1, 5, 63, 64, 65, 200]))]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, toks array<string>")
+    got = {(r["batch"], r["block"]): r["input_ids"]
+           for r in cp.pack_blocks(df, block=64, batch_size=20, tokens=F.col("toks")).collect()}
+    want = {}
+    for b in range(3):
+        flat = [t for _, toks in rows[20 * b:20 * b + 20] for t in toks]
+        want |= {(b, k): flat[64 * k:64 * k + 64] for k in range(len(flat) // 64)}
+    assert got == want

@@ -59,8 +59,8 @@ def pack_blocks(records: DataFrame, block: int = 64, batch_size: int = 1000,
     block); labels equal the ids.
 
     A batch holds at most ``batch_size`` texts, so the running token offset is
-    a window over one batch; tokens are then exploded and grouped by
-    ``(batch, block)``, each group holding one block.
+    a window over one batch; each text is then sliced at the block borders
+    and its pieces, one row each, are grouped by ``(batch, block)``.
     """
     toks = tokens if tokens is not None else tokenize("generated_text")
     docs = records.select(F.col(id_col).alias("id"), toks.alias("toks")).withColumn(
@@ -71,14 +71,17 @@ def pack_blocks(records: DataFrame, block: int = 64, batch_size: int = 1000,
         "batch_total", F.sum("n").over(Window.partitionBy("batch")))
     keep_to = F.when(F.col("batch_total") < block, F.col("batch_total")).otherwise(
         F.floor(F.col("batch_total") / block) * block)
-    ex = docs.select("batch", "offset", keep_to.alias("keep_to"),
-                     F.posexplode("toks").alias("i", "tok"))
-    ex = ex.withColumn("pos", F.col("offset") + F.col("i")).filter(F.col("pos") < F.col("keep_to"))
-    blocks = ex.groupBy("batch", F.floor(F.col("pos") / block).alias("block")).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "tok"))).alias("items"))
-    return blocks.select("batch", "block", F.col("items.tok").alias("input_ids"),
-                         F.col("items.tok").alias("labels"),
-                         F.transform("items", lambda _: F.lit(1)).alias("attention_mask"))
+    end = F.least(F.col("offset") + F.col("n"), keep_to)
+    pieces = docs.withColumn("end", end).where("end > offset").withColumn("block", F.explode(F.sequence(
+        F.floor(F.col("offset") / block), F.floor((F.col("end") - 1) / block))))
+    low = F.greatest(F.col("block") * block, F.col("offset"))
+    high = F.least((F.col("block") + 1) * block, F.col("end"))
+    part = F.slice("toks", (low - F.col("offset") + 1).cast("int"), (high - low).cast("int"))
+    blocks = pieces.groupBy("batch", "block").agg(
+        F.array_sort(F.collect_list(F.struct(low.alias("pos"), part.alias("part")))).alias("parts"))
+    blocks = blocks.select("batch", "block", F.flatten("parts.part").alias("input_ids"))
+    return blocks.select("batch", "block", "input_ids", F.col("input_ids").alias("labels"),
+                         F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"))
 
 
 def bootstrap_weights(df: DataFrame, replicates: int, id_col: str, seed: int = 0) -> DataFrame:
