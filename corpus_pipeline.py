@@ -2,8 +2,10 @@
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is
 written as Parquet and read again as the next one's ``docs``.  All but the last
-return the columns of ``documents``.  Stages match rows by ``doc_id``, null
-being an id like any other; an empty table passes through all stages.
+return the columns of ``documents``.  Stages that drop rows decide row by row,
+by a key that is written before the decision, so rows without an id and rows
+that share one are kept or dropped one by one; an empty table passes through
+all stages.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textdrift.llm.common import documents, materialize
+from textdrift.llm.common import documents, materialize, with_row_key
 from textdrift.llm.exact_dedup import DigestIndex, deduplicate
 from textdrift.llm.language_id import keep_identified, learn
 from textdrift.llm.mixing import curriculum, mix
@@ -21,10 +23,17 @@ from textdrift.llm.packing import packed_pieces
 from textdrift.llm.simhash_golay import near_duplicates
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``ids`` (one column)."""
-    gone = ids.toDF("gone_id").distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")), "left_anti")
+def _ranked(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row key and ``rank``: by id, rows without one last, then
+    by row key."""
+    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    return with_row_key(docs).withColumn("rank", rank)
+
+
+def _without(docs: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose rank is in ``ranks`` (column ``doc_id``)."""
+    gone = ranks.select(F.col("doc_id.row_key").alias("gone_key"))
+    return docs.join(gone, F.col("row_key") == F.col("gone_key"), "left_anti").drop("row_key", "rank")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +42,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the smallest id stays."""
-    found = deduplicate(docs, DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex}"))
-    return _without(docs, found.where(~F.col("kept")).select("doc_id"))
+    """Of documents with equal text one row stays, that with the smallest id."""
+    rows = _ranked(docs)
+    found = deduplicate(rows, DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex}"), doc_id="rank")
+    return _without(rows, found.where(~F.col("kept")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest id stays."""
-    found = near_duplicates(docs)
-    return _without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"))
+    """Of each group of near duplicates one row stays, that with the smallest id."""
+    rows = _ranked(docs)
+    found = near_duplicates(rows, doc_id="rank")
+    return _without(rows, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import corpus_pipeline as P
 from tests.llm.test_operators import docs, nothing  # noqa: F401
+from textdrift.llm.substring_dedup import remove_repeats
 
 
 def test_stages_chain(spark, docs, nothing):  # noqa: F811
@@ -17,3 +18,26 @@ def test_stages_chain(spark, docs, nothing):  # noqa: F811
                 assert len(ids) == len(set(ids)) <= n
                 n = len(ids)
         assert {"doc_id", "sequence_id", "offset"} <= set(frame.columns)
+
+
+def test_rows_without_an_id_or_sharing_one_are_decided_one_by_one(spark):
+    words = [" ".join(f"{c}{i}{c}" for i in range(30)) for c in "abcdef"]
+    rows = [(None, words[0]), (None, words[0]), (None, words[1]), (None, words[2]), (5, words[3]), (5, words[3]), (5, words[4]),
+            (6, words[0]), (7, words[5]), (None, words[5])]
+    frame = spark.createDataFrame([(i, t, "en", "a") for i, t in rows], "doc_id long, text string, lang string, source string").repartition(3)
+    want = sorted([(6, words[0]), (None, words[1]), (None, words[2]), (5, words[3]), (5, words[4]), (7, words[5])], key=str)
+    for stage in (P.exact_stage, P.near_stage):
+        out = stage(spark, frame, "")
+        assert out.columns == frame.columns
+        assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == want
+
+
+def test_substring_spans_of_one_row_do_not_touch_rows_with_the_same_id(spark):
+    text = [" ".join(f"{c}{i}" for i in range(40)) for c in "abc"]
+    rows = [(None, text[0]), (None, text[1]), (1, text[0]), (2, text[2]), (2, text[2]), (2, text[1] + " " + text[2])]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted(((r["doc_id"], r["n_words"], r["n_removed"]) for r in remove_repeats(frame).collect()), key=str)
+    ones = [g for g in got if g[0] != 2]
+    assert ones == [(1, 40, 40), (None, 40, 0), (None, 40, 0)]
+    # of the three rows with the passage, one keeps it; the words before it in the last stand in a row without an id
+    assert sum(g[2] for g in got if g[0] == 2) == 120

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from textdrift.session import checkpoint_dir, materialize
 
 __all__ = ["Hasher", "SPACE", "WORD", "checkpoint_dir", "crc_bucket", "documents", "find_components",
-           "materialize", "sorted_groups", "sources_of", "text_or_empty"]
+           "materialize", "sorted_groups", "sources_of", "text_or_empty", "with_row_key"]
 
 #: A run of ASCII white space, and a word: whatever stands between two such runs.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -39,6 +39,12 @@ def sources_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*names)
 
 
+def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """``df``, written once, with a number per row, so that rows without an id
+    and rows that share one can be told apart in every later read."""
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()))
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], key: str, value: str, limit: int,
                   ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Regroup key-sorted Arrow batches of two integer columns so that a key

@@ -24,10 +24,10 @@ Anchors and extensions are compared by independent 64-bit hashes together
 repeats.
 
 Defined cases.  A null text has no words; a document of fewer than 20 words
-has no window.  A null id is smaller than every other.  Rows that share an id
-are one place: neither is earlier than the other, and marks of one act on the
-same positions of the other.  Further columns are not read; an empty table
-gives an empty result.
+has no window.  A null id is smaller than every other.  Rows without an id and
+rows that share one are documents of their own, in the order of a row key that
+is written once.  Further columns are not read; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -41,12 +41,10 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hasher, documents, materialize, sources_of, text_or_empty
+from .common import Hasher, documents, materialize, sources_of, text_or_empty, with_row_key
 
 WINDOW = 20
 SEED = 5
-#: The id that stands for null in the search; no other id is smaller.
-NO_ID = -(1 << 63)
 
 _BASE = 0x9E3779B97F4A7C15  # any odd number
 _BACK = pow(_BASE, -1, 1 << 64)
@@ -206,8 +204,6 @@ def windows(docs: DataFrame, opened: DataFrame, window: int = WINDOW) -> DataFra
                 own = batch.column(2)[i].values
                 words = Words(text, hasher)
                 anchor, start, count = (own.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-                fits = start + count - 1 + window <= len(words.words)  # rows that share an id may differ
-                anchor, start, count = anchor[fits], start[fits], count[fits]
                 order = np.argsort(start, kind="stable")
                 each = np.repeat(start[order], count[order]) + (
                     np.arange(count.sum()) - np.repeat(np.cumsum(count[order]) - count[order], count[order]))
@@ -219,13 +215,26 @@ def windows(docs: DataFrame, opened: DataFrame, window: int = WINDOW) -> DataFra
     return docs.join(lists, "doc").select("doc", "text", "own").mapInArrow(run, _SCHEMA)
 
 
-def find_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW,
-                 seed: int = SEED) -> DataFrame:
-    """Maximal repeats: ``doc, spans``, one row per document that has any.
-    ``spans`` is a sorted array of (start, end) word positions, end exclusive;
-    ``doc`` is the id, or ``NO_ID`` for null."""
-    rows = sources_of(docs, doc_id, text).select(
-        F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("doc"), text_or_empty(text).alias("text"))
+def placed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc, doc_id, text``: ``doc`` numbers the rows in order of id, null
+    first.  It is the id itself where every row has one of its own."""
+    rows = sources_of(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
+    number = F.col("doc_id").cast("long")
+    ids = rows.groupBy(number.alias("id")).agg(F.count("*").alias("n"))
+    if ids.where("id is null or n > 1").isEmpty():
+        return rows.select(number.alias("doc"), "doc_id", "text")
+    keyed = with_row_key(rows)
+    order = [number.asc_nulls_first(), F.col("row_key").asc()]
+    numbers = materialize(keyed.select("doc_id", "row_key").repartitionByRange(*order).sortWithinPartitions(*order)
+                          .select("row_key", F.monotonically_increasing_id().alias("doc")))
+    return materialize(keyed.join(numbers, "row_key").select("doc", "doc_id", "text"))
+
+
+def find_repeats(rows: DataFrame, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+    """Maximal repeats of ``doc, text`` rows: ``doc, spans``, one row per
+    document that has any.  ``spans`` is a sorted array of (start, end) word
+    positions, end exclusive."""
+    rows = rows.select("doc", "text")
     first = materialize(repeats(occurrences(rows, window, seed), last=False))
     second = repeats(windows(rows, first.where("open"), window), last=True)
     covered = first.where("not open").select("doc", "start", "count").unionByName(second.select("doc", "start", "count"))
@@ -264,10 +273,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                       batch.column(2)]
             yield pa.RecordBatch.from_arrays(arrays + ([] if digest_only else [pa.array(out[3], pa.string())]), names=names)
 
-    spans = find_repeats(docs, doc_id, text, window, seed)
-    rows = sources_of(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
-    joined = (rows.join(spans, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("doc"), "left")
-              .select("doc_id", "text", "spans"))
+    rows = placed(docs, doc_id, text)
+    spans = find_repeats(rows, window, seed).withColumnRenamed("doc", "span_doc")
+    joined = rows.join(spans, F.col("doc") == F.col("span_doc"), "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", "spans"] + ([] if digest_only else ["kept_text"])
     schema = (f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words long, n_removed long, kept_sha256 string, "
               "spans array<struct<start:int,end:int>>" + ("" if digest_only else ", kept_text string"))
