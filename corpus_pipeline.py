@@ -57,7 +57,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, as often as the mix takes them, in training order."""
-    return curriculum(docs, mix(docs, cut_last=False))
+    rows = with_row_key(docs)
+    return curriculum(rows, mix(rows, cut_last=False, row="row_key"), row="row_key").drop("row_key")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

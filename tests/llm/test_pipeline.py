@@ -1,7 +1,13 @@
 """The pipeline: columns, decisions and rows of every stage."""
 
+from collections import Counter
+
+import pytest
+
 import corpus_pipeline as P
 from tests.llm.test_operators import docs, nothing  # noqa: F401
+from textdrift.llm import mixing
+from textdrift.llm.common import with_row_key
 from textdrift.llm.substring_dedup import remove_repeats
 
 
@@ -41,3 +47,19 @@ def test_substring_spans_of_one_row_do_not_touch_rows_with_the_same_id(spark):
     assert ones == [(1, 40, 40), (None, 40, 0), (None, 40, 0)]
     # of the three rows with the passage, one keeps it; the words before it in the last stand in a row without an id
     assert sum(g[2] for g in got if g[0] == 2) == 120
+
+
+def test_rows_without_an_id_or_sharing_one_are_mixed_one_by_one(spark):
+    rows = [(None if i < 30 else 5 if i < 40 else i, " ".join(f"t{i}" for _ in range(20)), "en", "ab"[i % 2]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    keyed = with_row_key(frame)
+    mixed = mixing.mix(keyed, cut_last=False, row="row_key").collect()
+    text = {r["row_key"]: r["text"] for r in keyed.collect()}
+    out = P.mixing_stage(spark, frame, "")
+    assert out.columns == frame.columns
+    got = Counter(r["text"] for r in out.collect())
+    assert sum(got.values()) == sum(r["copies"] for r in mixed) and max(got.values()) <= 2
+    again = mixing.curriculum(keyed, mixing.mix(keyed, cut_last=False, row="row_key"), row="row_key")
+    assert Counter(r["text"] for r in again.collect()) == +Counter({text[r["row"]]: r["copies"] for r in mixed})
+    with pytest.raises(ValueError):
+        mixing.curriculum(frame, mixing.mix(frame, cut_last=False))

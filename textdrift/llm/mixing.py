@@ -33,7 +33,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, materialize, sources_of, text_or_empty
+from .common import WORD, documents, materialize, text_or_empty
 
 #: (time, weight) knots.  Integrals over 0..1: 5, 2 and 1.
 SCHEDULES = (
@@ -67,12 +67,16 @@ def time_of(share: Column, knots: Knots) -> Column:
     return out.otherwise(F.lit(1.0))
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """``doc_id, source, size, place``: size in words, place the MD5 of the id."""
-    return sources_of(docs, doc_id, text, source).select(
+def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+          row: str | None = None) -> DataFrame:
+    """``doc_id, source, size, place`` and, if named, ``row``: size in words,
+    place the MD5 of the id (of the row's key, where there is no id)."""
+    key = [] if row is None else [F.col(row).alias("row")]
+    name = F.lit("") if row is None else F.concat(F.lit("row "), F.col(row).cast("string"))
+    return docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("place"))
+        F.md5(F.coalesce(F.col(doc_id).cast("string"), name)).alias("place"), *key)
 
 
 def targets(sizes: DataFrame, schedules: Sequence[Knots] = SCHEDULES, budget: float = 1.5,
@@ -109,9 +113,10 @@ def targets(sizes: DataFrame, schedules: Sequence[Knots] = SCHEDULES, budget: fl
 
 def mix(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, budget: float = 1.5,
         max_epochs: float = 2.0, cut_last: bool = True, rows_per_bucket: int = ROWS_PER_BUCKET,
-        doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+        doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None) -> DataFrame:
     """The mix, one row per document: ``doc_id, source, size, source_size,
-    target, copies, taken, positions``.
+    target, copies, taken, positions`` and, if ``row`` names a column of
+    ``docs`` with a key per row, that key as ``row``.
 
     ``positions`` has the training position of each copy.  With ``cut_last``
     the copy that crosses the end of its source's demand is taken up to that
@@ -119,7 +124,8 @@ def mix(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, budget: float =
     copies are whole and the one that crosses is taken if at least half of it
     lies inside.  Documents that no pass reaches have ``copies = 0``.
     """
-    sizes = materialize(sized(docs, doc_id, text, source))
+    sizes = materialize(sized(docs, doc_id, text, source, row))
+    own = [] if row is None else ["row"]
     plan = materialize(targets(sizes, schedules, budget, max_epochs, rows_per_bucket))
     # 32 bits of the MD5 as a number in 0..1, then the bucket inside the source
     unit = F.conv(F.substring("place", 1, 8), 16, 10).cast("double") / F.lit(2.0 ** 32)
@@ -131,7 +137,7 @@ def mix(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, budget: float =
                .rowsBetween(Window.unboundedPreceding, -1))
     starts = totals.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"),
                            F.coalesce(F.sum("bucket_size").over(earlier), F.lit(0)).alias("b_start"))
-    inside = (Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size")
+    inside = (Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size", *own)
               .rowsBetween(Window.unboundedPreceding, -1))
     placed = (rows.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
               .join(starts, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
@@ -156,7 +162,7 @@ def mix(docs: DataFrame, schedules: Sequence[Knots] = SCHEDULES, budget: float =
             .withColumn("positions", F.when(F.col("target") > 0, positions))
             .select("doc_id", "source", "size", "source_size", "target",
                     F.size("used").alias("copies"), "taken", "positions",
-                    F.when(F.col("target") > 0, F.col("start") / F.col("target")).alias("reach"), "place"))
+                    F.when(F.col("target") > 0, F.col("start") / F.col("target")).alias("reach"), "place", *own))
 
 
 def by_position(mixed: DataFrame) -> DataFrame:
@@ -167,17 +173,18 @@ def by_position(mixed: DataFrame) -> DataFrame:
     return rows.repartitionByRange("position", "place").sortWithinPartitions("position", "place")
 
 
-def curriculum(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def curriculum(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, in training order.
-    Rows without an id are matched with each other.  ``docs`` must have an id
-    per row for exact repetition; repeated ids repeat as often as the mix
-    takes their rows together."""
-    copies = (mixed.where("copies > 0")
-              .select(F.col("doc_id").alias("mix_id"), "place", F.explode("positions").alias("mix_position")))
-    per_id = copies.groupBy("mix_id").agg(F.collect_list("mix_position").alias("mix_positions"))
-    rows = docs.join(per_id, F.col(doc_id).eqNullSafe(F.col("mix_id")))
-    out = materialize(rows.withColumn("mix_position", F.explode("mix_positions"))
-                      .withColumn("mix_place", F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit("")))))
+
+    Each row meets its own row of the mix: by ``row``, the key that ``mix``
+    was given, or else by the id, which must then tell all rows apart."""
+    key, name = (doc_id, "doc_id") if row is None else (row, "row")
+    if not docs.groupBy(key).agg(F.count("*").alias("n_rows")).where("n_rows > 1").isEmpty():
+        raise ValueError(f"{key} does not tell the rows apart: give mix and curriculum a key per row")
+    own = (mixed.where("copies > 0")
+           .select(F.col(name).alias("mix_key"), F.col("place").alias("mix_place"), F.col("positions").alias("mix_positions")))
+    rows = docs.join(own, F.col(key).eqNullSafe(F.col("mix_key")))
+    out = materialize(rows.withColumn("mix_position", F.explode("mix_positions")))
     return (out.repartitionByRange("mix_position", "mix_place")
             .sortWithinPartitions("mix_position", "mix_place").select(*docs.columns))
 
