@@ -303,3 +303,24 @@ def test_embedding_links(spark):
     assert all(got[i]["n_links"] <= near[i].sum() - 1 for i in range(len(rows)))
     assert all(got[i[0]]["n_links"] == 0 and got[i[0]]["kept"] for i in odd)
     assert nn_descent.near_duplicates(frame.where("vec_id < 0")).count() == 0
+
+
+def test_embedding_links_between_dense_clusters(spark):
+    rng = np.random.default_rng(6)
+    centre = np.zeros((2, 16))
+    centre[:, 0], centre[1, 1] = 1, 0.28  # cosine 0.963
+    rows = [centre[i % 2] + 0.002 * rng.standard_normal(16) for i in range(80)]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = {(r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(frame).collect()}
+    assert got == {(79, 0)}
+
+
+def test_embedding_links_are_whole_when_the_search_fails(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    base = rng.standard_normal((25, 16))
+    rows = [base[0] + 0.02 * rng.standard_normal(16) for _ in range(60)] + [base[1 + i // 2] + 0.02 * rng.standard_normal(16) for i in range(40)]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    search = nn_descent.descend
+    monkeypatch.setattr(nn_descent, "descend", lambda *a, **k: search(*a, **k).where("u < 0"))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(frame, codes=nn_descent.CODES * 16).collect()}
+    assert got == {i: (59, 0) if i < 60 else (1, i - i % 2) for i in range(100)}

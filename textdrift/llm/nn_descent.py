@@ -11,10 +11,13 @@
 5. A list all of whose entries are links is saturated: the node may have more.
    Lists in components with such a node are enlarged to the whole component,
    whose members are compared with each other in blocks, and only counts leave
-   a block.
+   a block.  Links between components can be missing only if both ends are
+   saturated; these nodes are compared across components, except where the
+   triangle inequality rules a link out.
 6. Audit: the links of a bounded, hashed sample of nodes are counted by brute
    force against all nodes, in blocks.  Below ``recall`` the search is repeated
-   with twice the starting codes, on top of the lists so far.
+   with twice the starting codes, on top of the lists so far; if ``MOST_CODES``
+   are not enough, all nodes are compared with each other in blocks.
 
 A group of rows that are compared with each other is cut into chunks of
 bounded size, so no task holds an unbounded group.
@@ -33,7 +36,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import find_components, materialize, sources_of
@@ -42,6 +45,7 @@ THRESHOLD = 0.95
 NEIGHBOURS = 16
 CODES = 6
 RECALL = 0.98
+MOST_CODES = 96
 ROUNDS = 12
 #: Rows compared with each other at once; nodes checked by brute force.
 CHUNK = 256
@@ -216,6 +220,123 @@ def descend(nodes: DataFrame, n: int, lists: DataFrame | None, k: int, codes: ra
     return lists
 
 
+def _to_pairs(rows: DataFrame, key: str, blocks: Column) -> DataFrame:
+    """Every row once for each pair ``lo, hi`` of blocks that its block
+    ``own`` is in."""
+    return (rows.withColumn("own", F.pmod(F.xxhash64(key), blocks).cast("int"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+            .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other"))
+
+
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Between unit vectors, from their similarities."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", a, b)))
+
+
+def cross_links(full: DataFrame, threshold: float, chunk: int = 512) -> DataFrame | None:
+    """Links between saturated nodes (``component, id, copies, v``) of
+    different components: ``id, links, component, other``, or None if there
+    are no components near enough.
+
+    A component lies in a ball about one of its members.  Balls further apart
+    than a link can be long have no links, nor has a member that is so far
+    from the other ball; what is left is compared in blocks."""
+    reach = float(np.sqrt(2 - 2 * threshold)) + 1e-6
+    centres = (full.groupBy("component").agg(F.min(F.struct("id", "v")).alias("c"))
+               .select(F.col("component").alias("ball"), F.col("c.v").alias("centre")))
+
+    def far(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t = _table(batch)
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_distance(t["v"], t["centre"]))], names=["component", "far"])
+
+    radius = (full.join(centres, F.col("component") == F.col("ball")).select("component", "v", "centre")
+              .mapInArrow(far, "component long, far double").groupBy("component").agg(F.max("far").alias("radius")))
+    balls = materialize(centres.join(radius, F.col("ball") == F.col("component")).select("ball", "centre", "radius"))
+    n = balls.count()
+    if n < 2:
+        return None
+
+    def close(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["lo", "hi"], 1 << 30):  # two blocks at most
+            left, right = g["own"] == g["lo"][0], g["own"] == g["hi"][0]
+            gap = np.sqrt(np.maximum(0.0, 2 - 2 * (g["centre"][left] @ g["centre"][right].T)))
+            a, b = np.nonzero(gap <= g["radius"][left][:, None] + g["radius"][right][None, :] + reach)
+            a, b = g["ball"][left][a], g["ball"][right][b]
+            a, b = a[a != b], b[a != b]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    pairs = materialize(_to_pairs(balls, "ball", F.lit(-(-n // chunk))).repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+                        .select("lo", "hi", "own", "ball", "centre", "radius").mapInArrow(close, "a long, b long").distinct())
+    if pairs.isEmpty():
+        return None
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    towards = both.join(balls, F.col("b") == F.col("ball")).select("a", "b", "centre", "radius")
+
+    def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                t = _table(batch)
+                yield batch.filter(pa.array(_distance(t["v"], t["centre"]) <= t["radius"] + reach)).select(["a", "b", "id", "copies", "v"])
+
+    sides = materialize(full.join(towards, F.col("component") == F.col("a")).select("a", "b", "id", "copies", "v", "centre", "radius")
+                        .mapInArrow(near, "a long, b long, id long, copies long, v array<double>")
+                        .select(F.least("a", "b").alias("p"), F.greatest("a", "b").alias("q"), (F.col("a") < F.col("b")).alias("left"),
+                                "id", "copies", "v"))
+    blocks = lambda side: F.ceil(F.sum(side.cast("long")) / chunk).cast("int")
+    size = sides.groupBy("p", "q").agg(blocks(F.col("left")).alias("p_blocks"), blocks(~F.col("left")).alias("q_blocks"))
+    size = size.where("p_blocks > 0 and q_blocks > 0")
+    dealt = (sides.join(size, ["p", "q"])
+             .withColumn("own", F.pmod(F.xxhash64("id"), F.when(F.col("left"), F.col("p_blocks")).otherwise(F.col("q_blocks"))))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("left"), F.col("q_blocks")).otherwise(F.col("p_blocks")) - 1)))
+             .select("p", "q", F.when(F.col("left"), F.col("own")).otherwise(F.col("other")).cast("long").alias("lo"),
+                     F.when(F.col("left"), F.col("other")).otherwise(F.col("own")).cast("long").alias("hi"), "left", "id", "copies", "v"))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["p", "q", "lo", "hi"], 1 << 30):  # two blocks at most
+            left = g["left"].astype(bool)
+            links = (g["v"][left] @ g["v"][~left].T >= threshold).astype(np.int64)
+            ids = np.concatenate([g["id"][left], g["id"][~left]])
+            n = np.concatenate([links @ g["copies"][~left], g["copies"][left] @ links])
+            own = np.where(np.arange(len(ids)) < left.sum(), g["p"][0], g["q"][0])
+            some = n > 0
+            yield pa.RecordBatch.from_arrays([pa.array(x[some]) for x in (ids, n, own, g["p"][0] + g["q"][0] - own)],
+                                             names=["id", "links", "component", "other"])
+
+    return materialize(dealt.repartition("p", "q", "lo", "hi").sortWithinPartitions("p", "q", "lo", "hi")
+                       .mapInArrow(compare, "id long, links long, component long, other long"))
+
+
+def exact_links(nodes: DataFrame, n: int, threshold: float, chunk: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """The results of ``count_links``, by comparing all nodes in blocks."""
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["lo", "hi"], 1 << 30):  # two blocks at most
+            left, right = g["own"] == g["lo"][0], g["own"] == g["hi"][0]
+            a, b = g["id"][left], g["id"][right]
+            links = (g["v"][left] @ g["v"][right].T >= threshold) & (a[:, None] != b[None, :])
+            # the smallest node that is reached inside the two blocks
+            top, low_a, low_b = np.iinfo(np.int64).max, a, b
+            while links.any():
+                new_a = np.minimum(low_a, np.where(links, low_b[None, :], top).min(axis=1))
+                new_b = np.minimum(low_b, np.where(links, new_a[:, None], top).min(axis=0))
+                same = (new_a == low_a).all() and (new_b == low_b).all()
+                low_a, low_b = new_a, new_b
+                if same:
+                    break
+            parts = [(a, links @ g["copies"][right], low_a)]
+            if g["lo"][0] != g["hi"][0]:
+                parts.append((b, g["copies"][left] @ links, low_b))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts)], names=["id", "links", "low"])
+
+    found = materialize(_to_pairs(nodes, "id", F.lit(max(1, -(-n // chunk)))).select("lo", "hi", "own", "id", "copies", "v")
+                        .repartition("lo", "hi").sortWithinPartitions("lo", "hi")
+                        .mapInArrow(compare, "id long, links long, low long").where("links > 0"))
+    links = materialize(found.groupBy("id").agg(F.sum("links").alias("links")))
+    component = materialize(find_components(found.select(F.col("id").alias("a"), F.col("low").alias("b"))))
+    return links, component.select(F.col("node").alias("id"), "component")
+
+
 def count_links(lists: DataFrame, nodes: DataFrame, k: int, threshold: float, chunk: int = 512) -> tuple[DataFrame, DataFrame]:
     """(``id, links`` for nodes that have any, ``id, component``).  ``links``
     counts other nodes with their multiplicity."""
@@ -231,11 +352,8 @@ def count_links(lists: DataFrame, nodes: DataFrame, k: int, threshold: float, ch
             .groupBy(F.col("u").alias("id")).agg(F.sum("copies").alias("links")))
     # every member goes to all pairs of blocks that its block is in
     size = counted.where("dense").groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("blocks"))
-    members = (counted.where("dense").join(size, "component").join(nodes, "id")
-               .withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("component", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own",
-                       "id", "copies", "v"))
+    members = (_to_pairs(counted.where("dense").join(size, "component").join(nodes, "id"), "id", F.col("blocks"))
+               .select("component", "lo", "hi", "own", "id", "copies", "v"))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["component", "lo", "hi"], 1 << 30):  # two blocks at most
@@ -252,7 +370,15 @@ def count_links(lists: DataFrame, nodes: DataFrame, k: int, threshold: float, ch
 
     thick = (members.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
              .mapInArrow(compare, "id long, links long").groupBy("id").agg(F.sum("links").alias("links")))
-    return materialize(thin.unionByName(thick)), counted.select("id", "component")
+    saturated = materialize(counted.join(full, F.col("id") == F.col("node")).join(nodes, "id").select("component", "id", "copies", "v"))
+    cross = cross_links(saturated, threshold)
+    if cross is None:
+        return materialize(thin.unionByName(thick)), counted.select("id", "component")
+    joined = find_components(cross.select("component", "other").distinct(), "component", "other")
+    joined = joined.select(F.col("node").alias("old"), F.col("component").alias("whole"))
+    counted = counted.join(joined, F.col("component") == F.col("old"), "left")
+    links = thin.unionByName(thick).unionByName(cross.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
+    return materialize(links), materialize(counted.select("id", F.coalesce("whole", "component").alias("component")))
 
 
 def audit(links: DataFrame, nodes: DataFrame, n: int, threshold: float, most: int = AUDIT) -> tuple[int, int]:
@@ -292,7 +418,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
         lists = descend(nodes, n, lists, k, range(done, codes))
         links, component = count_links(lists, nodes, k, threshold)
         found, there = audit(links, nodes, n, threshold)
-        if found >= recall * there or codes >= 96:
+        if found >= recall * there:
+            break
+        if codes >= MOST_CODES:
+            links, component = exact_links(nodes, n, threshold)
             break
         done, codes = codes, 2 * codes
     per_node = (nodes.select("id", "copies").join(links, "id", "left").join(component, "id", "left")
