@@ -324,3 +324,15 @@ def test_embedding_links_are_whole_when_the_search_fails(spark, monkeypatch):
     monkeypatch.setattr(nn_descent, "descend", lambda *a, **k: search(*a, **k).where("u < 0"))
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.near_duplicates(frame, codes=nn_descent.CODES * 16).collect()}
     assert got == {i: (59, 0) if i < 60 else (1, i - i % 2) for i in range(100)}
+
+
+def test_embedding_audit_sees_small_groups_beside_a_dense_one(spark):
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((25, 16))
+    rows = [base[0] + 0.02 * rng.standard_normal(16) for _ in range(60)] + [base[1 + i // 2] + 0.02 * rng.standard_normal(16) for i in range(40)]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    search = nn_descent.descend
+    with pytest.MonkeyPatch.context() as patch:  # every link of the pairs is missed
+        patch.setattr(nn_descent, "descend", lambda *a, **k: search(*a, **k).where("u < 60 and w < 60"))
+        got = {r["vec_id"]: r["n_links"] for r in nn_descent.near_duplicates(frame, codes=nn_descent.MOST_CODES).collect()}
+    assert got == {i: 59 if i < 60 else 1 for i in range(100)}

@@ -14,8 +14,11 @@
    a block.  Links between components can be missing only if both ends are
    saturated; these nodes are compared across components, except where the
    triangle inequality rules a link out.
-6. Audit: the links of a bounded, hashed sample of nodes are counted by brute
-   force against all nodes, in blocks.  Below ``recall`` the search is repeated
+6. Audit: the links of a bounded, hashed sample of nodes (of those in dense
+   components, in other components, and without links) are counted by brute
+   force against all nodes, in blocks.  The recall is the share of nodes whose
+   count is complete, for dense components and for the rest; if either is
+   below ``recall`` the search is repeated
    with twice the starting codes, on top of the lists so far; if ``MOST_CODES``
    are not enough, all nodes are compared with each other in blocks.
 
@@ -338,8 +341,8 @@ def exact_links(nodes: DataFrame, n: int, threshold: float, chunk: int = 2048) -
 
 
 def count_links(lists: DataFrame, nodes: DataFrame, k: int, threshold: float, chunk: int = 512) -> tuple[DataFrame, DataFrame]:
-    """(``id, links`` for nodes that have any, ``id, component``).  ``links``
-    counts other nodes with their multiplicity."""
+    """(``id, links`` for nodes that have any, ``id, component, dense``).
+    ``links`` counts other nodes with their multiplicity."""
     near = materialize(lists.where(F.col("sim") >= threshold))
     pairs = near.select("u", "w").unionByName(near.select(F.col("w").alias("u"), F.col("u").alias("w"))).distinct()
     component = materialize(find_components(near.select(F.col("u").alias("a"), F.col("w").alias("b"))))
@@ -373,22 +376,34 @@ def count_links(lists: DataFrame, nodes: DataFrame, k: int, threshold: float, ch
     saturated = materialize(counted.join(full, F.col("id") == F.col("node")).join(nodes, "id").select("component", "id", "copies", "v"))
     cross = cross_links(saturated, threshold)
     if cross is None:
-        return materialize(thin.unionByName(thick)), counted.select("id", "component")
+        return materialize(thin.unionByName(thick)), counted
     joined = find_components(cross.select("component", "other").distinct(), "component", "other")
     joined = joined.select(F.col("node").alias("old"), F.col("component").alias("whole"))
     counted = counted.join(joined, F.col("component") == F.col("old"), "left")
     links = thin.unionByName(thick).unionByName(cross.select("id", "links")).groupBy("id").agg(F.sum("links").alias("links"))
-    return materialize(links), materialize(counted.select("id", F.coalesce("whole", "component").alias("component")))
-
-
-def audit(links: DataFrame, nodes: DataFrame, n: int, threshold: float, most: int = AUDIT) -> tuple[int, int]:
-    """(links found, links there are) of about ``most`` nodes by hash, the
-    latter counted against every node, block by block."""
-    chosen = nodes.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < int(min(1.0, most / max(1, n)) * (1 << 30)))
-    chosen = materialize(chosen.select("id", "v"))
-    queries = chosen.collect()  # about `most` rows
+    return materialize(links), materialize(counted.select("id", F.coalesce("whole", "component").alias("component"), "dense"))
+
+
+def audit(links: DataFrame, component: DataFrame, nodes: DataFrame, threshold: float, most: int = AUDIT) -> tuple[float, float]:
+    """The share of nodes with links whose count is complete, estimated apart
+    for (thin components and nodes without a component, dense components).
+
+    About ``most`` nodes of each of the two kinds and four times as many
+    without links are drawn by hash and compared with every node, block by
+    block; a kind counts by its size, not by its sample or its links."""
+    kinds = (nodes.select("id").join(component, "id", "left").join(links, "id", "left")
+             .select("id", F.when(F.col("dense"), F.lit("dense")).when(F.col("links") > 0, F.lit("thin")).otherwise(F.lit("none")).alias("kind"),
+                     F.coalesce("links", F.lit(0)).alias("links")))
+    kinds = materialize(kinds)
+    sizes = {r["kind"]: r["count"] for r in kinds.groupBy("kind").count().collect()}  # three rows
+    share = F.lit(0)
+    for kind, size in sizes.items():
+        wanted = most * (4 if kind == "none" else 1)
+        share = F.when(F.col("kind") == kind, int(min(1.0, wanted / size) * (1 << 30))).otherwise(share)
+    chosen = materialize(kinds.where(F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) < share).join(nodes.select("id", "v"), "id"))
+    queries = chosen.select("id", "v").collect()  # about six times `most` rows
     if not queries:
-        return 0, 0
+        return 1.0, 1.0
     shared = nodes.sparkSession.sparkContext.broadcast(
         (np.array([q["id"] for q in queries]), np.array([q["v"] for q in queries])))
 
@@ -404,8 +419,15 @@ def audit(links: DataFrame, nodes: DataFrame, n: int, threshold: float, most: in
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["id", "there"])
 
     there = nodes.select("id", "copies", "v").mapInArrow(check, "id long, there long").groupBy("id").agg(F.sum("there").alias("there"))
-    got = there.join(links, "id", "left").agg(F.sum(F.least(F.coalesce("links", F.lit(0)), "there")), F.sum("there")).first()
-    return int(got[0] or 0), int(got[1] or 0)
+    judged = (chosen.select("id", "kind", "links").join(there, "id").groupBy("kind")
+              .agg(F.count("*").alias("drawn"), F.sum((F.col("there") > 0).cast("long")).alias("have"),
+                   F.sum(((F.col("there") > 0) & (F.col("links") >= F.col("there"))).cast("long")).alias("complete")).collect())
+
+    def recall(*names: str) -> float:
+        have = sum(sizes[r["kind"]] / r["drawn"] * r["have"] for r in judged if r["kind"] in names)
+        return sum(sizes[r["kind"]] / r["drawn"] * r["complete"] for r in judged if r["kind"] in names) / have if have else 1.0
+
+    return recall("thin", "none"), recall("dense")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = NEIGHBOURS, codes: int = CODES,
@@ -417,8 +439,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, k: int = N
     while True:
         lists = descend(nodes, n, lists, k, range(done, codes))
         links, component = count_links(lists, nodes, k, threshold)
-        found, there = audit(links, nodes, n, threshold)
-        if found >= recall * there:
+        if min(audit(links, component, nodes, threshold)) >= recall:
             break
         if codes >= MOST_CODES:
             links, component = exact_links(nodes, n, threshold)
