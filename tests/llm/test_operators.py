@@ -336,3 +336,16 @@ def test_embedding_audit_sees_small_groups_beside_a_dense_one(spark):
         patch.setattr(nn_descent, "descend", lambda *a, **k: search(*a, **k).where("u < 60 and w < 60"))
         got = {r["vec_id"]: r["n_links"] for r in nn_descent.near_duplicates(frame, codes=nn_descent.MOST_CODES).collect()}
     assert got == {i: 59 if i < 60 else 1 for i in range(100)}
+
+
+def test_secret_scan_beside_public_parts_and_in_hex_stretches(spark):
+    key, digits = "Zk9qLw8RtY2xPv5nBm3cHd7sQ1", hashlib.md5(b"x").hexdigest().upper()
+    texts = [f"{before}{key}" for before in ("/sample/", "------", "======", "AAAAAA", "your-", "12345678")]
+    texts += [f"SIG={digits}", f"0x{digits}"]
+    texts += [f"EXAMPLE{key}", f"{key}example", f"{'A' * 30}/{'1-' * 15}", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["base"], [(s["start"], s["end"]) for s in r["added"]]) for r in secrets.scan(frame).collect()}
+    for i, t in enumerate(texts):
+        at = t.find(digits if i in (6, 7) else key)
+        covered = {x for s in got[i][1] for x in range(*s)}
+        assert not got[i][0] and (covered >= set(range(at, len(t))) if i < 8 else not covered), t

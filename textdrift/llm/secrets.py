@@ -6,16 +6,18 @@ Two finders work on each whole text, with DataFrame expressions only:
   non-overlapping per kind;
 * entropy: every run of at least 20 key characters is a candidate.  For each
   character class (hex digits; base-64 characters) a window of 20 slides over
-  the candidate.  One array of counts per candidate is updated by the
-  character that enters and the one that leaves, and with it the sum of
-  c*log2(c), so a step costs the same whatever the window.  Windows at or
-  above the class's threshold are merged into spans.
-
-The allow-list suppresses candidates that are public by nature (UUIDs,
-integrity digests, documentation examples, alphabets, repetitive fillers) and
-candidates without both a letter and a digit.  It acts on entropy spans only;
-spans of the patterns always stay.  An entropy span that overlaps a pattern's
-span is the same finding and is left out.
+  the longest stretches of that class in the candidate.  One array of counts
+  per stretch is updated by the character that enters and the one that leaves,
+  and with it the sum of c*log2(c), so a step costs the same whatever the
+  window.  Windows at or above the class's threshold are merged into spans.
+
+The allow-list suppresses what is public by nature: UUIDs, integrity digests,
+alphabets, repetitive fillers, and the word of a candidate (letters and digits)
+that names itself an example.  It cuts these parts out, and the windows slide
+over what is left on either side.  Candidates without both a letter and a digit
+are left out.  All this acts on entropy spans only; spans of the patterns
+always stay.  A hex span inside a base-64 span is the same finding, and so is
+an entropy span that overlaps a pattern's span; both are left out.
 
 Positions are code points, ends exclusive.  Defined cases: a null or empty
 text has no spans; several rows with one id are scanned one by one; further
@@ -24,8 +26,9 @@ columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +48,7 @@ HINTS = {"assign": r"(?i:password|passwd|secret|token|api_?key)", "access": r"AK
 
 CANDIDATE = r"([A-Za-z0-9+/_=-]{20,})"
 WINDOW = 20
+HEX_STRETCH = r"[0-9a-fA-F]{20}"
 #: (kind, alphabet as a pattern, alphabet in order, least bits per character)
 CLASSES = (
     ("entropy_hex", r"^[0-9a-fA-F]+$", "0123456789abcdefABCDEF", 3.0),
@@ -58,6 +62,17 @@ ALLOW = (
     r"(.)\1{5}",
 )
 
+#: The part of a candidate that each of ``ALLOW`` but the first, which is about
+#: whole candidates, makes public; the documented access key is named in full.
+PUBLIC = (
+    r"^sha(?:1-[A-Za-z0-9+/]{0,27}|256-[A-Za-z0-9+/]{0,43}|384-[A-Za-z0-9+/]{0,64}|512-[A-Za-z0-9+/]{0,86})=*"
+    r"|[A-Za-z0-9+/]{30}EXAMPLEKEY"
+    r"|(.)\1{5,}"
+    r"|(?i:abcdefgh|01234567|12345678|qwertyui|your[_-])"
+    r"|(?<![A-Za-z0-9])[A-Za-z0-9]*(?i:example|placeholder|changeme|dummy|sample)[A-Za-z0-9]*"
+    r"|(?i:example|placeholder|changeme|dummy|sample)[A-Za-z0-9]*"
+)
+
 SPAN = "array<struct<start:int,end:int,ord:int,kind:string>>"
 
 
@@ -139,15 +154,32 @@ def _kept(matches: str, order: int, kind: str, least: int) -> Column:
                        lambda m: _span(m["start"], m["start"] + F.length(m["match"]), order, kind))
 
 
-def _of_class(runs: Column, members: str, others: Sequence[str]) -> Column:
-    """The runs of one character class: those that no earlier class takes."""
-    for other in others:
-        runs = _without(runs, other)
-    return F.filter(runs, lambda m: m["value"].rlike(members))
+_PIECE = "array<struct<start:int,value:string>>"
+
+
+def _cut(m: Column, pattern: str) -> Column:
+    """The stretches of a run before, between and behind the matches."""
+    gaps, found = F.split(m["value"], pattern, -1), F.regexp_extract_all(m["value"], F.lit(pattern), F.lit(0))
+    parts = F.arrays_zip(gaps.alias("gap"), found.alias("cut"))
+    start = F.struct(m["start"].cast("int").alias("at"), F.array().cast(_PIECE).alias("out"))
+
+    def add(s: Column, part: Column) -> Column:
+        item = F.struct(s["at"].alias("start"), part["gap"].alias("value"))
+        end = s["at"] + F.length(part["gap"]) + F.coalesce(F.length(part["cut"]), F.lit(0))
+        return F.struct(end.alias("at"), F.when(F.length(part["gap"]) >= WINDOW, F.concat(s["out"], F.array(item)))
+                        .otherwise(s["out"]).alias("out"))
+
+    return F.aggregate(parts, start, add, lambda s: s["out"])
+
+
+def _cut_where(runs: Column, hint: Callable[[Column], Column], pattern: str) -> Column:
+    """``runs`` with those for which ``hint`` holds cut by ``pattern``."""
+    whole = lambda m: F.array(F.struct(m["start"].cast("int").alias("start"), m["value"].alias("value"))).cast(_PIECE)
+    return F.flatten(F.transform(runs, lambda m: F.when(hint(m["value"]), _cut(m, pattern)).otherwise(whole(m))))
 
 
-def _without(runs: Column, pattern: str) -> Column:
-    return F.filter(runs, lambda m: ~m["value"].rlike(pattern))
+def _mixed(value: Column) -> Column:
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
 
 
 def _windowed(runs: Column, order: int, kind: str, alphabet: str, bits: float) -> Column:
@@ -159,7 +191,7 @@ def _count(kind: str) -> Column:
 
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
-         allow: Sequence[str] = ALLOW) -> DataFrame:
+         allow: Sequence[str] = ALLOW, cut: str = PUBLIC) -> DataFrame:
     """``doc_id, base, added``: two arrays of (start, end, ord, kind) spans,
     ``base`` in order of start and kind, ``added`` the entropy spans."""
     df = sources_of(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
@@ -171,20 +203,19 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     df = (df.withColumn("base", F.array_sort(F.concat(*base)))
           .drop("text", *[f"_{k}" for k, _, _ in KINDS]))
 
-    def wanted(m: Column) -> Column:
-        v = m["value"]
-        ok = v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-        for pattern in allow:
-            ok = ok & ~v.rlike(pattern)
-        return ok
+    def public(v: Column) -> Column:
+        return functools.reduce(lambda a, b: a | b, [v.rlike(p) for p in allow[1:]])
 
-    df = df.withColumn("_runs", F.filter("_runs", wanted))
+    whole = F.filter("_runs", lambda m: _mixed(m["value"]) & ~m["value"].rlike(allow[0]))
+    df = df.withColumn("_runs", _cut_where(whole, public, cut))
     none = F.array().cast(SPAN)
-    added = []
-    for k, (kind, members, alphabet, bits) in enumerate(CLASSES):
-        mine = _of_class(F.col("_runs"), members, [c[1] for c in CLASSES[:k]])
-        added.append(_windowed(mine, len(KINDS) + k, kind, alphabet, bits))
-    spans = F.when(F.size("_runs") > 0, F.concat(*added)).otherwise(none)
+    (hex_kind, members, hex_alphabet, hex_bits), (kind, _, alphabet, bits) = CLASSES
+    digits = _cut_where(F.filter("_runs", lambda m: m["value"].rlike(HEX_STRETCH)), lambda v: F.lit(True), "[^0-9a-fA-F]+")
+    df = df.withColumn("_digits", F.filter(digits, lambda m: _mixed(m["value"])))
+    df = df.withColumn("_wide", _windowed(F.filter("_runs", lambda m: ~m["value"].rlike(members)), len(KINDS) + 1, kind, alphabet, bits))
+    narrow = F.filter(_windowed(F.col("_digits"), len(KINDS), hex_kind, hex_alphabet, hex_bits),
+                      lambda s: ~F.exists("_wide", lambda w: (w["start"] <= s["start"]) & (s["end"] <= w["end"])))
+    spans = F.when(F.size("_runs") > 0, F.concat(narrow, "_wide")).otherwise(none)
     fresh = F.filter("_all", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return (df.withColumn("_all", spans).withColumn("added", F.array_sort(fresh))
             .select("doc_id", "base", "added"))
