@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from textdrift.plans.registry import spark_round
 
-from . import (exact_dedup, language_id, mixing, ngram_trie, nn_descent, packing, secrets, simhash_golay, substring_dedup,
-               toxicity)
+from . import (exact_dedup, language_id, merkle, mixing, ngram_trie, nn_descent, packing, rule_forest, secrets,
+               simhash_golay, substring_dedup, toxicity, whitening)
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -18,10 +18,14 @@ QUERIES = {
     "op8_secret_scan": secrets.op8,
     "op9_simhash_golay": simhash_golay.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op11_rule_forest": rule_forest.op11,
+    "op12_octopus_manifest": merkle.op12,
+    "op13_bit_sliced_whitening": whitening.op13,
 }
 
 ORACLES = {
     "op2_source_mix": spark_round(mixing.OP2_SQL),
     "op6_digest_index": exact_dedup.OP6_SQL,
     "op10_substring_dedup": substring_dedup.OP10_SQL,
+    "op12_octopus_manifest": merkle.OP12_SQL,
 }
