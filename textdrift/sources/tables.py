@@ -138,7 +138,11 @@ def events_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     Diversity = value, HighFreq = k/100 from the JSON props, METEOR = value/50,
     Perplexity = value * k.
     """
-    ev = read_table(spark, sf_dir, "events")
+    return events_observations_of(read_table(spark, sf_dir, "events"))
+
+
+def events_observations_of(ev: DataFrame) -> DataFrame:
+    """:func:`events_observations` of rows of ``events``, stored or streamed."""
     k = F.get_json_object("props", "$.k").cast("double")
     return ev.select(
         F.col("event_id"), F.col("ts"),

@@ -10,13 +10,22 @@ newest row's residual ``z_y - rho * z_x`` is tested.  The level follows the
 number of fired rules; the status is sticky and changes only when a rule
 fires.
 
+Missing values (NULL or NaN) fire no rule; window statistics skip them.
+
+Sessions.  With ``idle_seconds`` a key that is silent for longer than that
+starts afresh: its next observation opens a new session with an empty history,
+status ``normal`` and numbers from 0 on.
+
 Batch replay (:func:`monitor_replay`) computes this with windows; a key that
 holds a large share of all rows is split into fixed-size chunks, each carrying
 the last ``W - 1`` rows of the previous chunk (a halo), so no window partition
 grows with the data.  Sequence numbers come from range-partition offsets,
-not from a single-partition ``row_number``.  :func:`monitor_stream` keeps the
-last ``W - 1`` rows per key in ``applyInPandasWithState`` state and gives the
-same rows.
+not from a single-partition ``row_number``; the status and the session are
+carried from chunk to chunk by a scan of blocks (``streaming.carry``).
+
+:func:`monitor_stream` keeps the last ``W - 1`` rows per key in
+``applyInPandasWithState`` state, evaluates a micro-batch's rows by array
+operations (``streaming.rolling``) and gives the same rows.
 """
 
 from __future__ import annotations
@@ -29,22 +38,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textdrift.session import materialize
+from textdrift.streaming.carry import BLOCK, carried
+from textdrift.streaming.rolling import evaluate, sticky
 from textdrift.streaming.rules import (COMPOSITE, COMPOSITE_MIN_WARNINGS, LEVELS,
-                                       RULE_SEVERITY, SUGGESTIONS, MonitorRules,
-                                       suggestion_table)
+                                       RULE_SEVERITY, SUGGESTIONS, MonitorRules, suggestion_table)
 
 REQUIRED = ["Run", "Generation", "Perplexity", "Diversity", "HighFreq", "METEOR"]
+#: Columns that order observations; the stream needs both.
+ORDER = ("ts", "event_id")
+METRIC_COLUMNS = ("HighFreq", "Diversity", "METEOR")
 KEY = "monitor_id"
 
 
-def require_observation_fields(df: DataFrame) -> DataFrame:
-    """Every observation needs the six fields."""
-    missing = [c for c in REQUIRED if c not in df.columns]
+def require_observation_fields(df: DataFrame, order_cols: Sequence[str] = ()) -> DataFrame:
+    """Every observation needs the six fields and those that order it."""
+    missing = [c for c in [*REQUIRED, *order_cols] if c not in df.columns]
     if missing:
         raise ValueError(f"missing required fields: {', '.join(missing)}")
     return df
 
 
+def _without_nan(df: DataFrame) -> DataFrame:
+    """NaN metrics become NULL, so that a comparison with them is never true."""
+    return df.withColumns({c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in METRIC_COLUMNS})
+
+
 # ---------------------------------------------------------------------------
 # Sequence numbers per key without a single-partition window
 # ---------------------------------------------------------------------------
@@ -90,7 +108,7 @@ def _with_halo(seqd: DataFrame, window: int, chunk: int) -> DataFrame:
     c = F.floor(F.col("seq") / chunk)
     own = F.struct(c.alias("chunk"), F.lit(False).alias("halo"))
     nxt = F.struct((c + 1).alias("chunk"), F.lit(True).alias("halo"))
-    in_halo = F.pmod(F.col("seq"), F.lit(chunk)) >= chunk - (window - 1)
+    in_halo = F.pmod(F.col("seq"), F.lit(chunk)) >= chunk - max(window - 1, 1)
     tags = F.when(in_halo, F.array(own, nxt)).otherwise(F.array(own))
     return seqd.withColumn("_t", F.explode(tags)).select("*", "_t.chunk", "_t.halo").drop("_t")
 
@@ -140,36 +158,68 @@ def level_expr(count: Column, thresholds: Sequence[int]) -> Column:
             .when(count >= t1, F.lit(LEVELS[0])))
 
 
+def _sessions(x: DataFrame, idle_seconds: float, time_col: str, block: int) -> DataFrame:
+    """Adds ``session_start`` and ``_first``, the number of the session's first
+    row, to rows with ``chunk`` and ``halo``."""
+    part = [KEY, "chunk"]
+    order = Window.partitionBy(*part).orderBy("_number")
+    micros = F.unix_micros(F.col(time_col).cast("timestamp"))
+    gap = micros - F.lag(micros).over(order)
+    opens = (F.col("_number") == 0) | F.coalesce(gap > F.lit(int(idle_seconds * 1_000_000)), F.lit(False))
+    start = F.when(opens, F.struct(F.col(time_col).cast("timestamp").alias("at"), F.col("_number").alias("number")))
+    x = materialize(x.withColumn("_start", start))
+    lasts = x.where(~F.col("halo")).groupBy(*part).agg(F.max_by("_start", F.when(F.col("_start").isNotNull(), F.col("_number"))).alias("_last"))
+    before = carried(materialize(lasts), [KEY], "chunk", "_last", "_before", block)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    x = x.join(before, part, "left")
+    seen = F.last("_start", ignorenulls=True).over(upto)
+    # a halo row before the last start of the earlier chunks is of an older session, whichever
+    older = F.struct(F.lit(None).cast("timestamp").alias("at"), F.lit(-1).cast("long").alias("number"))
+    session = F.coalesce(seen, F.when(F.col("_before.number") <= F.col("_number"), F.col("_before")), older)
+    return (x.withColumn("_session", session)
+            .withColumn("session_start", F.col("_session.at")).withColumn("_first", F.col("_session.number"))
+            .drop("_start", "_before", "_session"))
+
+
 def monitor_replay(obs: DataFrame, rules: MonitorRules | None = None,
-                   order_cols: Sequence[str] = ("ts", "event_id"), key: Column | None = None,
-                   chunk: int = 10_000, checkpoint: bool = True) -> DataFrame:
+                   order_cols: Sequence[str] = ORDER, key: Column | None = None,
+                   chunk: int = 10_000, checkpoint: bool = True, idle_seconds: float | None = None,
+                   block: int = BLOCK) -> DataFrame:
     """Run the six rules over a stored observation table, row by row.
 
     Output: one row per observation with ``monitor_id, seq``, the inputs, the
     changes, ``relation_residual``, flags ``r1..r6``, ``warnings`` (array of
-    structs), ``warning_count``, ``level`` and sticky ``status``.
+    structs), ``warning_count``, ``level`` and sticky ``status``.  With
+    ``idle_seconds`` (over the first order column) there is ``session_start``
+    as well, and ``seq`` counts within the session.
     """
     rules = rules or MonitorRules()
     W = rules.history_window
     if chunk < W:
         raise ValueError("chunk must be at least the history window")
-    require_observation_fields(obs)
-    seqd = assign_sequence(obs, order_cols, key, checkpoint=checkpoint)
+    require_observation_fields(obs, order_cols)
+    seqd = assign_sequence(_without_nan(obs), order_cols, key, checkpoint=checkpoint)
     x = _with_halo(seqd, W, chunk)
 
     part = [KEY, "chunk"]
-    roll = Window.partitionBy(*part).orderBy("seq").rowsBetween(-(W - 1), 0)
-    by_run = Window.partitionBy(*part, "Run").orderBy("seq")
+    if idle_seconds is None:
+        x = x.withColumns({"_number": F.col("seq"), "_first": F.lit(0).cast("long")})
+    else:
+        x = _sessions(x.withColumn("_number", F.col("seq")), idle_seconds, order_cols[0], block)
+    own = [*part, "_first"] if idle_seconds is not None else part
+    x = x.withColumn("seq", F.col("_number") - F.col("_first"))
+    roll = Window.partitionBy(*own).orderBy("_number").rowsBetween(-(W - 1), 0)
+    by_run = Window.partitionBy(*own, "Run").orderBy("_number")
     hf, dv = F.col("HighFreq"), F.col("Diversity")
     x = x.withColumns({
         "_mx": F.avg(hf).over(roll), "_my": F.avg(dv).over(roll),
         "_sx": F.stddev_pop(hf).over(roll), "_sy": F.stddev_pop(dv).over(roll),
         "_cxy": F.covar_pop(hf, dv).over(roll),
-        "_pseq": F.lag("seq").over(by_run), "_pD": F.lag("Diversity").over(by_run),
+        "_pseq": F.lag("_number").over(by_run), "_pD": F.lag("Diversity").over(by_run),
         "_pH": F.lag("HighFreq").over(by_run), "_pM": F.lag("METEOR").over(by_run),
     })
     x = x.filter(~F.col("halo"))
-    in_window = (F.col("seq") - F.col("_pseq")) <= W - 1
+    in_window = (F.col("_number") - F.col("_pseq")) <= W - 1
 
     def change(cur: str, prev: str) -> Column:
         # x / 0 is +-inf (the rule fires), 0 / 0 has no change, as in pandas.
@@ -182,7 +232,7 @@ def monitor_replay(obs: DataFrame, rules: MonitorRules | None = None,
     zx = (hf - F.col("_mx")) / scale("_sx")
     zy = (dv - F.col("_my")) / scale("_sy")
     rho = F.coalesce(F.try_divide(F.col("_cxy"), F.col("_sx") * F.col("_sy")), F.lit(0.0))
-    hist_len = F.least(F.col("seq") + 1, F.lit(W))
+    hist_len = F.least(F.col("seq") + 1, F.lit(W)).cast("int")
     x = x.withColumns({
         "hist_len": hist_len,
         "evaluated": hist_len >= 2,
@@ -195,26 +245,26 @@ def monitor_replay(obs: DataFrame, rules: MonitorRules | None = None,
     x = x.withColumn("warnings", _warnings(rules))
     x = x.withColumn("warning_count", F.size("warnings"))
     x = x.withColumn("level", level_expr(F.col("warning_count"), rules.level_thresholds))
-
-    # The evaluated rows feed three reads below: write them once (shared
-    # checkpoint folder) instead of recomputing every window three times.
-    x = materialize(x)
-    # W8 sticky status: last level inside the chunk, else carried from the
-    # last earlier chunk that had one (a table with one row per chunk).
-    upto = Window.partitionBy(*part).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    # W8 sticky status: the last level of the same session inside the chunk
+    # (same partitions and order as the windows above: no further exchange) ...
+    upto = Window.partitionBy(*own).orderBy("_number").rowsBetween(Window.unboundedPreceding, 0)
     x = x.withColumn("_in_chunk", F.last("level", ignorenulls=True).over(upto))
-    chunk_last = (x.filter(F.col("level").isNotNull()).groupBy(*part)
-                  .agg(F.max_by("level", "seq").alias("_last")))
-    before = Window.partitionBy(KEY).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (x.select(*part).distinct().join(chunk_last, on=part, how="left")
-             .withColumn("_carry", F.last("_last", ignorenulls=True).over(before))
-             .select(*part, "_carry"))
+    x = materialize(x.drop("_mx", "_my", "_sx", "_sy", "_cxy", "_pseq", "_pD", "_pH", "_pM"))
+    # ... else what earlier chunks left behind, if it is of the same session.
+    lasts = x.groupBy(*part).agg(F.max_by(F.struct("_first", "level"), F.when(F.col("level").isNotNull(), F.col("_number"))).alias("_last"))
+    carry = carried(materialize(lasts), [KEY], "chunk", "_last", "_carry", block)
     x = x.join(carry, on=part, how="left")
-    x = x.withColumn("status", F.coalesce("_in_chunk", "_carry", F.lit("normal")))
+    same = F.when(F.col("_carry._first") == F.col("_first"), F.col("_carry.level"))
+    x = x.withColumn("status", F.coalesce("_in_chunk", same, F.lit("normal")))
     drop = [c for c in x.columns if c.startswith("_")] + ["halo", "chunk"]
     return x.drop(*drop)
 
 
+def _targets() -> dict[int, str]:
+    """Target of every rule, the composite's (rule 0) included."""
+    return {r: target for rules, target, _, _ in SUGGESTIONS for r in rules} | {0: COMPOSITE[0]}
+
+
 def any_warning_in(rules: Sequence[int], col: str = "warnings") -> Column:
     """True when any fired warning belongs to ``rules``."""
     return F.coalesce(F.arrays_overlap(F.col(f"{col}.rule"),
@@ -231,31 +281,33 @@ def fired_rules(df: DataFrame) -> Column:
     return F.concat_ws(",", *[F.when(F.col(f"r{i}"), F.lit(str(i))) for i in range(1, 7)])
 
 
-def flat_alerts(replayed: DataFrame) -> DataFrame:
+def flat_alerts(replayed: DataFrame, further: Sequence[str] = ()) -> DataFrame:
     """One row per fired warning (``explode`` of the warning array)."""
+    names = [KEY, "seq", *further, "Run", "Generation", "warning_count", "level"]
     return (replayed.filter(F.col("warning_count") > 0)
-            .select(KEY, "seq", "Run", "Generation", "warning_count", "level",
-                    F.explode("warnings").alias("w"))
-            .select(KEY, "seq", "Run", "Generation", "warning_count", "level", "w.*"))
+            .select(*names, F.explode("warnings").alias("w")).select(*names, "w.*"))
 
 
-def suggest_actions(replayed: DataFrame) -> DataFrame:
+def suggest_actions(replayed: DataFrame, further: Sequence[str] = ()) -> DataFrame:
     """Suggestions for the fired rules of every evaluated row.
 
     One pass: the fired rule numbers plus a composite marker (rule 0, when
     at least three rules fired) are exploded and joined to a 7-row fixed
     table (broadcast, size known); each target appears once per row.
     """
+    names = [KEY, "seq", *further, "Run", "Generation"]
     spark = replayed.sparkSession
     marker = F.when(F.col("warning_count") >= COMPOSITE_MIN_WARNINGS, F.array(F.lit(0))) \
         .otherwise(F.array().cast("array<int>"))
-    fired = replayed.select(KEY, "seq", "Run", "Generation",
-                            F.explode(F.concat(F.col("warnings.rule"), marker)).alias("rule"))
+    rules = F.concat(F.col("warnings.rule"), marker)
     table = suggestion_table(spark).unionByName(spark.createDataFrame(
         [(0, *COMPOSITE)], "rule int, target string, suggestion string, priority string"))
-    return (fired.join(F.broadcast(table), on="rule")
-            .select(KEY, "seq", "Run", "Generation", "target", "suggestion", "priority")
-            .dropDuplicates([KEY, "seq", "target"]))
+    # rules that share a target are told apart here, inside the row, so that
+    # each target appears once without a shuffle
+    first_of = {r: min(q for q, t in _targets().items() if t == target) for r, target in _targets().items()}
+    mapping = F.create_map(*[F.lit(v) for pair in first_of.items() for v in pair])
+    fired = replayed.select(*names, F.explode(F.array_distinct(F.transform(rules, lambda r: mapping[r]))).alias("rule"))
+    return fired.join(F.broadcast(table), on="rule").select(*names, "target", "suggestion", "priority")
 
 
 def warning_counts(history: DataFrame, replayed: DataFrame,
@@ -278,154 +330,168 @@ def latest(replayed: DataFrame) -> DataFrame:
 # Structured Streaming
 # ---------------------------------------------------------------------------
 
-STREAM_OUT = ("monitor_id long, seq long, Run long, Generation int, HighFreq double, "
-              "Diversity double, METEOR double, Diversity_change double, HighFreq_change double, "
-              "relation_residual double, warning_count int, fired string, level string, "
-              "status string")
-STATE_SCHEMA = ("hist_seq array<long>, hist_run array<long>, hist_hf array<double>, "
-                "hist_dv array<double>, hist_mt array<double>, status string")
-
-
-def _evaluate_key(hist: pd.DataFrame, first_new: int, rules: MonitorRules) -> pd.DataFrame:
-    """Rules for the rows of ``hist`` from position ``first_new`` on.  ``hist``
-    holds the previous ``W - 1`` rows followed by the new rows, by seq."""
-    W = rules.history_window
-    hf, dv = hist["HighFreq"].to_numpy(float), hist["Diversity"].to_numpy(float)
-    mt = hist["METEOR"].to_numpy(float)
-    seqs, runs = hist["seq"].to_numpy(np.int64), hist["Run"].to_numpy()
-    rows = []
-    last_pos: dict = {}
-    prev_of = np.full(len(hist), -1)
-    for i in range(len(hist)):
-        prev_of[i] = last_pos.get(runs[i], -1)
-        last_pos[runs[i]] = i
-    for i in range(first_new, len(hist)):
-        s = seqs[i]
-        lo = max(0, i - (W - 1))
-        hist_len = min(int(s) + 1, W)
-        p = prev_of[i]
-        ok = p >= 0 and s - seqs[p] <= W - 1
-
-        def ch(a):
-            if not ok:
-                return None
-            if a[p] == 0:
-                return None if a[i] == 0 else (np.inf if a[i] > 0 else -np.inf)
-            return a[i] / a[p] - 1.0
-        dch, hch = ch(dv), ch(hf)
-        res = None
-        if hist_len >= 10:
-            x, y = hf[lo:i + 1], dv[lo:i + 1]
-            sx, sy = x.std(), y.std()
-            zx = (x[-1] - x.mean()) / (sx if sx > 0 else 1.0)
-            zy = (y[-1] - y.mean()) / (sy if sy > 0 else 1.0)
-            cxy = ((x - x.mean()) * (y - y.mean())).mean()
-            rho = cxy / (sx * sy) if sx > 0 and sy > 0 else 0.0
-            res = zy - rho * zx
-        fired = []
-        if hist_len >= 2:
-            if hf[i] > rules.highfreq_threshold:
-                fired.append(1)
-            if dv[i] < rules.diversity_threshold:
-                fired.append(2)
-            if mt[i] < rules.meteor_threshold:
-                fired.append(3)
-            if dch is not None and abs(dch) > rules.diversity_change_threshold:
-                fired.append(4)
-            if hch is not None and abs(hch) > rules.highfreq_change_threshold:
-                fired.append(5)
-            if res is not None and abs(res) > rules.relation_residual_threshold:
-                fired.append(6)
-        rows.append((s, runs[i], dch, hch, res, fired))
-    return rows
-
-
-def _stream_fn(rules: MonitorRules):
+# What goes through the stateful function.  A call per key has a price per
+# column, so rows travel as two arrays, decoded by JVM expressions after it.
+_IN_LONGS = ["event_id", "at_micros", "arrived_micros", "Run", "Generation"]
+_IN_DOUBLES = ["Perplexity", *METRIC_COLUMNS]
+_OUT_LONGS = [*_IN_LONGS, "session_micros", "seq", "hist_len", "fired_mask", "status_code", "late"]
+_OUT_DOUBLES = [*_IN_DOUBLES, "Diversity_change", "HighFreq_change", "METEOR_change", "relation_residual"]
+STREAM_OUT = "monitor_id long, longs array<long>, doubles array<double>"
+STATE_SCHEMA = ("run binary, metrics binary, next_seq long, session_micros long, last_at long, last_event long, "
+                "status int")
+STATUS = ("normal", *LEVELS)
+#: Stands for a missing whole number in these arrays; NaN is a missing metric.
+NONE = -2 ** 63
+
+
+def _stream_fn(rules: MonitorRules, idle_micros: int | None):
     W = rules.history_window
-    t1, t2, t3 = rules.level_thresholds
-
-    def level(n):
-        return LEVELS[2] if n >= t3 else LEVELS[1] if n >= t2 else LEVELS[0] if n >= t1 else None
+    level_of = np.searchsorted(np.array(rules.level_thresholds), np.arange(7), side="right")
+    bits = np.array([bin(i).count("1") for i in range(64)])
+    n_in, n_out = len(_IN_LONGS), len(_OUT_LONGS)
+    spot = {c: i for i, c in enumerate(_OUT_LONGS)}
 
     def fn(key, pdfs, state):
-        new = pd.concat(list(pdfs), ignore_index=True)
+        if state.hasTimedOut:  # no observation for longer than the idle time
+            state.remove()
+            return
+        parts = [(np.stack(p["longs"].to_numpy()), np.stack(p["doubles"].to_numpy())) for p in pdfs if len(p)]
+        whole = np.concatenate([a for a, _ in parts]).astype(np.int64)
+        real = np.concatenate([b for _, b in parts]).astype(float)
+        order = np.lexsort((whole[:, 0], whole[:, 1]))
+        whole, real = whole[order], real[order]
+        event, at, run, metrics = whole[:, 0], whole[:, 1], whole[:, 3], real[:, 1:]
         if state.exists:
-            st = state.get
-            old = pd.DataFrame({"seq": st[0], "Run": st[1], "HighFreq": st[2],
-                                "Diversity": st[3], "METEOR": st[4]})
-            status = st[5]
-            base = int(old["seq"].iloc[-1]) + 1 if len(old) else 0
+            old_run, old, seq, session, last_at, last_event, status = state.get
+            past_run, past = np.frombuffer(old_run, np.int64), np.frombuffer(old, float).reshape(-1, len(METRIC_COLUMNS))
         else:
-            old = pd.DataFrame({"seq": pd.Series([], dtype="int64"),
-                                "Run": pd.Series([], dtype=new["Run"].dtype),
-                                "HighFreq": pd.Series([], dtype="float64"),
-                                "Diversity": pd.Series([], dtype="float64"),
-                                "METEOR": pd.Series([], dtype="float64")})
-            status, base = "normal", 0
-        new = new.sort_values(["ts", "event_id"], kind="stable").reset_index(drop=True)
-        new["seq"] = np.arange(base, base + len(new), dtype=np.int64)
-        hist = pd.concat([old, new[["seq", "Run", "HighFreq", "Diversity", "METEOR"]]],
-                         ignore_index=True)
-        hist["seq"] = hist["seq"].astype(np.int64)
-        evald = _evaluate_key(hist, len(old), rules)
-        out = []
-        for (s, run, dch, hch, res, fired), (_, r) in zip(evald, new.iterrows()):
-            lv = level(len(fired)) if fired else None
-            if lv is not None:
-                status = lv
-            out.append((key[0], s, run, r["Generation"], r["HighFreq"], r["Diversity"],
-                        r["METEOR"], dch, hch, res, len(fired), ",".join(map(str, fired)),
-                        lv, status))
-        keep = hist.iloc[-(W - 1):] if W > 1 else hist.iloc[0:0]
-        state.update(([int(v) for v in keep["seq"]], [int(v) for v in keep["Run"]],
-                      keep["HighFreq"].tolist(),
-                      keep["Diversity"].tolist(), keep["METEOR"].tolist(), status))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in STREAM_OUT.split(", ")])
+            past_run, past = np.empty(0, np.int64), np.empty((0, len(METRIC_COLUMNS)))
+            seq, session, last_at, last_event, status = 0, None, None, None, 0
+        # not after the newest row already evaluated: no part of the history any more
+        late = np.zeros(len(at), bool) if last_at is None else (at < last_at) | ((at == last_at) & (event <= last_event))
+        n_late = int(late.sum())  # rows are sorted, so these come first
+        longs = np.zeros((len(at), n_out), np.int64)
+        longs[:, :n_in] = whole
+        longs[:n_late, spot["late"]], longs[:, spot["seq"]], longs[:, spot["status_code"]] = 1, -1, status
+        longs[:, spot["session_micros"]] = 0 if session is None else session
+        doubles = np.full((len(at), len(_OUT_DOUBLES)), np.nan)
+        doubles[:, :len(_IN_DOUBLES)] = real
+        cuts = [n_late]
+        if idle_micros is not None and n_late < len(at):
+            gap = np.diff(at[n_late:], prepend=last_at if last_at is not None else at[n_late])
+            cuts = sorted({n_late, *(n_late + np.flatnonzero(gap > idle_micros)).tolist()})
+        for a, b in zip(cuts, [*cuts[1:], len(at)]):
+            if a == b:
+                break
+            if session is None or (idle_micros is not None and last_at is not None and at[a] - last_at > idle_micros):
+                past_run, past, seq, session, status = past_run[:0], past[:0], 0, int(at[a]), 0
+            first = len(past)
+            past_run, past = np.concatenate([past_run, run[a:b]]), np.concatenate([past, metrics[a:b]])
+            got = evaluate(past_run, past[:, 0], past[:, 1], past[:, 2], first, seq, rules)
+            codes = sticky(level_of[bits[got["fired"]]], status)
+            for c, v in (("seq", got["seq"]), ("hist_len", got["hist_len"]), ("fired_mask", got["fired"]),
+                         ("status_code", codes), ("session_micros", session)):
+                longs[a:b, spot[c]] = v
+            for i, c in enumerate(_OUT_DOUBLES[len(_IN_DOUBLES):], len(_IN_DOUBLES)):
+                doubles[a:b, i] = got[c]
+            seq, status, last_at, last_event = seq + b - a, int(codes[-1]), int(at[b - 1]), int(event[b - 1])
+            past_run, past = past_run[max(0, len(past) - (W - 1)):], past[max(0, len(past) - (W - 1)):]
+        state.update((past_run.tobytes(), past.tobytes(), seq, session, last_at, last_event, status))
+        if idle_micros is not None:
+            # gone once the watermark is past the idle time; not before the present watermark
+            state.setTimeoutTimestamp(max((last_at + idle_micros) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"monitor_id": key[0], "longs": list(longs), "doubles": list(doubles)})
     return fn
 
 
-def monitor_stream(stream: DataFrame, rules: MonitorRules | None = None,
-                   key: Column | None = None) -> DataFrame:
-    """The monitor as a stateful streaming transformation.
+def monitor_stream(stream: DataFrame, rules: MonitorRules | None = None, key: Column | None = None,
+                   idle_seconds: float | None = None, delay: str = "1 hour") -> DataFrame:
+    """The monitor as a stateful streaming transformation; the columns
+    are those of :func:`monitor_replay` plus ``session_start``, ``arrived``
+    (R1, the time of the micro-batch) and ``late``.
 
-    State per ``monitor_id``: the last ``W - 1`` observations and the sticky
-    status.  Within a micro-batch the rows of a key are taken in
-    ``(ts, event_id)`` order; batches must arrive in order (as with a file
-    or Kafka source replayed from the checkpoint).
-    """
-    rules = rules or MonitorRules()
-    require_observation_fields(stream)
-    k = key if key is not None else F.lit(0).cast("long")
-    keyed = stream.withColumn(KEY, k)
-    return keyed.groupBy(KEY).applyInPandasWithState(
-        _stream_fn(rules), STREAM_OUT, STATE_SCHEMA, "append", "NoTimeout")
+    State per ``monitor_id``: the last ``W - 1`` observations, the sticky status
+    and the newest ``(ts, event_id)``.  A key's rows of a micro-batch are held
+    together, about ten numbers a row, and taken in ``(ts, event_id)`` order;
+    the source's rate limit bounds them.
 
+    With ``idle_seconds``, ``ts`` gets a watermark that lags by ``delay``, and
+    a key whose newest row is older than the watermark by more than the idle
+    time leaves the state.  Sessions do not depend on when that happens, as a
+    longer gap opens a new one in any case.
 
-def with_arrival_time(stream: DataFrame, col: str = "Timestamp") -> DataFrame:
+    Late rows.  A row that is not after the newest one of its key comes out
+    with ``late = true``, number -1, no rules and the present status, and leaves
+    the history alone.  With ``idle_seconds`` a row older than the watermark
+    that Spark holds late rows against (that of the micro-batch before) is
+    dropped and counted by the query's progress (rows dropped by watermark).
+    """
+    rules = rules or MonitorRules()
+    require_observation_fields(stream, ORDER)
+    k = key if key is not None else F.lit(0)
+    arrived = F.col("arrived") if "arrived" in stream.columns else F.current_timestamp()
+    rows = _without_nan(stream.withColumn("ts", F.col("ts").cast("timestamp"))).withColumns({
+        "at_micros": F.unix_micros("ts"), "arrived_micros": F.unix_micros(arrived)})
+    rows = rows.select(
+        k.cast("long").alias(KEY), "ts",
+        F.array(*[F.coalesce(F.col(c).cast("long"), F.lit(NONE)) for c in _IN_LONGS]).alias("longs"),
+        F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))) for c in _IN_DOUBLES]).alias("doubles"))
+    if idle_seconds is None:
+        rows = rows.drop("ts")
+    else:
+        rows = rows.withWatermark("ts", delay)
+    out = rows.groupBy(KEY).applyInPandasWithState(
+        _stream_fn(rules, None if idle_seconds is None else int(idle_seconds * 1_000_000)), STREAM_OUT, STATE_SCHEMA, "append",
+        "NoTimeout" if idle_seconds is None else "EventTimeTimeout")
+
+    def whole(c: str) -> Column:
+        value = F.col("longs")[_OUT_LONGS.index(c)]
+        return F.when(value != NONE, value)
+
+    def real(c: str) -> Column:
+        value = F.col("doubles")[_OUT_DOUBLES.index(c)]
+        return F.when(~F.isnan(value), value)
+    out = out.select(
+        KEY, F.timestamp_micros(whole("session_micros")).alias("session_start"), whole("seq").alias("seq"),
+        whole("event_id").alias("event_id"), F.timestamp_micros(whole("at_micros")).alias("ts"),
+        F.timestamp_micros(whole("arrived_micros")).alias("arrived"), whole("Run").alias("Run"),
+        whole("Generation").cast("int").alias("Generation"), *[real(c).alias(c) for c in _OUT_DOUBLES],
+        whole("hist_len").cast("int").alias("hist_len"), (whole("hist_len") >= 2).alias("evaluated"),
+        *[(whole("fired_mask").bitwiseAND(1 << i) != 0).alias(f"r{i + 1}") for i in range(6)],
+        F.element_at(F.array(*[F.lit(c) for c in STATUS]), (whole("status_code") + 1).cast("int")).alias("status"),
+        (whole("late") == 1).alias("late"))
+    out = out.withColumns({"fired": fired_rules(out), "warnings": _warnings(rules)}).withColumn("warning_count", F.size("warnings"))
+    out = out.withColumn("level", level_expr(F.col("warning_count"), rules.level_thresholds))
+    return out
+
+
+def with_arrival_time(stream: DataFrame, col: str = "arrived") -> DataFrame:
     """Stamp each observation with its arrival time."""
     return stream.withColumn(col, F.current_timestamp())
 
 
+def write_cycle(batch: DataFrame, path: str, epoch: int) -> None:
+    """R5 + R8 + R9: one cycle's output below ``path``, a folder per epoch, so
+    that a replayed epoch replaces its own rows: ``alerts`` (one row per fired
+    rule) and ``suggestions`` (the micro-batch joined with the table of
+    suggestions, the composite one included)."""
+    fired = materialize(batch.where("warning_count > 0"))
+    where = path.rstrip("/")
+    flat_alerts(fired, ["session_start", "ts", "arrived"]).write.mode("overwrite").parquet(f"{where}/alerts/epoch={epoch}")
+    suggest_actions(fired, ["session_start", "ts"]).write.mode("overwrite").parquet(f"{where}/suggestions/epoch={epoch}")
+
+
 def run_monitor(stream: DataFrame, rules: MonitorRules, alerts_path: str, checkpoint: str,
                 key: Column | None = None, interval_seconds: int | None = None,
-                available_now: bool = False):
-    """R6 + R8 + R9: start the monitoring query.  Every micro-batch's
-    evaluated rows go through ``foreachBatch``: the rows with warnings are
-    written to ``alerts_path/epoch=N`` (S11) together with their suggestion
-    targets (J7); an epoch that is replayed replaces its own folder.  The trigger polls every ``interval_seconds`` (the rule config's
-    check interval by default) or processes what is available and stops."""
-    out = monitor_stream(stream, rules, key)
-    targets = {r: t for rule_ids, t, _, _ in SUGGESTIONS for r in rule_ids}
-
-    def sink(batch: DataFrame, epoch: int) -> None:
-        fired = batch.filter(F.col("warning_count") > 0)
-        rule_ids = F.split(F.col("fired"), ",")
-        mapping = F.create_map(*[x for r, t in targets.items() for x in (F.lit(str(r)), F.lit(t))])
-        fired = fired.withColumn("targets", F.array_distinct(
-            F.transform(rule_ids, lambda r: mapping[r])))
-        fired.write.mode("overwrite").json(f"{alerts_path.rstrip('/')}/epoch={epoch}")
-
-    writer = out.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
+                available_now: bool = False, idle_seconds: float | None = None, delay: str = "1 hour"):
+    """R6 + R8 + R9: start the monitoring query.  Every micro-batch's rows are
+    stamped with their arrival, evaluated, and go through ``foreachBatch`` into
+    :func:`write_cycle`.  The trigger polls every ``interval_seconds`` (the
+    rule config's check interval by default) or processes what is available
+    and stops."""
+    out = monitor_stream(with_arrival_time(stream), rules, key, idle_seconds, delay)
+    writer = (out.writeStream.foreachBatch(lambda batch, epoch: write_cycle(batch, alerts_path, epoch))
+              .option("checkpointLocation", checkpoint))
     if available_now:
         writer = writer.trigger(availableNow=True)
     else:
