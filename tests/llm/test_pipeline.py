@@ -63,3 +63,60 @@ def test_rows_without_an_id_or_sharing_one_are_mixed_one_by_one(spark):
     assert Counter(r["text"] for r in again.collect()) == +Counter({text[r["row"]]: r["copies"] for r in mixed})
     with pytest.raises(ValueError):
         mixing.curriculum(frame, mixing.mix(frame, cut_last=False))
+
+
+CLASHES = ["rank", "row", "row_key", "doc", "gone", "gone_key", "mix_key", "mix_place", "mix_position", "mix_positions", "mix_part",
+           "mix_own", "mix_doc", "own_row", "digest", "first", "size", "place", "a b", "x.y", "_metadata"]
+
+
+def test_clashing_columns_pass_through_all_stages(spark, tmp_path):
+    words = [" ".join(f"{c}{i}{c}" for i in range(30)) for c in "abcdefgh"]
+    rows = [(i, words[i % 8], "en", "ab"[i % 2], len(words[i % 8]), *[f"{c} {i}" for c in CLASHES]) for i in range(16)]
+    rows += [(None, words[0], "en", "a", 3, *[None for _ in CLASHES]), (3, words[3], "en", None, None, *["again" for _ in CLASHES])]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    own = {i: r for i, r in enumerate(rows)}
+    for as_file in (True, False):
+        frame = spark.createDataFrame(rows, schema).repartition(3)
+        if as_file:
+            frame.write.parquet(str(tmp_path / "in"))
+            frame = spark.read.parquet(str(tmp_path / "in"))
+        for name, stage in P.STAGES[1:4]:  # the texts are of no language
+            frame = P.materialize(stage(spark, frame, ""))
+            assert frame.columns == names
+            got = [tuple(r) for r in frame.collect()]
+            assert set(got) <= set(own.values())
+            if name != "source_mixing":
+                assert len(got) == 8 and sorted(r[0] for r in got) == list(range(8))
+        assert max(Counter(got).values()) <= 2
+
+
+def test_index_outlives_its_session_and_a_batch_can_run_again(spark, tmp_path):
+    from textdrift.llm.exact_dedup import DigestIndex, deduplicate
+    first = spark.createDataFrame([(2, "a b"), (1, "a  b"), (1, "a b"), (None, "c"), (None, "c"), (5, None)], "doc_id long, text string").repartition(3)
+    path = str(tmp_path / "index")
+
+    def run(session, frame, batch):
+        index = DigestIndex(session, "lasting_index", path, buckets=3)
+        assert index.buckets == 3
+        frame = session.createDataFrame(frame.collect(), frame.schema)
+        rows = deduplicate(frame, index, batch=batch).collect()
+        return sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"], r["seen_before"]) for r in rows), index
+    one, index = run(spark, first, "one")
+    assert one == sorted([("2", "1", 3, False, False), ("1", "1", 3, True, False), ("1", "1", 3, False, False),
+                          ("None", "None", 2, True, False), ("None", "None", 2, False, False), ("5", "5", 1, True, False)])
+    size = index.table().count()
+    assert size == 3 and run(spark, first, "one")[0] == one and index.table().count() == size
+    other = spark.newSession()  # its own names, the same folder
+    other.sql("DROP TABLE IF EXISTS lasting_index")
+    two, again = run(other, spark.createDataFrame([(1, "a b"), (9, "new")], "doc_id long, text string"), "two")
+    assert two == [("1", "1", 1, False, True), ("9", "9", 1, True, False)]
+    assert again.table().count() == 4 and DigestIndex(other, "lasting_index", path, buckets=99).buckets == 3
+    plan = again.unseen(spark.createDataFrame([("x",)], "digest string"))._jdf.queryExecution().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan
+    try:
+        DigestIndex(other, "lasting_index", str(tmp_path / "elsewhere")).create("bigint")
+    except ValueError:
+        pass
+    else:
+        raise AssertionError("a table of another folder was taken over")

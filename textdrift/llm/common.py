@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textdrift.session import checkpoint_dir, materialize
 
-__all__ = ["Hasher", "SPACE", "WORD", "checkpoint_dir", "crc_bucket", "documents", "find_components",
+__all__ = ["Hasher", "SPACE", "WORD", "checkpoint_dir", "crc_bucket", "documents", "find_components", "keyed_rows",
            "materialize", "sorted_groups", "sources_of", "text_or_empty", "with_row_key"]
 
 #: A run of ASCII white space, and a word: whatever stands between two such runs.
@@ -45,6 +46,22 @@ def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
     return materialize(df.withColumn(name, F.monotonically_increasing_id()))
 
 
+def keyed_rows(df: DataFrame, name: str = "row") -> DataFrame:
+    """``(row, doc)``: a key per row and the whole row as one struct, so that
+    no column of the input can clash with a name beside it.
+
+    A plain read of files needs no copy for that: the key is the file (a
+    64-bit hash of its path) and the row's place in it.  Other frames are
+    written once with a number per row."""
+    doc = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in df.columns]).alias("doc")
+    try:
+        place = df.metadataColumn("_metadata")
+        return df.select(F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("at")).alias(name), doc)
+    except AnalysisException:
+        number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("at"))
+        return materialize(df.select(doc).withColumn(name, number)).select(name, "doc")
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], key: str, value: str, limit: int,
                   ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Regroup key-sorted Arrow batches of two integer columns so that a key

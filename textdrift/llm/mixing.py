@@ -70,9 +70,9 @@ def time_of(share: Column, knots: Knots) -> Column:
 def sized(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source",
           row: str | None = None) -> DataFrame:
     """``doc_id, source, size, place`` and, if named, ``row``: size in words,
-    place the MD5 of the id (of the row's key, where there is no id)."""
+    place the MD5 of the id (of the text, where there is no id)."""
     key = [] if row is None else [F.col(row).alias("row")]
-    name = F.lit("") if row is None else F.concat(F.lit("row "), F.col(row).cast("string"))
+    name = F.concat(F.lit("text "), text_or_empty(text))
     return docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"),
         F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long").alias("size"),
@@ -173,20 +173,34 @@ def by_position(mixed: DataFrame) -> DataFrame:
     return rows.repartitionByRange("position", "place").sortWithinPartitions("position", "place")
 
 
+def training_places(mixed: DataFrame, key: str) -> DataFrame:
+    """``mix_key, mix_position, mix_place, mix_part`` of every copy: ranges of
+    positions are dealt out here, on narrow rows, so that the documents
+    themselves need be moved only once."""
+    copies = mixed.where("copies > 0").select(F.col(key).alias("mix_key"), F.col("place").alias("mix_place"),
+                                              F.explode("positions").alias("mix_position"))
+    return materialize(copies.repartitionByRange("mix_position", "mix_place").withColumn("mix_part", F.spark_partition_id()))
+
+
+def in_training_order(rows: DataFrame, places: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with their places, sorted by them: one copy of a row
+    goes to the part that holds its position."""
+    parts = (places.agg(F.max("mix_part")).first()[0] or 0) + 1
+    return (rows.join(places, F.col(key).eqNullSafe(F.col("mix_key"))).repartitionById(parts, F.col("mix_part"))
+            .sortWithinPartitions("mix_position", "mix_place"))
+
+
 def curriculum(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, in training order.
 
     Each row meets its own row of the mix: by ``row``, the key that ``mix``
     was given, or else by the id, which must then tell all rows apart."""
     key, name = (doc_id, "doc_id") if row is None else (row, "row")
-    if not docs.groupBy(key).agg(F.count("*").alias("n_rows")).where("n_rows > 1").isEmpty():
+    if row is None and not docs.groupBy(key).agg(F.count("*").alias("n_rows")).where("n_rows > 1").isEmpty():
         raise ValueError(f"{key} does not tell the rows apart: give mix and curriculum a key per row")
-    own = (mixed.where("copies > 0")
-           .select(F.col(name).alias("mix_key"), F.col("place").alias("mix_place"), F.col("positions").alias("mix_positions")))
-    rows = docs.join(own, F.col(key).eqNullSafe(F.col("mix_key")))
-    out = materialize(rows.withColumn("mix_position", F.explode("mix_positions")))
-    return (out.repartitionByRange("mix_position", "mix_place")
-            .sortWithinPartitions("mix_position", "mix_place").select(*docs.columns))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_doc")
+    rows = docs.select(F.col(key).alias("mix_own"), whole)
+    return in_training_order(rows, training_places(mixed, name), "mix_own").select("mix_doc.*")
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
