@@ -15,25 +15,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textdrift.llm.common import documents, materialize, with_row_key
+from textdrift.llm.common import documents, keyed_rows, materialize
 from textdrift.llm.exact_dedup import DigestIndex, deduplicate
 from textdrift.llm.language_id import keep_identified, learn
-from textdrift.llm.mixing import curriculum, mix
+from textdrift.llm.mixing import in_training_order, mix, training_places
 from textdrift.llm.packing import packed_pieces
 from textdrift.llm.simhash_golay import near_duplicates
 
 
-def _ranked(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row key and ``rank``: by id, rows without one last, then
-    by row key."""
-    rank = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
-    return with_row_key(docs).withColumn("rank", rank)
-
-
-def _without(docs: DataFrame, ranks: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose rank is in ``ranks`` (column ``doc_id``)."""
-    gone = ranks.select(F.col("doc_id.row_key").alias("gone_key"))
-    return docs.join(gone, F.col("row_key") == F.col("gone_key"), "left_anti").drop("row_key", "rank")
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The documents of ``rows`` (``row, doc``) whose key is not in ``gone``
+    (``row``).  The keys are written first, so Spark knows their size: a small
+    table is sent to the documents, a large one is joined by sort-merge."""
+    keys = materialize(gone.select(F.col("row").alias("gone")))
+    return rows.join(keys, F.col("row") == F.col("gone"), "left_anti").select("doc.*")
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,22 +38,26 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal text one row stays, that with the smallest id."""
-    rows = _ranked(docs)
-    found = deduplicate(rows, DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex}"), doc_id="rank")
+    rows = keyed_rows(docs)
+    found = deduplicate(rows.select("row", "doc.doc_id", "doc.text"), DigestIndex(spark, f"pipeline_digests_{uuid.uuid4().hex}"),
+                        batch="documents", row="row")
     return _without(rows, found.where(~F.col("kept")))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one row stays, that with the smallest id."""
-    rows = _ranked(docs)
-    found = near_duplicates(rows, doc_id="rank")
-    return _without(rows, found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each group of near duplicates one row stays, that with the smallest
+    id, rows without one last; ties go by the row's key."""
+    rows = keyed_rows(docs)
+    rank = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), F.col("doc.doc_id").alias("id"), "row")
+    found = near_duplicates(rows.select(rank.alias("doc_id"), F.col("doc.text").alias("text")))
+    return _without(rows, found.where(F.col("doc_id") != F.col("component_id")).select("doc_id.row"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Whole documents, as often as the mix takes them, in training order."""
-    rows = with_row_key(docs)
-    return curriculum(rows, mix(rows, cut_last=False, row="row_key"), row="row_key").drop("row_key")
+    rows = keyed_rows(docs)
+    mixed = mix(rows.select("row", "doc.doc_id", "doc.text", "doc.source"), cut_last=False, row="row")
+    return in_training_order(rows, training_places(mixed, "row"), "row").select("doc.*")
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
