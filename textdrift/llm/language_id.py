@@ -37,7 +37,7 @@ MIN_COUNT = 3
 LONGEST = 4
 UNKNOWN = "und"
 #: Documents scored at once, in words.
-STEP = 400_000
+STEP = 100_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -105,6 +105,7 @@ class Model:
                 self._score(held, names, scores)
                 held, n = [], 0
         self._score(held, names, scores)
+        pa.default_memory_pool().release_unused()
         return names, np.array(scores, float)
 
     def _score(self, held: list[list[str]], names: list[str], scores: list[float]) -> None:

@@ -42,6 +42,8 @@ from .common import documents, find_components, materialize, sorted_groups, sour
 SHINGLE = 4
 MAX_BITS = 4
 BLOCK = 2048
+#: Texts held as Python strings at a time.
+STEP = 500
 
 SEED = 42
 #: Generator polynomial of the Golay code, x^11+x^9+x^7+x^6+x^5+x+1.
@@ -73,7 +75,8 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id, fp``: the fingerprint as a signed long."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t, shingle) for t in batch.column(1).to_pylist()), np.uint64, batch.num_rows)
+            texts = (t for at in range(0, batch.num_rows, STEP) for t in batch.column(1).slice(at, STEP).to_pylist())
+            fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     rows = sources_of(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
