@@ -72,6 +72,10 @@ class Remembered(dict):
         return value
 
 
+#: Texts held as Python strings at a time.
+STEP = 500
+
+
 class WordEncoder:
     """Token ids of whole texts as little-endian bytes, word by word.
 
@@ -104,6 +108,8 @@ class WordEncoder:
         if not word.isascii() and max(word) >= "\u0250":  # where lower-casing and normalisation may not be plain
             return self._ids(word)
         low = word.lower()
+        if low == word:
+            low = word  # one string for both tables
         if low.isalpha():
             return self.pieces[low]
         if low[:-1].isalpha():
@@ -117,6 +123,12 @@ class WordEncoder:
         return b"".join([words[w] for w in text.split()])
 
 
+    def rest(self) -> None:
+        """Between tasks only the younger half of what is remembered stays:
+        the worker may go on with a stage that has no use for it."""
+        self.words.old, self.pieces.old = {}, {}
+
+
 @cache
 def encoder(path: str) -> WordEncoder:
     """One encoder per Python worker, kept from task to task."""
@@ -136,11 +148,13 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """``row, doc_id, piece, start, length, ids_crc32`` and, if asked for,
     ``ids``.  ``row`` is a hash of id and text that spreads the pieces."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer).encode
+        words = encoder(tokenizer)
+        encode = words.encode
         last = array("I", [end]).tobytes()
         for batch in batches:
             at, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, value in enumerate(batch.column(2).to_pylist()):
+            texts = (t for k in range(0, batch.num_rows, STEP) for t in batch.column(2).slice(k, STEP).to_pylist())
+            for i, value in enumerate(texts):
                 raw = encode(value) + last
                 for k in range(0, len(raw), 4 * capacity):
                     own = raw[k:k + 4 * capacity]
@@ -154,6 +168,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
             arrays = [batch.column(0).take(pa.array(at, pa.int64())), batch.column(1).take(pa.array(at, pa.int64())),
                       pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names)
+        words.rest()
 
     names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else [])
     rows = sources_of(docs, doc_id, text).select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"),
