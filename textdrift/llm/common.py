@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from textdrift.session import checkpoint_dir, materialize
 
 __all__ = ["Hasher", "SPACE", "WORD", "checkpoint_dir", "crc_bucket", "documents", "find_components", "keyed_rows",
-           "materialize", "sorted_groups", "sources_of", "text_or_empty", "with_row_key"]
+           "materialize", "release_memory", "sorted_groups", "sources_of", "text_or_empty", "with_row_key"]
 
 #: A run of ASCII white space, and a word: whatever stands between two such runs.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -62,6 +63,15 @@ def keyed_rows(df: DataFrame, name: str = "row") -> DataFrame:
         return materialize(df.select(doc).withColumn(name, number)).select(name, "doc")
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system at the end of a task: Python
+    workers are reused, and a later stage may need it for something else."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], key: str, value: str, limit: int,
                   ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Regroup key-sorted Arrow batches of two integer columns so that a key

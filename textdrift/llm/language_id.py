@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc_bucket, documents, materialize, sources_of
+from .common import crc_bucket, documents, materialize, release_memory, sources_of
 
 MAX_TRAIN = 4000
 MIN_COUNT = 3
@@ -105,7 +105,7 @@ class Model:
                 self._score(held, names, scores)
                 held, n = [], 0
         self._score(held, names, scores)
-        pa.default_memory_pool().release_unused()
+        release_memory()
         return names, np.array(scores, float)
 
     def _score(self, held: list[list[str]], names: list[str], scores: list[float]) -> None:

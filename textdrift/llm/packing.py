@@ -40,7 +40,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, sources_of, text_or_empty
+from .common import documents, materialize, release_memory, sources_of, text_or_empty
 
 CAPACITY = 4096
 END = 1
@@ -148,6 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     """``row, doc_id, piece, start, length, ids_crc32`` and, if asked for,
     ``ids``.  ``row`` is a hash of id and text that spreads the pieces."""
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()  # of earlier stages
         words = encoder(tokenizer)
         encode = words.encode
         last = array("I", [end]).tobytes()
@@ -169,6 +170,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
                       pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), names=names)
         words.rest()
+        release_memory()
 
     names = ["row", "doc_id", "piece", "start", "length", "ids_crc32"] + (["ids"] if with_ids else [])
     rows = sources_of(docs, doc_id, text).select(F.xxhash64(doc_id, text).alias("row"), F.col(doc_id).alias("doc_id"),

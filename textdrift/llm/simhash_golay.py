@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, find_components, materialize, sorted_groups, sources_of, text_or_empty
+from .common import documents, find_components, materialize, release_memory, sorted_groups, sources_of, text_or_empty
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -78,6 +78,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             texts = (t for at in range(0, batch.num_rows, STEP) for t in batch.column(1).slice(at, STEP).to_pylist())
             fps = np.fromiter((fingerprint(t, shingle) for t in texts), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+        release_memory()
 
     rows = sources_of(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
