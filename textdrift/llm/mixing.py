@@ -174,20 +174,22 @@ def by_position(mixed: DataFrame) -> DataFrame:
 
 
 def training_places(mixed: DataFrame, key: str) -> DataFrame:
-    """``mix_key, mix_position, mix_place, mix_part`` of every copy: ranges of
-    positions are dealt out here, on narrow rows, so that the documents
+    """``mix_key, mix_part, mix_order`` of every copy: ranges of positions are
+    dealt out and sorted here, on narrow rows, so that the documents
     themselves need be moved only once."""
     copies = mixed.where("copies > 0").select(F.col(key).alias("mix_key"), F.col("place").alias("mix_place"),
                                               F.explode("positions").alias("mix_position"))
-    return materialize(copies.repartitionByRange("mix_position", "mix_place").withColumn("mix_part", F.spark_partition_id()))
+    return materialize(copies.repartitionByRange("mix_position", "mix_place").sortWithinPartitions("mix_position", "mix_place")
+                       .select("mix_key", F.spark_partition_id().alias("mix_part"), F.monotonically_increasing_id().alias("mix_order")))
 
 
 def in_training_order(rows: DataFrame, places: DataFrame, key: str) -> DataFrame:
     """``rows`` joined with their places, sorted by them: one copy of a row
-    goes to the part that holds its position."""
+    goes to the part that holds its position.  The places were written, so
+    Spark knows their size: few are sent to the rows, many are joined by sort-merge."""
     parts = (places.agg(F.max("mix_part")).first()[0] or 0) + 1
     return (rows.join(places, F.col(key).eqNullSafe(F.col("mix_key"))).repartitionById(parts, F.col("mix_part"))
-            .sortWithinPartitions("mix_position", "mix_place"))
+            .sortWithinPartitions("mix_order"))
 
 
 def curriculum(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id", row: str | None = None) -> DataFrame:
