@@ -114,3 +114,16 @@ def test_ensure_scaled_reuses_or_computes(spark):
     assert ft.ensure_scaled(f) is f
     z = ft.ensure_scaled(m)
     assert all(f"{c}_scaled" in z.columns for c in METRICS)
+
+
+def test_pca_leaves_constant_columns_out(spark):
+    rng = np.random.default_rng(3)
+    rows = [(float(a), float(a + b), 5.0, float(b)) for a, b in rng.normal(size=(40, 2))]
+    table = st.pca_table(spark.createDataFrame(rows, "a double, b double, c double, d double"), ["a", "b", "c", "d"]).toPandas().set_index("label")
+    corr = np.corrcoef(np.array(rows)[:, [0, 1, 3]].T)
+    want = np.linalg.eigvalsh(corr)[::-1]
+    np.testing.assert_allclose([table.loc["eigenvalue", f"a_{j}"] for j in (1, 2, 3)], want, atol=1e-9)
+    assert abs(table.loc["cumulative_ratio", "a_3"] - 1) < 1e-9
+    assert table.loc["c"].isna().all() and "a_4" not in table.columns
+    scores = st.pca_scores(spark.createDataFrame(rows, "a double, b double, c double, d double"), ["a", "b", "c", "d"])
+    assert scores.dropna().count() == 40

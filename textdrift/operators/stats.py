@@ -99,7 +99,7 @@ def pca_from_correlation(corr: np.ndarray):
     vals, vecs = np.linalg.eigh(corr)
     order = np.argsort(vals)[::-1]
     vals, vecs = vals[order], vecs[:, order]
-    signs = np.where(vecs[0, :] < 0, -1.0, 1.0)
+    signs = np.where(vecs[:1, :] < 0, -1.0, 1.0)
     vecs = vecs * signs
     ratio = vals / len(vals)
     return vals, vecs, ratio, np.cumsum(ratio)
@@ -107,10 +107,20 @@ def pca_from_correlation(corr: np.ndarray):
 
 def pca(df: DataFrame, cols: Sequence[str]):
     """M2: one Spark aggregate for the correlation matrix, then the p x p
-    eigen-decomposition on the driver.  Returns numpy arrays."""
+    eigen-decomposition on the driver.  Returns numpy arrays.
+
+    A column without variance has no correlations: it is left out, so there
+    are as many components as columns that vary and their shares end at 1;
+    its loadings are NaN."""
     rows = correlation_matrix(df, cols).collect()  # p*p rows, p is a parameter
     corr = matrix_from_long(rows, cols, "corr")
-    return pca_from_correlation(np.nan_to_num(corr))
+    vary = np.flatnonzero(~np.isnan(np.diag(corr)))
+    if not len(vary):
+        raise ValueError(f"no column varies: {', '.join(cols)}")
+    vals, own, ratio, total = pca_from_correlation(np.nan_to_num(corr[np.ix_(vary, vary)]))
+    vecs = np.full((len(cols), len(vary)), np.nan)
+    vecs[vary] = own
+    return vals, vecs, ratio, total
 
 
 def pca_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -119,14 +129,14 @@ def pca_table(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     running-sum window over the p components (W9), ``cumulative_ratio``."""
     spark = df.sparkSession
     vals, vecs, _, _ = pca(df, cols)
-    p = len(cols)
+    p = len(vals)  # the columns that vary
     comp = spark.createDataFrame(
         [(j + 1, float(vals[j])) for j in range(p)], "component int, eigenvalue double")
     w = Window.orderBy("component").rowsBetween(Window.unboundedPreceding, 0)
     comp = comp.withColumn("explained_ratio", F.col("eigenvalue") / F.lit(float(p)))
     comp = comp.withColumn("cumulative_ratio", F.sum("explained_ratio").over(w))  # p rows
     loadings = spark.createDataFrame(
-        [(c, j + 1, float(vecs[i, j])) for i, c in enumerate(cols) for j in range(p)],
+        [(c, j + 1, None if np.isnan(vecs[i, j]) else float(vecs[i, j])) for i, c in enumerate(cols) for j in range(p)],
         "label string, component int, value double")
     stats = comp.select(F.col("component"), F.explode(F.array(
         F.struct(F.lit("eigenvalue").alias("label"), F.col("eigenvalue").alias("value")),
@@ -144,7 +154,9 @@ def pca_scores(df: DataFrame, cols: Sequence[str], k: int | None = None,
     """Project z-scored rows onto the first ``k`` components.  The loadings
     are literals in a column expression, so scoring is a map-only pass."""
     vals, vecs, _, _ = pca(df, cols)
-    k = k or len(cols)
+    k = min(k or len(cols), len(vals))
+    vary = [i for i in range(len(cols)) if not np.isnan(vecs[i]).any()]
+    vecs, cols = vecs[vary], [cols[i] for i in vary]  # constant columns have no scores
     stats = df.agg(*[F.avg(c).alias(f"{c}__m") for c in cols],
                    *[F.stddev_pop(c).alias(f"{c}__s") for c in cols])
     x = df.crossJoin(F.broadcast(stats))
