@@ -295,3 +295,10 @@ def test_whitening_edges(spark, tmp_path):
     assert {r.vec_id for r in got} == {2, 3} and all(r.n == 2 for r in got)
     flat.write.parquet(str(tmp_path / "embeddings.parquet"))
     assert dict(whitening.op13(spark, str(tmp_path)).dtypes)["deviation"] == "bigint"
+
+
+# --- letters of the language model -----------------------------------------
+
+def test_numerals_are_no_letters():
+    from textdrift.llm.language_id import words_of
+    assert words_of("\u00bd \u00b2 \u2167") == [] and words_of(None) == [] and words_of("Ab\u00b2c d\u00bd 1x") == ["ab", "c", "d", "x"]

@@ -44,7 +44,12 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str | None) -> list[str]:
-    return _LETTERS.findall(text.lower()) if text else []
+    """Runs of letters in lower case.  The pattern also takes numerals such as
+    fractions and raised digits for letters; these part words."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for f in found for w in "".join(c if c.isalpha() else " " for c in f).split()]
 
 
 def gram_keys(words: list[str], longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
