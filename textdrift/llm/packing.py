@@ -80,12 +80,13 @@ class WordEncoder:
     """Token ids of whole texts as little-endian bytes, word by word.
 
     The tokenizer splits at white space first, so a text's ids are its words'
-    ids in turn; words and their pieces are remembered up to a bounded number.
+    ids in turn; words and their pieces are remembered up to a bounded number,
+    a piece of letters as the word it is.
     Texts with special tokens or with control characters that Python alone
     counts as white space are encoded whole.
     """
 
-    LIMIT = 400_000
+    LIMIT = 250_000
     ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str) -> None:
@@ -108,13 +109,19 @@ class WordEncoder:
         if not word.isascii() and max(word) >= "\u0250":  # where lower-casing and normalisation may not be plain
             return self._ids(word)
         low = word.lower()
-        if low == word:
-            low = word  # one string for both tables
+        if low == word and word.isalpha():
+            return self._piece(word)
         if low.isalpha():
-            return self.pieces[low]
+            return self._part(low)
         if low[:-1].isalpha():
-            return self.pieces[low[:-1]] + self.pieces[low[-1]]
-        return b"".join([self.pieces[p] for p in _PIECE.findall(low)])
+            return self._part(low[:-1]) + self._part(low[-1])
+        return b"".join([self._part(p) for p in _PIECE.findall(low)])
+
+    def _part(self, piece: str) -> bytes:
+        """A piece of a word; letters alone are a word too and held once."""
+        if piece.isalpha() and (piece.isascii() or max(piece) < "\u0250") and piece.lower() == piece:
+            return self.words[piece]
+        return self.pieces[piece]
 
     def encode(self, text: str) -> bytes:
         if any(mark in text for mark in self.ODD):
@@ -122,7 +129,6 @@ class WordEncoder:
         words = self.words
         return b"".join([words[w] for w in text.split()])
 
-
     def rest(self) -> None:
         """Between tasks only the younger half of what is remembered stays:
         the worker may go on with a stage that has no use for it."""
