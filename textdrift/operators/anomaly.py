@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textdrift.operators.features import pct_change, _run_window
+from textdrift.operators.quantiles import column_quantiles
 from textdrift.operators.stats import relation_residual
 
 # The metrics watched for change anomalies and the two
@@ -146,14 +147,12 @@ def extract_rules(anomalies: DataFrame, col: str = "combined_anomaly") -> DataFr
     (exact linear-interpolated quantiles, A15), R4/R5 |change| above the 3
     sigma change thresholds, R6 |residual| above the 2.5 sigma relation
     threshold.  An alert is due when any two rules hold.  Output: one row per
-    rule ``(rule, metric, op, threshold, severity)``; also the min / median /
-    max of the flagged rows for the three level rules in ``detail``.
+    rule ``(rule, metric, op, threshold, severity)``.
     """
     flagged = anomalies.filter(F.col(col))
-    q = flagged.agg(
-        F.percentile("HighFreq", [0.0, 0.25, 0.5, 0.75, 1.0]).alias("hf"),
-        F.percentile("Diversity", [0.0, 0.25, 0.5, 0.75, 1.0]).alias("dv"),
-        F.percentile("METEOR", [0.0, 0.25, 0.5, 0.75, 1.0]).alias("mt"))
+    level = column_quantiles(flagged, ["HighFreq", "Diversity", "METEOR"], [0.25, 0.75])
+    at = lambda m, i: F.max(F.when(F.col("metric") == m, F.col("quantiles")[i]))
+    q = level.agg(at("HighFreq", 1).alias("hf"), at("Diversity", 0).alias("dv"), at("METEOR", 0).alias("mt"))
     t = anomalies.agg(F.first("Diversity_change_threshold").alias("r4"),
                       F.first("HighFreq_change_threshold").alias("r5"),
                       F.first("diversity_relation_threshold").alias("r6"))
@@ -163,9 +162,9 @@ def extract_rules(anomalies: DataFrame, col: str = "combined_anomaly") -> DataFr
         return F.struct(F.lit(rule).alias("rule"), F.lit(metric).alias("metric"),
                         F.lit(op).alias("op"), thr.cast("double").alias("threshold"),
                         F.lit(sev).alias("severity"))
-    recs = [rec(1, "HighFreq", ">", F.col("hf")[3], "medium"),
-            rec(2, "Diversity", "<", F.col("dv")[1], "high"),
-            rec(3, "METEOR", "<", F.col("mt")[1], "high"),
+    recs = [rec(1, "HighFreq", ">", F.col("hf"), "medium"),
+            rec(2, "Diversity", "<", F.col("dv"), "high"),
+            rec(3, "METEOR", "<", F.col("mt"), "high"),
             rec(4, "Diversity_change", "abs>", F.col("r4"), "medium"),
             rec(5, "HighFreq_change", "abs>", F.col("r5"), "medium"),
             rec(6, "relation_residual", "abs>", F.col("r6"), "high")]
@@ -176,11 +175,9 @@ def rule_quantiles(anomalies: DataFrame, col: str = "combined_anomaly",
                    metrics: Sequence[str] = ("HighFreq", "Diversity", "METEOR")) -> DataFrame:
     """Min, p25, median, p75, max of each metric among flagged rows."""
     flagged = anomalies.filter(F.col(col))
-    row = flagged.agg(*[F.percentile(m, [0.0, 0.25, 0.5, 0.75, 1.0]).alias(m) for m in metrics])
-    recs = [F.struct(F.lit(m).alias("metric"), F.col(m)[0].alias("min"), F.col(m)[1].alias("p25"),
-                     F.col(m)[2].alias("median"), F.col(m)[3].alias("p75"),
-                     F.col(m)[4].alias("max")) for m in metrics]
-    return row.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
+    names = ("min", "p25", "median", "p75", "max")
+    rows = column_quantiles(flagged, metrics, [0.0, 0.25, 0.5, 0.75, 1.0])
+    return rows.select("metric", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(names)])
 
 
 def rules_dict(rules: DataFrame) -> dict:

@@ -149,6 +149,33 @@ def ngram_diversity(records: DataFrame, group_cols: Sequence[str], n: int = 3,
     return counts.groupBy(*g).agg(F.count("kind").alias("diversity"))
 
 
+def ngram_sketches(records: DataFrame, group_cols: Sequence[str], n: int = 3, text_col: str = "generated_text",
+                   lg_k: int = 12) -> DataFrame:
+    """``(group..., sketch)``: a HyperLogLog sketch of each group's distinct
+    n-grams, at most 2 ** ``lg_k`` bytes or so, to be stored per batch of
+    texts and added up by :func:`merge_sketches`.  A group without n-grams has
+    an empty sketch.  Sketches are built in the map stage; a group of any size
+    sends one per task."""
+    g = list(group_cols)
+    tokenized = records.select(*g, tokenize(text_col).alias("_tok"))
+    grams = tokenized.select(*g, F.explode_outer(ngrams(F.col("_tok"), n)).alias("item"))
+    return grams.groupBy(*g).agg(F.hll_sketch_agg("item", F.lit(lg_k)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """One sketch per group from those of any number of batches, without
+    counting the texts again."""
+    return sketches.groupBy(*group_cols).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def sketch_diversity(sketches: DataFrame, group_cols: Sequence[str], lg_k: int = 12) -> DataFrame:
+    """``(group..., diversity, standard_error)``: the estimated number of
+    distinct n-grams and its standard error, ``1.04 / sqrt(2 ** lg_k)`` of it."""
+    found = F.hll_sketch_estimate("sketch")
+    return sketches.select(*group_cols, found.alias("diversity"),
+                           (found * F.lit(1.04 / 2 ** (lg_k / 2))).alias("standard_error"))
+
+
 def high_freq_ratio(records: DataFrame, group_cols: Sequence[str], threshold: float = 0.01,
                     text_col: str = "generated_text") -> DataFrame:
     """A3: high-frequency ratio per group."""

@@ -19,6 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textdrift.operators.quantiles import exact_quantiles, join_groups
 from textdrift.sources.tables import METRICS
 
 # Column renames from the metric-file header to feature names.
@@ -212,17 +213,15 @@ def mean_by_generation(df: DataFrame, cols: Sequence[str] = METRICS,
 
 
 def dispersion(df: DataFrame, cols: Sequence[str], group: str = "Generation") -> DataFrame:
-    """Per group mean, sample std, CV = std/mean, IQR (linear quantiles).
-
-    The exact ``percentile`` keeps a value-count map per group; it is meant
-    for sample tables (one row per scored sample).  For raw, unbounded groups
-    use ``approx=True`` of :func:`quantiles` instead.
-    """
-    aggs = []
+    """Per group mean, sample std, CV = std/mean, IQR (exact quantiles,
+    linearly interpolated, see ``quantiles``); two passes over ``df``."""
+    aggs, ranges, out = [], [], []
     for c in cols:
         name = c.replace("_", "").replace("-", "")
         mean, std = F.avg(c), F.stddev_samp(c)
-        aggs += [mean.alias(f"{name}_Mean"), std.alias(f"{name}_STD"),
-                 F.try_divide(std, mean).alias(f"{name}_CV"),
-                 (F.percentile(c, 0.75) - F.percentile(c, 0.25)).alias(f"{name}_IQR")]
-    return df.groupBy(group).agg(*aggs)
+        aggs += [mean.alias(f"{name}_Mean"), std.alias(f"{name}_STD"), F.try_divide(std, mean).alias(f"{name}_CV")]
+        width = F.col("quantiles")[1] - F.col("quantiles")[0]
+        ranges.append(F.max(F.when(F.col("metric") == c, width)).alias(f"{name}_IQR"))
+        out += [f"{name}_{part}" for part in ("Mean", "STD", "CV", "IQR")]
+    iqr = exact_quantiles(df, cols, [0.25, 0.75], [group]).groupBy(group).agg(*ranges)
+    return join_groups(df.groupBy(group).agg(*aggs), iqr, [group]).select(group, *out)

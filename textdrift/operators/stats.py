@@ -7,12 +7,15 @@ eigen-decomposition of the correlation matrix.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textdrift.operators.quantiles import column_quantiles
+
 
 def null_counts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """``(column, null_count)`` for every column, one aggregate pass."""
@@ -28,59 +31,89 @@ def describe_metrics(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     (long format: one row per column)."""
     aggs = []
     for c in cols:
-        aggs += [F.count(c).alias(f"{c}__count"), F.avg(c).alias(f"{c}__mean"),
-                 F.stddev_samp(c).alias(f"{c}__std"), F.min(c).alias(f"{c}__min"),
-                 F.percentile(c, [0.25, 0.5, 0.75]).alias(f"{c}__q"), F.max(c).alias(f"{c}__max")]
-    row = df.agg(*aggs)
-    recs = [F.struct(F.lit(c).alias("metric"), F.col(f"{c}__count").alias("count"),
-                     F.col(f"{c}__mean").cast("double").alias("mean"),
-                     F.col(f"{c}__std").alias("std"),
-                     F.col(f"{c}__min").cast("double").alias("min"),
-                     F.col(f"{c}__q")[0].alias("p25"), F.col(f"{c}__q")[1].alias("p50"),
-                     F.col(f"{c}__q")[2].alias("p75"),
-                     F.col(f"{c}__max").cast("double").alias("max")) for c in cols]
-    return row.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
-
-
-def _pairs(cols: Sequence[str]):
-    return [(a, b) for a in cols for b in cols]
+        aggs.append(F.struct(F.lit(c).alias("metric"), F.count(c).alias("count"), F.avg(c).cast("double").alias("mean"),
+                             F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
+                             F.max(c).cast("double").alias("max")))
+    rows = df.agg(F.array(*aggs).alias("all")).select(F.explode("all").alias("r")).select("r.*")
+    quartile = [F.col("quantiles")[i].alias(name) for i, name in enumerate(("p25", "p50", "p75"))]
+    return (rows.join(column_quantiles(df, cols, [0.25, 0.5, 0.75]), "metric")
+            .select("metric", "count", "mean", "std", "min", *quartile, "max"))
+
+
+def pair_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Moments of every column pair a <= b (by place in ``cols``) over the rows
+    in which both are not NULL: ``(a, b, n, sum_a, sum_b, sum_aa, sum_bb,
+    sum_ab)``, values taken from their column's mean.
+
+    One pass for the means, one for all pairs: a task multiplies its rows'
+    matrix with itself, batch by batch, and sends one row per pair; Spark adds
+    these up.  Memory and traffic of a task go with the square of the number
+    of columns, not with its rows.  NaN makes its column's moments NaN.
+    """
+    cols = list(cols)
+    p = len(cols)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(cols)]).first()
+    shift = np.array([0.0 if m is None else m for m in means])
+    i, j = np.triu_indices(p)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, s, q, c = (np.zeros((p, p)) for _ in range(4))
+        for batch in batches:
+            have = np.column_stack([col.is_valid().to_numpy(zero_copy_only=False) for col in batch.columns]).astype(float)
+            x = np.column_stack([col.fill_null(0.0).to_numpy(zero_copy_only=False) for col in batch.columns])
+            x = np.where(have > 0, x - shift, 0.0)
+            n += have.T @ have
+            s += x.T @ have
+            q += (x * x).T @ have
+            c += x.T @ x
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(n[i, j].astype(np.int64)), pa.array(s[i, j]),
+             pa.array(s[j, i]), pa.array(q[i, j]), pa.array(q[j, i]), pa.array(c[i, j])], names=names)
+
+    names = ["a", "b", "n", "sum_a", "sum_b", "sum_aa", "sum_bb", "sum_ab"]
+    parts = df.select(*[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(cols)]).mapInArrow(
+        run, "a int, b int, n long, " + ", ".join(f"{name} double" for name in names[3:]))
+    return parts.groupBy("a", "b").agg(*[F.sum(name).alias(name) for name in names[2:]])
+
+
+def _both_ways(half: DataFrame, cols: Sequence[str], *keep: str) -> DataFrame:
+    """``(var_a, var_b, ...)`` for all ordered pairs."""
+    named = F.array(*[F.lit(c) for c in cols])
+    ways = F.when(F.col("a") == F.col("b"), F.array(F.struct("a", "b"))).otherwise(
+        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return (half.select(F.explode(ways).alias("w"), *keep)
+            .select(named[F.col("w.a")].alias("var_a"), named[F.col("w.b")].alias("var_b"), *keep))
+
+
+def _centred(total: str, left: str, right: str) -> Column:
+    return F.try_divide(F.col(total) - F.try_divide(F.col(left) * F.col(right), F.col("n")), F.col("n"))
+
+
+#: A variance below this share of the mean square that it is taken from is
+#: rounding error: the column is constant there.
+CONSTANT = 1e-10
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pearson correlation of every column pair over the rows in which
     both are not NULL, long format ``(var_a, var_b, corr)``; NULL when a
-    column is constant there.
+    column is constant there.  All pairs come from :func:`pair_moments`."""
+    def spread(square: str, total: str) -> Column:
+        var = _centred(square, total, total)
+        return F.when(F.isnan(var) | (var > CONSTANT * F.try_divide(F.col(square), F.col("n"))), F.sqrt(var))
 
-    One aggregate computes each pair once.  ``corr`` itself raises on a
-    constant column under ANSI mode, so the ratio is taken with ``try_divide``.
-    """
-    half = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    both = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull()
-    aggs = []
-    for a, b in half:
-        aggs += [F.stddev_pop(F.when(both(a, b), F.col(a))).alias(f"{a}__{b}__sa"),
-                 F.stddev_pop(F.when(both(a, b), F.col(b))).alias(f"{a}__{b}__sb"),
-                 F.covar_pop(a, b).alias(f"{a}__{b}__cov")]
-    row = df.agg(*aggs)
-    value = {(a, b): F.try_divide(F.col(f"{a}__{b}__cov"), F.col(f"{a}__{b}__sa") * F.col(f"{a}__{b}__sb"))
-             for a, b in half}
-    recs = [F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
-                     value.get((a, b), value.get((b, a))).alias("corr"))
-            for a, b in _pairs(cols)]
-    return row.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
+    half = pair_moments(df, cols).withColumn("corr", F.try_divide(
+        _centred("sum_ab", "sum_a", "sum_b"), spread("sum_aa", "sum_a") * spread("sum_bb", "sum_b")))
+    return _both_ways(half, cols, "corr")
 
 
 def moment_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Population covariance of every pair plus the row count,
     ``(var_a, var_b, cov, n)``: the sufficient statistic of a path model."""
-    aggs = [F.count(F.lit(1)).alias("__n")]
-    pairs = _pairs(cols)
-    aggs += [F.covar_pop(a, b).alias(f"{a}__{b}__cov") for a, b in pairs]
-    row = df.agg(*aggs)
-    recs = [F.struct(F.lit(a).alias("var_a"), F.lit(b).alias("var_b"),
-                     F.col(f"{a}__{b}__cov").alias("cov"), F.col("__n").alias("n"))
-            for a, b in pairs]
-    return row.select(F.explode(F.array(*recs)).alias("r")).select("r.*")
+    rows = df.agg(F.count(F.lit(1)).alias("rows"))
+    half = pair_moments(df, cols).withColumn("cov", _centred("sum_ab", "sum_a", "sum_b"))
+    return (_both_ways(half, cols, "cov").crossJoin(F.broadcast(rows))  # one row
+            .withColumnRenamed("rows", "n"))
 
 
 def matrix_from_long(rows, cols: Sequence[str], value: str) -> np.ndarray:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textdrift.operators import anomaly as an
 from textdrift.operators import features as ft
 from textdrift.operators import stats as st
+from textdrift.operators.quantiles import exact_quantiles
 from textdrift.plans.common import rounded
 from textdrift.plans.registry import query
 from textdrift.session import materialize
@@ -221,6 +222,40 @@ def q_moment_matrix(spark, sf_dir):
     return rounded(st.moment_matrix(_metrics(spark, sf_dir), METRICS))
 
 
+def _embedding_columns(spark, sf_dir):
+    """Names and frame of the 64 components, beside the row's id and label."""
+    names = [f"e{i}" for i in range(64)]
+    dims = [F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)]
+    return names, read_table(spark, sf_dir, "embeddings").select("vec_id", "label", *dims)
+
+
+@query("embedding_correlation", """
+    WITH r AS (SELECT row_number() OVER () AS r, embedding FROM embeddings),
+    u AS (SELECT r, unnest(range(64)) AS i, unnest(embedding[1:64]) AS x FROM r),
+    v AS (SELECT r, i, CAST(x AS DOUBLE) AS x FROM u WHERE x IS NOT NULL)
+    SELECT 'e' || a.i AS var_a, 'e' || b.i AS var_b,
+           round(covar_pop(a.x, b.x) / NULLIF(stddev_pop(a.x) * stddev_pop(b.x), 0), 6) AS corr
+    FROM v a JOIN v b USING (r) GROUP BY a.i, b.i""")
+def q_embedding_correlation(spark, sf_dir):
+    """A20 on the 64 components of ``embeddings``: all 2,080 pairs in one pass."""
+    names, x = _embedding_columns(spark, sf_dir)
+    return rounded(st.correlation_matrix(x, names))
+
+
+@query("embedding_quantiles", """
+    WITH v AS (SELECT label, unnest(range(64)) AS i, unnest(embedding[1:64]) AS x FROM embeddings)
+    SELECT label, 'e' || i AS metric, round(quantile_cont(CAST(x AS DOUBLE), 0.25), 6) AS p25,
+           round(quantile_cont(CAST(x AS DOUBLE), 0.5), 6) AS p50,
+           round(quantile_cont(CAST(x AS DOUBLE), 0.75), 6) AS p75
+    FROM v WHERE x IS NOT NULL GROUP BY label, i""")
+def q_embedding_quantiles(spark, sf_dir):
+    """Exact quartiles of each of the 64 components per label."""
+    names, x = _embedding_columns(spark, sf_dir)
+    found = exact_quantiles(x, names, [0.25, 0.5, 0.75], ["label"])
+    return rounded(found.select("label", "metric", *[F.col("quantiles")[i].alias(n)
+                                                     for i, n in enumerate(("p25", "p50", "p75"))]))
+
+
 @query("pca_table")
 def q_pca_table(spark, sf_dir):
     """M2: loadings, eigenvalues and explained shares of the metric table

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textdrift.operators import diversity as dv
+from textdrift.operators.quantiles import join_groups
 from textdrift.plans.common import rounded
 from textdrift.plans.registry import query
 from textdrift.plans.scoring import score_corpus
 from textdrift.plans.sql_common import DOC_TOKENS, bigram_model_ctes, ngram_rows
+from textdrift.session import materialize
 from textdrift.sources.tables import benchmark_corpus, documents_as_records
 
 GROUP = ["run", "generation"]
@@ -79,6 +81,22 @@ def q_ngram_diversity_approx(spark, sf_dir):
     return d.select(*GROUP, (F.col("diversity") > 0).alias("has_ngrams"))
 
 
+@query("ngram_diversity_sketches", f"WITH {_TOKEN_COUNTS} "
+       "SELECT run, generation, coalesce(diversity, 0) AS diversity, true AS estimate_holds "
+       "FROM tg LEFT JOIN grams USING (run, generation)")
+def q_ngram_diversity_sketches(spark, sf_dir):
+    """A2 by stored sketches: one per group and batch (two, by a hash of
+    the id), merged; ``estimate_holds``: the estimate is within three standard
+    errors (and 0.5, as it is a whole number) of the exact count beside it."""
+    records = documents_as_records(spark, sf_dir)
+    batch = F.pmod(F.xxhash64("id"), F.lit(2)).alias("batch")
+    stored = materialize(dv.ngram_sketches(records.select("*", batch), [*GROUP, "batch"]))
+    merged = dv.sketch_diversity(dv.merge_sketches(stored, GROUP), GROUP).withColumnRenamed("diversity", "estimate")
+    both = join_groups(dv.ngram_diversity(records, GROUP, n=3), merged, GROUP)
+    holds = F.abs(F.col("estimate") - F.col("diversity")) <= 3 * F.col("standard_error") + 0.5
+    return both.select(*GROUP, "diversity", holds.alias("estimate_holds"))
+
+
 @query("high_freq_ratio", f"WITH {_TOKEN_COUNTS} "
        "SELECT run, generation, round(high_freq_ratio, 6) AS high_freq_ratio "
        "FROM tg LEFT JOIN ent USING (run, generation)")
