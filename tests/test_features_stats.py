@@ -127,3 +127,13 @@ def test_pca_leaves_constant_columns_out(spark):
     assert table.loc["c"].isna().all() and "a_4" not in table.columns
     scores = st.pca_scores(spark.createDataFrame(rows, "a double, b double, c double, d double"), ["a", "b", "c", "d"])
     assert scores.dropna().count() == 40
+
+
+def test_two_rules_make_an_alert(spark):
+    rules = spark.createDataFrame([(1, 0.5), (2, 10.0), (3, 0.2), (4, 1.0), (5, 1.0), (6, None)], "rule int, threshold double")
+    rows = [(0, 0.6, 9.0, 0.3, 0.0, 0.0, 9.0), (1, 0.6, 11.0, 0.3, -2.0, None, 9.0), (2, 0.5, 10.0, 0.2, 1.0, -1.0, 9.0),
+            (3, None, None, 0.1, None, None, None)]
+    df = spark.createDataFrame(rows, "id int, HighFreq double, Diversity double, METEOR double, Diversity_change double, "
+                                     "HighFreq_change double, diversity_relation_residual double")
+    got = {r.id: (r.rules_held, r.alert) for r in an.rule_alerts(df, rules).collect()}
+    assert got == {0: ([1, 2], True), 1: ([1, 4], True), 2: ([], False), 3: ([3], False)}

@@ -3,6 +3,9 @@
 import math
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from textdrift.functions.alignment import count_chunks, lcs_length, meteor_pair
 from textdrift.functions.porter import stem
 from textdrift.operators import overlap as ov
@@ -176,3 +179,24 @@ def test_zip_texts_with_repeated_order_values(spark):
     ref = spark.createDataFrame([(5, "x"), (5, "y"), (6, "z")], "id long, generated_text string")
     got = sorted((r.pair_id, r.generated_text, r.input_text) for r in ov.zip_texts(gen, ref, "id").collect())
     assert got == [(0, "a", "x"), (1, "b", "y"), (2, "c", "z")]
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_meteor_synonyms_sent_and_merged(spark, threshold):
+    words = [("car", "v"), ("auto", "v"), ("car", "w"), ("quick", "s"), ("fast", "s"), ("5", "t"), ("nap", None), (None, "v")]
+    table = spark.createDataFrame(words, "word string, class string")
+    classes = {"car": ("v",), "auto": ("v",), "quick": ("s",), "fast": ("s",), "5": ("t",)}
+    texts = [("a quick car", "the fast auto"), ("car car fast", "auto quick"), ("nap", "v"), ("t", "5"), (None, "car"), ("", "")]
+    p = _pairs(spark, texts).withColumn("words", F.lit("a clashing name"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        got = {r.pair_id: r.meteor for r in ov.meteor(p, ["pair_id"], synonyms=table).collect()}
+        plain = {r.pair_id: r.meteor for r in ov.meteor(p, ["pair_id"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    for i, (g, r) in enumerate(texts):
+        g, r = (g or "").split(), (r or "").split()
+        assert math.isclose(got[i], meteor_pair(g, r, synonyms=classes))
+        assert math.isclose(plain[i], meteor_pair(g, r))
+    assert got[0] > plain[0] == 0 and got[2] == got[3] == 0

@@ -180,6 +180,29 @@ def rule_quantiles(anomalies: DataFrame, col: str = "combined_anomaly",
     return rows.select("metric", *[F.col("quantiles")[i].alias(name) for i, name in enumerate(names)])
 
 
+def rule_alerts(features: DataFrame, rules: DataFrame, at_least: int = 2) -> DataFrame:
+    """M8 applied: ``rules_held``, the numbers of the rules that hold on a row
+    in ascending order, and ``alert``, true where ``at_least`` of them do.
+
+    ``features`` has the columns that :func:`detect_anomalies` adds.  A rule
+    whose value or threshold is NULL does not hold.  The thresholds are one
+    row, sent to every task.
+    """
+    value = {"relation_residual": "diversity_relation_residual"}
+    known = [(1, "HighFreq", ">"), (2, "Diversity", "<"), (3, "METEOR", "<"), (4, "Diversity_change", "abs>"),
+             (5, "HighFreq_change", "abs>"), (6, "relation_residual", "abs>")]
+    limits = rules.agg(*[F.max(F.when(F.col("rule") == r, F.col("threshold"))).alias(f"_limit{r}") for r, _, _ in known])
+    held = []
+    for r, metric, op in known:
+        x, limit = F.col(value.get(metric, metric)), F.col(f"_limit{r}")
+        holds = {">": x > limit, "<": x < limit, "abs>": F.abs(x) > limit}[op]
+        held.append(F.when(holds, F.lit(r)))
+    return (features.crossJoin(F.broadcast(limits))
+            .withColumn("rules_held", F.array_compact(F.array(*held)))
+            .withColumn("alert", F.size("rules_held") >= at_least)
+            .drop(*[f"_limit{r}" for r, _, _ in known]))
+
+
 def rules_dict(rules: DataFrame) -> dict:
     """The six thresholds of :func:`extract_rules` as a monitor rule config
     (6 rows, collected on the driver)."""

@@ -12,6 +12,7 @@ they run in Arrow-batched pandas UDFs on the token arrays of one pair.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 from textdrift.functions.alignment import lcs_length, meteor_pair, prf
 from textdrift.functions.porter import stem as porter_stem
 from textdrift.functions.text import ROUGE_MIN_STEM_LEN, f1, ngrams, rouge_tokens, tokenize
+from textdrift.session import materialize
 
 PAIR = "pair_id"
 
@@ -200,20 +202,47 @@ def rouge_l(pairs: DataFrame, keys: Sequence[str], stem: bool = False) -> DataFr
 
 def _meteor_udf(alpha: float, beta: float, gamma: float, use_stem: bool):
     @F.pandas_udf(T.DoubleType())
-    def udf(gen: pd.Series, ref: pd.Series) -> pd.Series:
+    def udf(gen: pd.Series, ref: pd.Series, words: pd.Series, classes: pd.Series) -> pd.Series:
         st = porter_stem if use_stem else None
-        return pd.Series([meteor_pair(list(g), list(r), alpha, beta, gamma, st)
-                          for g, r in zip(gen, ref)])
+        # a class is a tuple, so that it never equals a word
+        return pd.Series([meteor_pair(list(g), list(r), alpha, beta, gamma, st, {a: (b,) for a, b in zip(w, c)})
+                          for g, r, w, c in zip(gen, ref, words, classes)])
     return udf
 
 
+def word_classes(pairs: DataFrame, keys: Sequence[str], synonyms: DataFrame) -> DataFrame:
+    """``(key..., words, classes)``: the words of each pair that stand in
+    ``synonyms (word, class)``, with their class; at most its distinct words.
+
+    The table is written first, so its size is known: Spark sends a small one
+    to the words and joins a large one by sort-merge.  A word with several
+    classes takes the smallest; NULL words and classes are left out.
+    """
+    k = list(keys)
+    table = materialize(synonyms.where(F.col("word").isNotNull() & F.col("class").isNotNull())
+                        .groupBy("word").agg(F.min(F.col("class").cast("string")).alias("class")))
+    both = F.array_union(tokenize("generated_text"), tokenize("input_text"))
+    found = pairs.select(*k, F.explode(both).alias("word")).join(table, "word")
+    rows = found.groupBy(*k).agg(F.collect_list(F.struct("word", "class")).alias("_found"))
+    return rows.select(*k, F.col("_found.word").alias("words"), F.col("_found.class").alias("classes"))
+
+
 def meteor(pairs: DataFrame, keys: Sequence[str], alpha: float = 0.9, beta: float = 3.0,
-           gamma: float = 0.5, stem: bool = True) -> DataFrame:
+           gamma: float = 0.5, stem: bool = True, synonyms: DataFrame | None = None) -> DataFrame:
     """METEOR per pair on word tokens (T1) of lower-cased text:
-    exact then Porter-stem matches, no synonym stage by default."""
+    exact matches, then Porter-stem matches, then, if a table ``synonyms
+    (word, class)`` is given, words of one class.  ``keys`` name a pair."""
     k = list(keys)
     u = _meteor_udf(alpha, beta, gamma, stem)
-    return pairs.select(*k, u(tokenize("generated_text"), tokenize("input_text")).alias("meteor"))
+    none = F.array().cast("array<string>")
+    if synonyms is None:
+        rows = pairs.withColumns({"words": none, "classes": none})
+    else:
+        own = word_classes(pairs, k, synonyms).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(k)], "words", "classes")
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(k)])
+        rows = pairs.select(*k, "generated_text", "input_text").join(own, same, "left")
+    return rows.select(*k, u(tokenize("generated_text"), tokenize("input_text"),
+                             F.coalesce("words", none), F.coalesce("classes", none)).alias("meteor"))
 
 
 def overlap_scores(pairs: DataFrame, keys: Sequence[str], stem: bool = True) -> DataFrame:

@@ -447,7 +447,10 @@ def _nested(a: PathModel, b: PathModel) -> bool:
 
 def compare_models(df: DataFrame, models: Sequence[PathModel] = MODELS) -> DataFrame:
     """Fit indices of every model, the best converged one by AIC, and
-    for models nested with the first the chi-square difference test."""
+    for models nested with the first the chi-square difference test.
+
+    AIC compares models of the same data only, so the first model and those
+    over its variables are ranked; ``best_by_aic`` is NULL for the others."""
     obs = list(dict.fromkeys(v for m in models for v in m.observed))
     S, n = moments(df, obs)
     results = []
@@ -463,10 +466,11 @@ def compare_models(df: DataFrame, models: Sequence[PathModel] = MODELS) -> DataF
         tests.append((r["model"].name, *((float(dchi), float(ddf), float(chi2_sf(dchi, ddf))) if ok else (None,) * 3)))
     spark = df.sparkSession
     fits = fit_frame(spark, results)
-    best = fits.where("converged").agg(F.min_by("model", "aic").alias("_best"))
+    ranked = F.col("model").isin([m.name for m in models if set(m.observed) == set(models[0].observed)])
+    best = fits.where(F.col("converged") & ranked).agg(F.min_by("model", "aic").alias("_best"))
     test = spark.createDataFrame(tests, "model string, delta_chi_square double, delta_df double, delta_p_value double")
     return (fits.join(test, "model").crossJoin(F.broadcast(best))
-            .withColumn("best_by_aic", F.coalesce(F.col("model") == F.col("_best"), F.lit(False))).drop("_best"))
+            .withColumn("best_by_aic", F.when(ranked, F.coalesce(F.col("model") == F.col("_best"), F.lit(False)))).drop("_best"))
 
 
 def effect_decomposition(res: dict) -> list[tuple]:

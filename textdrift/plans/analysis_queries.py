@@ -378,6 +378,25 @@ def q_extract_rules(spark, sf_dir):
     return rounded(an.extract_rules(_anomalies(spark, sf_dir)))
 
 
+@query("rule_alerts", f"""
+    WITH {_anomaly_ctes()},
+    q AS (SELECT quantile_cont(HighFreq, 0.75) AS r1, quantile_cont(Diversity, 0.25) AS r2,
+                 quantile_cont(METEOR, 0.25) AS r3 FROM a WHERE combined_anomaly),
+    h AS (SELECT Run, Generation,
+                 list_filter([CASE WHEN HighFreq > r1 THEN 1 END, CASE WHEN Diversity < r2 THEN 2 END,
+                              CASE WHEN METEOR < r3 THEN 3 END,
+                              CASE WHEN abs(Diversity_change) > Diversity_change_threshold THEN 4 END,
+                              CASE WHEN abs(HighFreq_change) > HighFreq_change_threshold THEN 5 END,
+                              CASE WHEN abs(diversity_relation_residual) > diversity_relation_threshold THEN 6 END],
+                             lambda r: r IS NOT NULL) AS held FROM a, q)
+    SELECT Run, Generation, array_to_string(held, ',') AS rules_held, len(held) >= 2 AS alert FROM h""")
+def q_rule_alerts(spark, sf_dir):
+    """M8: the rules that hold on each row; an alert is due when any two do."""
+    rows = _anomalies(spark, sf_dir)
+    found = an.rule_alerts(rows, an.extract_rules(rows))
+    return found.select("Run", "Generation", F.array_join("rules_held", ",").alias("rules_held"), "alert")
+
+
 @query("distinct_runs", f"SELECT DISTINCT Run FROM ({lineitem_metrics_sql()})")
 def q_distinct_runs(spark, sf_dir):
     """Distinct runs."""
