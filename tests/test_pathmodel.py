@@ -149,3 +149,11 @@ def test_gradient_matches_differences():
         e = np.zeros_like(theta)
         e[i] = 1e-6
         assert np.allclose(d, (ram.sigma(theta + e) - ram.sigma(theta - e)) / 2e-6, atol=1e-7)
+
+
+def test_only_models_of_the_same_variables_are_ranked(spark):
+    rng = np.random.default_rng(7)
+    small = [pm.PathModel({}, {"b": ["a"], "c": ["b"]}, "chain"), pm.PathModel({}, {"b": ["a"]}, "other")]
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.normal(size=(80, 3))], "a double, b double, c double")
+    got = {r.model: r.best_by_aic for r in pm.compare_models(df, small).collect()}
+    assert got["chain"] is not None and got["other"] is None
