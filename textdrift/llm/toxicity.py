@@ -1,12 +1,20 @@
 """Toxicity by a subsequence string-kernel SVM with Nystroem landmarks.
 
 Kernel.  Two words are compared by their common subsequences of four letters
-within six places, weighted by ``decay`` for every place they skip (the
-tightest of several ways counts), so letters that are skipped or inserted cost
-little (the gap-weighted subsequence kernel of Lodhi et al.,
-limited to a span).  Its power ``degree`` sharpens the match;
+within seven places (every other letter of one), weighted by ``decay`` for
+every place they skip (the tightest of several ways counts), so letters that
+are skipped or inserted cost little (the gap-weighted subsequence kernel of
+Lodhi et al., limited to a span).  Its power ``degree`` sharpens the match;
 the kernel of two sentences is the sum over all pairs of different words.
 
+Words.  Characters that are no letters are dropped, so marks between letters
+open no gap.  Short words that follow each other are one word (``b l o c k``,
+``bl oc k``), which holds all their subsequences.  Gaps wider than the span are
+closed by further words beside those of the text (``_unfolded``): a word whose
+every other letter is one and the same, without these; a word with letters
+three times or more in a row, with each once.  Words over ``LONGEST`` letters
+are compared in overlapping pieces, which bounds a word's subsequences.
+
 Nystroem.  A sentence is mapped to its kernel values with landmark words, made
 orthonormal by the inverse square root of the landmarks' own kernel matrix.
 Landmarks are chosen from the training texts: the words and word beginnings
@@ -25,7 +33,8 @@ words, a word's contribution is one number; scoring adds these up.
 Defined cases.  A null or empty text has no sentence and gets the score of a
 sentence without words.  Without labels of both kinds the score is the share
 of label 1 (0 without labels).  Null labels are not learned from.  Rows
-without an id and repeated rows are scored one by one.  Further columns are
+without an id and repeated rows are scored one by one; a document with several
+labels is learned from once for each.  Further columns are
 not read; an empty table gives an empty result.
 """
 
@@ -34,7 +43,7 @@ from __future__ import annotations
 import itertools
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -52,24 +61,63 @@ STEMS = (4, 5, 6, 7)
 #: Least logarithmic odds of a telling landmark, at the lower bound.
 LEAST_ODDS = 2.0
 LETTERS = 4
-SPAN = 6
+SPAN = 2 * LETTERS - 1
 DECAY = 0.7
+#: Words of at most so many letters are joined with their neighbours.
+SHORT = 4
+#: Longer words are compared in pieces of this length, each half over the next.
+LONGEST = 64
+#: Words whose worth a worker remembers.
+REMEMBERED = 200_000
 DEGREE = 4
 THRESHOLD = 0.3
 STEP = 300_000
 
-_SENTENCE = re.compile(r"[.!?]+(?:\s|$)|\n")
-_DROP = {c: None for c in range(128) if not chr(c).isalpha() and not chr(c).isspace()}
+_SENTENCE = re.compile(r"[.!?]+(?:\s|$)")
+_NO_LETTER = re.compile(r"[^\w\s]+|[\d_]+")
+#: A short word and the space behind it, before another short word.
+_SHORT = re.compile(rf"(?<!\S)(\S{{1,{SHORT}}})[^\S\n]+(?=\S{{1,{SHORT}}}(?!\S))")
+_THRICE = re.compile(r"(.)\1\1+")
+#: A word that ``_unfolded`` or ``_pieces`` may change.
+_UNUSUAL = re.compile(rf"(?<!\S)(?:(?=\S*?(\S)\1\1)|(?=\S?(\S)(?:\S\2){{2,}}\S?(?!\S))|(?=\S{{{LONGEST + 1}}}))\S+")
 _SYMBOLS = 40  # 26 letters, the others by their number; 0 is none
 #: Places of the second to last letter of a subsequence after its first.
 _OFFSETS = list(itertools.combinations(range(1, SPAN), LETTERS - 1))
 
 
+def _unfolded(word: str) -> list[str]:
+    """A word, and beside it the word without letters put in between or repeated."""
+    found = [word]
+    if len(word) >= 2 * LETTERS - 1:
+        if _THRICE.search(word):
+            found.append(_THRICE.sub(r"\1", word))
+        for letters, between in ((word[::2], word[1::2]), (word[1::2], word[::2])):
+            if len(set(between)) == 1 < len(set(letters)):
+                found.append(letters)
+    return found
+
+
+def _pieces(word: str) -> list[str]:
+    if len(word) <= LONGEST:
+        return [word]
+    return [word[at:at + LONGEST] for at in range(0, len(word) - LONGEST // 2, LONGEST // 2)]
+
+
+def _letters(text: str | None) -> str:
+    """Letters and spaces in lower case, a line for each sentence."""
+    return _NO_LETTER.sub("", _SENTENCE.sub("\n", text.lower())) if text else ""
+
+
 def sentences(text: str | None) -> list[list[str]]:
-    """The different words of each sentence, letters only, in lower case."""
-    if not text:
-        return []
-    return [list(dict.fromkeys(w)) for s in _SENTENCE.split(text.lower()) if (w := s.translate(_DROP).split())]
+    """The words of each sentence as they are written."""
+    return [w for line in _letters(text).split("\n") if (w := line.split())]
+
+
+def compared(text: str | None) -> list[list[str]]:
+    """The different words of each sentence as the kernel compares them."""
+    letters = _UNUSUAL.sub(lambda m: " ".join(p for w in _unfolded(m[0]) for p in _pieces(w)),
+                           _SHORT.sub(r"\1", _letters(text)))
+    return [list(dict.fromkeys(w)) for line in letters.split("\n") if (w := line.split())]
 
 
 def _symbols(words: list[str]) -> np.ndarray:
@@ -78,8 +126,9 @@ def _symbols(words: list[str]) -> np.ndarray:
     return np.where(plain, code - 96, 27 + code % (_SYMBOLS - 27))
 
 
-def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word number, subsequence code, weight) of all subsequences."""
+def subsequences(words: list[str], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word number, subsequence code, weight) of all subsequences, or of those
+    whose code is ``wanted``."""
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     rows, codes, weights = [], [], []
     for n in np.unique(sizes[sizes >= LETTERS]).tolist():
@@ -92,9 +141,11 @@ def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             code = c[:, :n - reach]
             for o in offsets:
                 code = code * _SYMBOLS + c[:, o:n - reach + o]
-            rows.append(np.repeat(own, n - reach))
-            codes.append(code.ravel())
-            weights.append(np.full(code.size, DECAY ** (reach + 1 - LETTERS)))
+            code = code.ravel()
+            at = np.arange(code.size) if wanted is None else np.flatnonzero(wanted[code])
+            rows.append(own[at // (n - reach)])
+            codes.append(code[at])
+            weights.append(np.full(len(at), DECAY ** (reach + 1 - LETTERS)))
     if not rows:
         return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0)
     return np.concatenate(rows), np.concatenate(codes), np.concatenate(weights)
@@ -114,18 +165,16 @@ class Landmarks:
     def kernel(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(numbers of the words that match at all, their kernel values)."""
         if self.table is None:
-            self.table = np.full(_SYMBOLS ** LETTERS, -1, np.int32)
-            self.table[self.codes] = np.arange(len(self.codes))
-        row, code, weight = subsequences(words)
-        feature = self.table[code]
-        hit = np.flatnonzero(feature >= 0)
-        if not len(hit):
+            self.table = np.zeros(_SYMBOLS ** LETTERS, bool)
+            self.table[self.codes] = True
+        row, code, weight = subsequences(words, self.table)
+        if not len(row):
             return np.empty(0, np.int64), np.empty((0, len(self.words)), np.float32)
+        feature = np.searchsorted(self.codes, code)
         # of several ways to form one subsequence the tightest counts
-        pair = row[hit] * len(self.codes) + feature[hit]
-        order = np.lexsort((weight[hit], pair))
-        tightest = np.append(np.diff(pair[order]) > 0, True)
-        hit = hit[order[tightest]]
+        pair = row * len(self.codes) + feature
+        order = np.lexsort((weight, pair))
+        hit = order[np.append(np.diff(pair[order]) > 0, True)]
         owner, start = np.unique(row[hit], return_index=True)
         values = np.empty((len(owner), len(self.words)), np.float32)
         for s in range(0, len(owner), 20_000):  # bounds the expanded rows
@@ -161,23 +210,47 @@ class Model:
     bias: float
     slope: float             # of the logistic curve
     shift: float
+    worth: dict[str, float] = field(default_factory=dict, repr=False)  # of words met before
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"worth": {}}
 
     def values(self, texts: list[str | None], vector: bool = False) -> list:
         """For each text the largest value of its sentences; with ``vector``
-        (value, kernel vector) of that sentence."""
+        the kernel vector of that sentence."""
+        step = self._witnesses if vector else self._tops
         out: list = []
         held: list[list[list[str]]] = []
         n = 0
         for text in texts:
-            own = sentences(text)
+            own = compared(text)
             held.append(own)
             n += sum(map(len, own))
             if n > STEP:
-                out += self._values(held, vector)
+                out += step(held)
                 held, n = [], 0
-        return out + self._values(held, vector)
+        return out + step(held)
+
+    def _tops(self, held: list[list[list[str]]]) -> list[float]:
+        """For each text the largest value of its sentences.  A word's worth is
+        its kernel values times the weights; those of usual length are
+        remembered."""
+        if len(self.worth) > REMEMBERED:
+            self.worth.clear()
+        words = itertools.chain.from_iterable(itertools.chain.from_iterable(held))
+        new = sorted(set(words).difference(self.worth))
+        owner, kernel = self.marks.kernel(new)
+        worth = np.zeros(len(new))
+        worth[owner] = kernel ** DEGREE @ self.weights
+        self.worth.update(zip(new, worth.tolist()))
+        of = self.worth.__getitem__
+        out = [max((sum(map(of, s)) for s in own), default=0.0) + self.bias for own in held]
+        for w in new:
+            if len(w) > 2 * SPAN:
+                del self.worth[w]
+        return out
 
-    def _values(self, held: list[list[list[str]]], vector: bool) -> list:
+    def _witnesses(self, held: list[list[list[str]]]) -> list[np.ndarray]:
         new: dict[str, int] = {}
         words, sizes, counts = [], [], []
         for own in held:
@@ -198,13 +271,12 @@ class Model:
         begin = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
         out, at = [], 0
         for n in counts:
-            best = at + int(value[at:at + n].argmax()) if n else -1
-            top = float(value[best]) if n else self.bias
-            if vector:
-                row = where[word[begin[best]:begin[best + 1]]] if n else np.empty(0, np.int64)
-                out.append((top, kernel[row[row >= 0]].sum(axis=0) if n else np.zeros(m)))
+            if n:
+                best = at + int(value[at:at + n].argmax())
+                row = where[word[begin[best]:begin[best + 1]]]
+                out.append(kernel[row[row >= 0]].sum(axis=0))
             else:
-                out.append(top)
+                out.append(np.zeros(m))
             at += n
         return out
 
@@ -301,7 +373,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, max_t
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 got = shared.value.values(batch.column(0).to_pylist(), vector=True)
-                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([v.tolist() for _, v in got], pa.list_(pa.float64()))],
+                yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([v.tolist() for v in got], pa.list_(pa.float64()))],
                                                  names=["label", "x"])
 
         # one vector per sampled row
