@@ -7,6 +7,7 @@ re-run selects the same rows; the reference's numpy seeds cannot be replayed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -84,25 +85,59 @@ def pack_blocks(records: DataFrame, block: int = 64, batch_size: int = 1000,
                          F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"))
 
 
+def _uniform(*cols, seed: int | str) -> Column:
+    """Uniform in (0, 1) from the hash of the columns."""
+    return (hash_u32(*cols, seed=seed).cast("double") + 0.5) / 4294967296.0
+
+
+def taken_by(id_col: str, samples: int, p: float, seed: int = 0) -> Column:
+    """The samples (0 to ``samples - 1``) that take a row, each with chance
+    ``p``, as an array.
+
+    The gaps between the samples that take a row are geometric, so one hash
+    says how many samples pass the row over first; only a row that some sample
+    takes needs more hashes.  Exploding the array gives the sampled rows and
+    no others."""
+    if p >= 1.0:
+        return F.sequence(F.lit(0), F.lit(samples - 1))
+    none = F.array().cast("array<int>")
+    if p <= 0.0:
+        return none
+    scale = F.lit(math.log1p(-p))
+
+    def skip(draw: Column) -> Column:  # at most 22.9 / p, so a double holds it exactly enough
+        return F.floor(F.log(_uniform(id_col, draw, seed=seed)) / scale)
+
+    def step(state: Column, draw: Column) -> Column:
+        at = F.when(state["at"] < samples, state["at"] + 1 + skip(draw)).otherwise(state["at"])
+        return F.struct(at.alias("at"), F.when(at < samples, F.concat(state["out"], F.array(at.cast("int"))))
+                        .otherwise(state["out"]).alias("out"))
+
+    first = skip(F.lit(0))
+    start = F.struct(first.alias("at"), F.array(first.cast("int")).alias("out"))
+    further = F.aggregate(F.sequence(F.lit(1), F.lit(samples)), start, step, lambda s: s["out"])
+    return F.when(first < samples, further).otherwise(none)
+
+
 def bootstrap_weights(df: DataFrame, replicates: int, id_col: str, seed: int = 0) -> DataFrame:
     """Sampling with replacement as Poisson(1) multiplicities per
-    (row, replicate), drawn from a hash (inverse CDF), one explode per row:
-    the row's columns plus ``replicate`` and ``weight`` (> 0 only)."""
-    reps = F.sequence(F.lit(1), F.lit(replicates))
-    x = df.select("*", F.explode(reps).alias("replicate"))
-    u = (hash_u32(id_col, "replicate", seed=seed).cast("double") + 0.5) / 4294967296.0
-    # inverse CDF of Poisson(1): smallest k with F(k) >= u (k <= 12 covers u < 1 - 1e-10)
-    cdf, p, k_expr = 0.0, 0.36787944117144233, None
-    thresholds = []
-    for k in range(13):
+    (row, replicate), drawn from a hash (inverse CDF): the row's columns plus
+    ``replicate`` and ``weight``.  Only the replicates that take a row
+    (weight > 0, 63 %) are exploded."""
+    thresholds, cdf, p = [], 0.0, math.exp(-1)
+    for k in range(13):  # k <= 12 covers u < 1 - 1e-10
         cdf += p
         thresholds.append(cdf)
         p = p / (k + 1)
-    for k, t in reversed(list(enumerate(thresholds))):
-        k_expr = F.when(u <= F.lit(t), F.lit(k)) if k_expr is None else \
-            F.when(u <= F.lit(t), F.lit(k)).otherwise(k_expr)
-    k_expr = F.coalesce(k_expr, F.lit(13))
-    return x.withColumn("weight", k_expr).filter(F.col("weight") > 0)
+
+    def weight(replicate: Column) -> Column:
+        # inverse CDF of Poisson(1): the number of thresholds below u
+        u = _uniform(id_col, replicate, seed=seed)
+        return F.size(F.filter(F.array(*[F.lit(t) for t in thresholds]), lambda t: t < u))
+
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.struct(r.alias("replicate"), weight(r).alias("weight")))
+    names = [F.col(f"`{c}`") for c in df.columns]
+    return df.select(*names, F.inline(F.filter(drawn, lambda d: d["weight"] > 0)))
 
 
 def kfold(df: DataFrame, k: int = 3, id_col: str = "id", seed: int = 42) -> DataFrame:

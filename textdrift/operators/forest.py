@@ -1,9 +1,9 @@
 """Isolation forest (Liu, Ting & Zhou, 2008) as Spark jobs (M4).
 
-1. Sampling: every (row, tree) pair draws a hash uniform; a row joins the
-   sample of tree t when it falls below psi / n.  Only the sampled pairs leave
-   the map side, and a row-number cut keeps at most ``psi`` rows per tree, so
-   a tree's group is bounded by ``psi`` whatever the table size.
+1. Sampling: one hash per row says which trees take it (geometric skips, chance
+   1.5 psi / n per tree); only those pairs are made, and a row-number cut in
+   hash order keeps at most ``psi`` rows per tree, so a tree's group is bounded
+   by ``psi`` whatever the table size.
 2. Building: ``groupBy(tree).applyInPandas`` grows one tree per group with
    random features and uniform split points (seeded by the tree number).
 3. Scoring: the forest has at most ``trees * (2 psi - 1)`` nodes, a bound
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textdrift.operators.corpus import hash_u32
+from textdrift.operators.corpus import hash_u32, taken_by
 
 NODE_SCHEMA = ("tree int, node int, feature int, split double, left int, right int, "
                "size long, leaf boolean, depth int")
@@ -82,9 +82,9 @@ def build_forest(df: DataFrame, features: Sequence[str], id_col: str, trees: int
     n = df.count()
     psi_eff = min(psi, n)
     p = min(1.0, 1.5 * psi_eff / max(n, 1))
-    pairs = df.select(id_col, *features, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+    sampled = df.select(id_col, *features, F.explode(taken_by(id_col, trees, p, seed)).alias("tree"))
     u = (hash_u32(id_col, "tree", seed=seed).cast("double") + 0.5) / 4294967296.0
-    sampled = pairs.withColumn("_u", u).filter(F.col("_u") < p)
+    sampled = sampled.withColumn("_u", u)
     w = Window.partitionBy("tree").orderBy("_u")
     sampled = sampled.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= psi_eff)
     max_depth = max(1, math.ceil(math.log2(max(psi_eff, 2))))
