@@ -19,6 +19,9 @@ are left out.  All this acts on entropy spans only; spans of the patterns
 always stay.  A hex span inside a base-64 span is the same finding, and so is
 an entropy span that overlaps a pattern's span; both are left out.
 
+Starts of matches are sums over blocks, and overlaps are looked for in blocks
+of spans, so a text with very many matches takes time about in proportion.
+
 Positions are code points, ends exclusive.  Defined cases: a null or empty
 text has no spans; several rows with one id are scanned one by one; further
 columns are not read; an empty table gives an empty result.
@@ -74,6 +77,50 @@ PUBLIC = (
 )
 
 SPAN = "array<struct<start:int,end:int,ord:int,kind:string>>"
+#: Places that a fold adds up, or spans that are skipped together, at a time: a
+#: text with n matches costs about n * BLOCK + (n / BLOCK) ** 2 small steps.
+BLOCK = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _in_blocks(items: Column) -> Column:
+    """An array as an array of arrays of at most ``BLOCK``."""
+    last = F.floor((F.size(items) - 1) / BLOCK).cast("int")
+    number = F.when(F.size(items) > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+    return F.transform(number, lambda b: F.slice(items, b * BLOCK + 1, F.lit(BLOCK)))
+
+
+def _before(sizes: Column) -> Column:
+    """For each number of an array the sum of those before it."""
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def sums(xs: Column) -> Column:
+        return F.aggregate(xs, zero, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out")),
+                           lambda s: s["out"])
+
+    def add(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda s, x: s + x))
+        return F.flatten(F.zip_with(blocks, sums(totals), lambda b, base: F.transform(sums(b), lambda v: v + base)))
+
+    return _let(sizes, lambda xs: _let(_in_blocks(xs), add))
+
+
+def _none_of(spans: Column, others: Column, clash: Callable[[Column, Column, Column], Column]) -> Column:
+    """The spans for which no other span (start, end) satisfies ``clash``,
+    which must also hold for a range around such a span."""
+    def summary(part: Column) -> Column:
+        return F.struct(F.array_min(F.transform(part, lambda o: o["start"])).alias("start"),
+                        F.array_max(F.transform(part, lambda o: o["end"])).alias("end"), part.alias("part"))
+
+    def keep(blocks: Column) -> Column:
+        return F.filter(spans, lambda s: ~F.exists(blocks, lambda b: clash(s, b["start"], b["end"]) & F.exists(
+            b["part"], lambda o: clash(s, o["start"], o["end"]))))
+
+    return _let(F.transform(_let(others, _in_blocks), summary), keep)
 
 
 def _located(text: Column, pattern: str) -> tuple[Column, Column, Column]:
@@ -92,17 +139,10 @@ def _with_offsets(df: DataFrame, name: str, pattern: str, hint: str, text: str =
     df = (df.withColumn("_m", F.when(has, found).otherwise(none))
           .withColumn("_v", F.when(has, value).otherwise(none))
           .withColumn("_g", F.when(has, gaps).otherwise(none)))
-    step = "array<struct<start:int,match:string,value:string>>"
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(step).alias("out"))
-
-    def add(s: Column, i: Column) -> Column:
-        begin = s["at"] + F.length(F.col("_g")[i])
-        item = F.struct(begin.alias("start"), F.col("_m")[i].alias("match"), F.col("_v")[i].alias("value"))
-        return F.struct((begin + F.length(F.col("_m")[i])).alias("at"),
-                        F.concat(s["out"], F.array(item)).alias("out"))
-
-    index = F.when(F.size("_m") > 0, F.sequence(F.lit(0), F.size("_m") - 1)).otherwise(F.array().cast("array<int>"))
-    return df.withColumn(name, F.aggregate(index, start, add, lambda s: s["out"])).drop("_m", "_v", "_g")
+    sizes = F.transform("_m", lambda m, i: F.length(F.get(F.col("_g"), i)) + F.length(m))
+    item = lambda m, i, at: F.struct((F.get(at, i) + F.length(F.get(F.col("_g"), i))).alias("start"), m.alias("match"),
+                                     F.get(F.col("_v"), i).alias("value"))
+    return df.withColumn(name, _let(_before(sizes), lambda at: F.transform("_m", lambda m, i: item(m, i, at)))).drop("_m", "_v", "_g")
 
 
 def _span(start: Column, end: Column, order: int, kind: str) -> Column:
@@ -118,7 +158,10 @@ def window_spans(start: Column, value: Column, order: int, kind: str, alphabet:
     term = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(WINDOW + 2)])
     most = WINDOW * (math.log2(WINDOW) - bits)  # the entropy is log2(W) - sum / W
     zero = F.struct(F.lit(0).alias("i"), F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("s"),
-                    F.array().cast(SPAN).alias("out"))
+                    F.lit(-1).alias("begin"), F.lit(-1).alias("end"), F.array().cast(SPAN).alias("out"))
+
+    def closed(st: Column) -> Column:
+        return F.when(st["end"] < 0, st["out"]).otherwise(F.concat(st["out"], F.array(_span(st["begin"], st["end"], order, kind))))
 
     # the class numbers of the characters, each beside the one that leaves the window
     codes = F.transform(F.split(value, ""), lambda ch: F.instr(F.lit(alphabet), ch))
@@ -135,17 +178,15 @@ def window_spans(start: Column, value: Column, order: int, kind: str, alphabet:
         total = F.when(new == gone, st["s"]).otherwise(
             st["s"] + F.get(term, c_new + 1) - F.get(term, c_new)
             + F.when(gone >= 0, F.get(term, c_old - 1) - F.get(term, c_old)).otherwise(0.0))
-        last = F.element_at(st["out"], -1)
         begin, end = start + i - WINDOW, start + i
         hit = (i >= WINDOW) & (total <= F.lit(most + 1e-9))
-        joined = F.when(
-            (F.size(st["out"]) > 0) & (last["end"] >= begin),
-            F.concat(F.slice(st["out"], F.lit(1), F.size(st["out"]) - 1),
-                     F.array(_span(last["start"], end, order, kind))),
-        ).otherwise(F.concat(st["out"], F.array(_span(begin, end, order, kind))))
-        return F.struct(i.alias("i"), counts.alias("n"), total.alias("s"), F.when(hit, joined).otherwise(st["out"]).alias("out"))
+        opens = hit & (st["end"] < begin)  # a span is added when the next one opens
+        return F.struct(i.alias("i"), counts.alias("n"), total.alias("s"),
+                        F.when(opens, begin).otherwise(st["begin"]).cast("int").alias("begin"),
+                        F.when(hit, end).otherwise(st["end"]).cast("int").alias("end"),
+                        F.when(opens, closed(st)).otherwise(st["out"]).alias("out"))
 
-    return F.aggregate(moves, zero, step, lambda st: st["out"])
+    return F.aggregate(moves, zero, step, closed)
 
 
 def _kept(matches: str, order: int, kind: str, least: int) -> Column:
@@ -161,15 +202,13 @@ def _cut(m: Column, pattern: str) -> Column:
     """The stretches of a run before, between and behind the matches."""
     gaps, found = F.split(m["value"], pattern, -1), F.regexp_extract_all(m["value"], F.lit(pattern), F.lit(0))
     parts = F.arrays_zip(gaps.alias("gap"), found.alias("cut"))
-    start = F.struct(m["start"].cast("int").alias("at"), F.array().cast(_PIECE).alias("out"))
+    size = lambda x: F.length(x["gap"]) + F.coalesce(F.length(x["cut"]), F.lit(0))
 
-    def add(s: Column, part: Column) -> Column:
-        item = F.struct(s["at"].alias("start"), part["gap"].alias("value"))
-        end = s["at"] + F.length(part["gap"]) + F.coalesce(F.length(part["cut"]), F.lit(0))
-        return F.struct(end.alias("at"), F.when(F.length(part["gap"]) >= WINDOW, F.concat(s["out"], F.array(item)))
-                        .otherwise(s["out"]).alias("out"))
+    def pieces(xs: Column, at: Column) -> Column:
+        return F.filter(F.transform(xs, lambda x, i: F.struct((m["start"].cast("int") + F.get(at, i)).alias("start"), x["gap"].alias("value"))),
+                        lambda piece: F.length(piece["value"]) >= WINDOW)
 
-    return F.aggregate(parts, start, add, lambda s: s["out"])
+    return _let(parts, lambda xs: _let(_before(F.transform(xs, size)), lambda at: pieces(xs, at))).cast(_PIECE)
 
 
 def _cut_where(runs: Column, hint: Callable[[Column], Column], pattern: str) -> Column:
@@ -213,10 +252,10 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     digits = _cut_where(F.filter("_runs", lambda m: m["value"].rlike(HEX_STRETCH)), lambda v: F.lit(True), "[^0-9a-fA-F]+")
     df = df.withColumn("_digits", F.filter(digits, lambda m: _mixed(m["value"])))
     df = df.withColumn("_wide", _windowed(F.filter("_runs", lambda m: ~m["value"].rlike(members)), len(KINDS) + 1, kind, alphabet, bits))
-    narrow = F.filter(_windowed(F.col("_digits"), len(KINDS), hex_kind, hex_alphabet, hex_bits),
-                      lambda s: ~F.exists("_wide", lambda w: (w["start"] <= s["start"]) & (s["end"] <= w["end"])))
+    narrow = _none_of(_windowed(F.col("_digits"), len(KINDS), hex_kind, hex_alphabet, hex_bits), F.col("_wide"),
+                      lambda s, start, end: (start <= s["start"]) & (s["end"] <= end))
     spans = F.when(F.size("_runs") > 0, F.concat(narrow, "_wide")).otherwise(none)
-    fresh = F.filter("_all", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    fresh = _none_of(F.col("_all"), F.col("base"), lambda s, start, end: (start < s["end"]) & (s["start"] < end))
     return (df.withColumn("_all", spans).withColumn("added", F.array_sort(fresh))
             .select("doc_id", "base", "added"))
 
