@@ -1,14 +1,22 @@
 """Scalar text and array functions.
 
 All of them return Column expressions, so they run inside whole-stage codegen
-on the JVM; nothing here calls Python per row.
+on the JVM; nothing here calls Python per row but a tokenizer of the user's own
+(:func:`arrow_tokenizer`).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A tokenizer takes a text column and gives an array of strings without
+#: blanks; NULL text gives an empty array.
+Tokenizer = Callable[["str | Column"], Column]
+
 # The word-tokenizer rule is "a run of letters, digits or
 # underscore, or one single character that is neither of those nor
 # whitespace" on lower-cased text.  Written without SQL escaping; it is
@@ -34,6 +42,17 @@ def tokenize(text, pattern: str = WORD_PATTERN) -> Column:
     return F.regexp_extract_all(F.lower(t), F.lit(pattern), 0)
 
 
+def arrow_tokenizer(split: Callable[[list[str]], list[list[str]]]) -> Tokenizer:
+    """a tokenizer from a Python function of many texts, run on Arrow
+    batches.  NULL texts reach it as empty ones; blanks inside its tokens become
+    U+2581, so that n-grams stay unambiguous."""
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([[t.replace(" ", "\u2581") for t in tokens] for tokens in split(texts.tolist())])
+
+    return lambda text: run(F.coalesce(_col(text).cast("string"), F.lit("")))
+
+
 def ngrams(tokens, n: int, sep: str = " ") -> Column:
     """Word n-grams of a token array, each joined with ``sep``.
 

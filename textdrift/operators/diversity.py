@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textdrift.functions.text import heads, last_token, ngrams, tokenize
+from textdrift.functions.text import Tokenizer, heads, last_token, ngrams, tokenize
 
 TOKEN, NGRAM, BIGRAM, CONTEXT, LAST = 0, 1, 2, 3, 4
 
@@ -49,13 +49,13 @@ def _items(tokens: Column, kinds: Sequence[int], n: int) -> Column:
 
 
 def item_counts(records: DataFrame, group_cols: Sequence[str], text_col: str = "generated_text",
-                kinds: Sequence[int] = (TOKEN, NGRAM), n: int = 3) -> DataFrame:
+                kinds: Sequence[int] = (TOKEN, NGRAM), n: int = 3, tokenizer: Tokenizer = tokenize) -> DataFrame:
     """``(group..., kind, item, c)``: occurrences of each item per group.  A
     group without items keeps a row of NULL kind, so it stays in the result."""
     g = list(group_cols)
     # Tokens are materialised in their own projection first: the n-gram
     # lambdas reference the array many times and must not re-run the regex.
-    tokenized = records.select(*g, tokenize(text_col).alias("_tok"))
+    tokenized = records.select(*g, tokenizer(text_col).alias("_tok"))
     exploded = tokenized.select(*g, F.explode_outer(_items(F.col("_tok"), kinds, n)).alias("it"))
     return (exploded.select(*g, F.col("it.kind").alias("kind"), F.col("it.item").alias("item"))
             .groupBy(*g, "kind", "item").agg(F.count(F.lit(1)).alias("c")))
@@ -99,12 +99,12 @@ def high_freq_from_counts(counts: DataFrame, group_cols: Sequence[str],
 
 
 def group_totals(records: DataFrame, group_cols: Sequence[str],
-                 text_col: str = "generated_text") -> DataFrame:
+                 text_col: str = "generated_text", tokenizer: Tokenizer = tokenize) -> DataFrame:
     """``(group..., _n)``: token occurrences per group, summed from the
     token-array size of each text (partial aggregation, one row per group
     leaves each task)."""
     g = list(group_cols)
-    return records.groupBy(*g).agg(F.sum(F.size(tokenize(text_col))).alias("_n"))
+    return records.groupBy(*g).agg(F.sum(F.size(tokenizer(text_col))).alias("_n"))
 
 
 def with_group_totals(counts: DataFrame, group_cols: Sequence[str],
@@ -134,7 +134,7 @@ def high_freq_expr(threshold: float) -> Column:
 
 def ngram_diversity(records: DataFrame, group_cols: Sequence[str], n: int = 3,
                     text_col: str = "generated_text", approximate: bool = False,
-                    rsd: float = 0.01) -> DataFrame:
+                    rsd: float = 0.01, tokenizer: Tokenizer = tokenize) -> DataFrame:
     """A2: number of distinct word n-grams per group (n-grams never cross texts).
 
     ``approximate=True`` uses HyperLogLog++ (``approx_count_distinct``) on
@@ -142,22 +142,22 @@ def ngram_diversity(records: DataFrame, group_cols: Sequence[str], n: int = 3,
     """
     g = list(group_cols)
     if approximate:
-        tokenized = records.select(*g, tokenize(text_col).alias("_tok"))
+        tokenized = records.select(*g, tokenizer(text_col).alias("_tok"))
         grams = tokenized.select(*g, F.explode(ngrams(F.col("_tok"), n)).alias("item"))
         return grams.groupBy(*g).agg(F.approx_count_distinct("item", rsd).alias("diversity"))
-    counts = item_counts(records, g, text_col, kinds=(NGRAM,), n=n)
+    counts = item_counts(records, g, text_col, kinds=(NGRAM,), n=n, tokenizer=tokenizer)
     return counts.groupBy(*g).agg(F.count("kind").alias("diversity"))
 
 
 def ngram_sketches(records: DataFrame, group_cols: Sequence[str], n: int = 3, text_col: str = "generated_text",
-                   lg_k: int = 12) -> DataFrame:
+                   lg_k: int = 12, tokenizer: Tokenizer = tokenize) -> DataFrame:
     """``(group..., sketch)``: a HyperLogLog sketch of each group's distinct
     n-grams, at most 2 ** ``lg_k`` bytes or so, to be stored per batch of
     texts and added up by :func:`merge_sketches`.  A group without n-grams has
     an empty sketch.  Sketches are built in the map stage; a group of any size
     sends one per task."""
     g = list(group_cols)
-    tokenized = records.select(*g, tokenize(text_col).alias("_tok"))
+    tokenized = records.select(*g, tokenizer(text_col).alias("_tok"))
     grams = tokenized.select(*g, F.explode_outer(ngrams(F.col("_tok"), n)).alias("item"))
     return grams.groupBy(*g).agg(F.hll_sketch_agg("item", F.lit(lg_k)).alias("sketch"))
 

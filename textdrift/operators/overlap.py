@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from textdrift.functions.alignment import lcs_length, meteor_pair, prf
 from textdrift.functions.porter import stem as porter_stem
-from textdrift.functions.text import ROUGE_MIN_STEM_LEN, f1, ngrams, rouge_tokens, tokenize
+from textdrift.functions.text import ROUGE_MIN_STEM_LEN, Tokenizer, f1, ngrams, rouge_tokens, tokenize
 from textdrift.session import materialize
 
 PAIR = "pair_id"
@@ -80,7 +80,7 @@ def stem_vocabulary(tokens: DataFrame, col: str = "tok",
 
 
 def pair_tokens(pairs: DataFrame, keys: Sequence[str], stem: bool = False,
-                salt: int = 1) -> DataFrame:
+                salt: int = 1, tokenizer: Tokenizer = rouge_tokens) -> DataFrame:
     """T3 (+T4): long table ``(keys..., side, pos, tok)`` of ROUGE tokens of
     both texts, side ``g`` = generated and ``r`` = reference.
 
@@ -89,8 +89,8 @@ def pair_tokens(pairs: DataFrame, keys: Sequence[str], stem: bool = False,
     word does not load one reducer; results are identical."""
     k = list(keys)
     sides = F.array(
-        F.struct(F.lit("g").alias("side"), rouge_tokens("generated_text").alias("toks")),
-        F.struct(F.lit("r").alias("side"), rouge_tokens("input_text").alias("toks")))
+        F.struct(F.lit("g").alias("side"), tokenizer("generated_text").alias("toks")),
+        F.struct(F.lit("r").alias("side"), tokenizer("input_text").alias("toks")))
     s = pairs.select(*k, F.explode(sides).alias("s")).select(*k, "s.side", "s.toks")
     # outer: a pair whose texts have no tokens keeps a (NULL) row
     long = s.select(*k, "side", F.posexplode_outer("toks").alias("pos", "tok"))
@@ -117,7 +117,7 @@ def side_lengths(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def rouge_n(pairs: DataFrame, keys: Sequence[str], ns: Sequence[int] = (1, 2),
-            stem: bool = False, salt: int = 1) -> DataFrame:
+            stem: bool = False, salt: int = 1, tokenizer: Tokenizer = rouge_tokens) -> DataFrame:
     """A8 for ROUGE-N: per pair precision, recall and F1 for each ``n``.
 
     The n-grams of both texts are tagged with ``n`` and side, exploded once
@@ -125,7 +125,7 @@ def rouge_n(pairs: DataFrame, keys: Sequence[str], ns: Sequence[int] = (1, 2),
     is ``sum(least(c_gen, c_ref))``.
     """
     k = list(keys)
-    arr = token_arrays(pairs, k, stem, salt)
+    arr = token_arrays(pairs, k, stem, salt, tokenizer)
     tagged = [F.array(F.struct(F.lit("m").alias("side"), F.lit(0).alias("n"),
                                F.lit("").alias("gram")))]   # one marker: every pair has a row
     for side, col in (("g", "gen_toks"), ("r", "ref_toks")):
@@ -169,14 +169,14 @@ def _rouge_l_udf(gen: pd.Series, ref: pd.Series) -> pd.DataFrame:
 
 
 def token_arrays(pairs: DataFrame, keys: Sequence[str], stem: bool = False,
-                 salt: int = 1) -> DataFrame:
+                 salt: int = 1, tokenizer: Tokenizer = rouge_tokens) -> DataFrame:
     """Per pair: ``gen_toks`` and ``ref_toks`` ROUGE token arrays; with
     ``stem`` they are rebuilt in order from the stemmed long table."""
     k = list(keys)
     if not stem:
-        return pairs.select(*k, rouge_tokens("generated_text").alias("gen_toks"),
-                            rouge_tokens("input_text").alias("ref_toks"))
-    long = pair_tokens(pairs, k, stem=True, salt=salt)
+        return pairs.select(*k, tokenizer("generated_text").alias("gen_toks"),
+                            tokenizer("input_text").alias("ref_toks"))
+    long = pair_tokens(pairs, k, stem=True, salt=salt, tokenizer=tokenizer)
 
     def side_array(side: str):
         item = F.when((F.col("side") == side) & F.col("tok").isNotNull(), F.struct("pos", "tok"))
@@ -186,11 +186,12 @@ def token_arrays(pairs: DataFrame, keys: Sequence[str], stem: bool = False,
     return arr.select(*k, F.col("g.tok").alias("gen_toks"), F.col("r.tok").alias("ref_toks"))
 
 
-def rouge_l(pairs: DataFrame, keys: Sequence[str], stem: bool = False) -> DataFrame:
+def rouge_l(pairs: DataFrame, keys: Sequence[str], stem: bool = False,
+            tokenizer: Tokenizer = rouge_tokens) -> DataFrame:
     """ROUGE-L precision, recall and F1 per pair from the exact LCS of
     the whole token sequences."""
     k = list(keys)
-    arr = token_arrays(pairs, k, stem)
+    arr = token_arrays(pairs, k, stem, tokenizer=tokenizer)
     s = _rouge_l_udf("gen_toks", "ref_toks")
     return arr.select(*k, s["p"].alias("rougeL_p"), s["r"].alias("rougeL_r"),
                       s["f"].alias("rougeL_f"))
@@ -210,7 +211,8 @@ def _meteor_udf(alpha: float, beta: float, gamma: float, use_stem: bool):
     return udf
 
 
-def word_classes(pairs: DataFrame, keys: Sequence[str], synonyms: DataFrame) -> DataFrame:
+def word_classes(pairs: DataFrame, keys: Sequence[str], synonyms: DataFrame,
+                 tokenizer: Tokenizer = tokenize) -> DataFrame:
     """``(key..., words, classes)``: the words of each pair that stand in
     ``synonyms (word, class)``, with their class; at most its distinct words.
 
@@ -221,14 +223,15 @@ def word_classes(pairs: DataFrame, keys: Sequence[str], synonyms: DataFrame) ->
     k = list(keys)
     table = materialize(synonyms.where(F.col("word").isNotNull() & F.col("class").isNotNull())
                         .groupBy("word").agg(F.min(F.col("class").cast("string")).alias("class")))
-    both = F.array_union(tokenize("generated_text"), tokenize("input_text"))
+    both = F.array_union(tokenizer("generated_text"), tokenizer("input_text"))
     found = pairs.select(*k, F.explode(both).alias("word")).join(table, "word")
     rows = found.groupBy(*k).agg(F.collect_list(F.struct("word", "class")).alias("_found"))
     return rows.select(*k, F.col("_found.word").alias("words"), F.col("_found.class").alias("classes"))
 
 
 def meteor(pairs: DataFrame, keys: Sequence[str], alpha: float = 0.9, beta: float = 3.0,
-           gamma: float = 0.5, stem: bool = True, synonyms: DataFrame | None = None) -> DataFrame:
+           gamma: float = 0.5, stem: bool = True, synonyms: DataFrame | None = None,
+           tokenizer: Tokenizer = tokenize) -> DataFrame:
     """METEOR per pair on word tokens (T1) of lower-cased text:
     exact matches, then Porter-stem matches, then, if a table ``synonyms
     (word, class)`` is given, words of one class.  ``keys`` name a pair."""
@@ -238,10 +241,10 @@ def meteor(pairs: DataFrame, keys: Sequence[str], alpha: float = 0.9, beta: floa
     if synonyms is None:
         rows = pairs.withColumns({"words": none, "classes": none})
     else:
-        own = word_classes(pairs, k, synonyms).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(k)], "words", "classes")
+        own = word_classes(pairs, k, synonyms, tokenizer).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(k)], "words", "classes")
         same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(k)])
         rows = pairs.select(*k, "generated_text", "input_text").join(own, same, "left")
-    return rows.select(*k, u(tokenize("generated_text"), tokenize("input_text"),
+    return rows.select(*k, u(tokenizer("generated_text"), tokenizer("input_text"),
                              F.coalesce("words", none), F.coalesce("classes", none)).alias("meteor"))
 
 
