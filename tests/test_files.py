@@ -67,5 +67,7 @@ def test_run_monitor_writes_alerts(spark):
     d = tempfile.mkdtemp(prefix="td-mon-")
     q = run_monitor(obs, EVENT_RULES, d + "/alerts", d + "/ckpt", available_now=True)
     q.awaitTermination()
-    alerts = spark.read.json(d + "/alerts")
-    assert alerts.count() > 0 and "targets" in alerts.columns
+    alerts = spark.read.parquet(d + "/alerts/alerts")
+    suggestions = spark.read.parquet(d + "/alerts/suggestions")
+    assert alerts.count() > 0 and suggestions.where("target is null").count() == 0
+    assert {r.seq for r in alerts.collect()} == {r.seq for r in suggestions.collect()}
