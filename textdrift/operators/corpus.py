@@ -61,25 +61,34 @@ def pack_blocks(records: DataFrame, block: int = 64, batch_size: int = 1000,
 
     A batch holds at most ``batch_size`` texts, so the running token offset is
     a window over one batch; each text is then sliced at the block borders
-    and its pieces, one row each, are grouped by ``(batch, block)``.
+    and its pieces, one row each, are grouped by ``(batch, block)``, which the
+    window's exchange has brought together already.  All slices of a text are
+    made in one row, so that only its pieces leave it.  The library's own
+    tokens hold no blanks and travel as one string.
     """
-    toks = tokens if tokens is not None else tokenize("generated_text")
+    own = tokens is None
+    toks = F.array_join(tokenize("generated_text"), " ") if own else tokens
+    n = F.when(F.col("toks") == "", 0).otherwise(F.size(F.split("toks", " "))) if own else F.size("toks")
     docs = records.select(F.col(id_col).alias("id"), toks.alias("toks")).withColumn(
-        "batch", F.floor(F.col("id") / batch_size))
+        "batch", F.floor(F.col("id") / batch_size)).withColumn("n", n)
     w = Window.partitionBy("batch").orderBy("id")
-    docs = docs.withColumn("n", F.size("toks")).withColumn(
+    docs = docs.withColumn(
         "offset", F.sum("n").over(w) - F.col("n")).withColumn(
         "batch_total", F.sum("n").over(Window.partitionBy("batch")))
     keep_to = F.when(F.col("batch_total") < block, F.col("batch_total")).otherwise(
         F.floor(F.col("batch_total") / block) * block)
     end = F.least(F.col("offset") + F.col("n"), keep_to)
-    pieces = docs.withColumn("end", end).where("end > offset").withColumn("block", F.explode(F.sequence(
-        F.floor(F.col("offset") / block), F.floor((F.col("end") - 1) / block))))
-    low = F.greatest(F.col("block") * block, F.col("offset"))
-    high = F.least((F.col("block") + 1) * block, F.col("end"))
-    part = F.slice("toks", (low - F.col("offset") + 1).cast("int"), (high - low).cast("int"))
-    blocks = pieces.groupBy("batch", "block").agg(
-        F.array_sort(F.collect_list(F.struct(low.alias("pos"), part.alias("part")))).alias("parts"))
+    docs = docs.withColumn("end", end).where("end > offset").select(
+        "batch", "offset", "end", (F.split("toks", " ") if own else F.col("toks")).alias("toks"))
+
+    def piece(number: Column) -> Column:
+        low, high = F.greatest(number * block, F.col("offset")), F.least((number + 1) * block, F.col("end"))
+        part = F.slice("toks", (low - F.col("offset") + 1).cast("int"), (high - low).cast("int"))
+        return F.struct(number.alias("block"), low.alias("pos"), part.alias("part"))
+
+    numbers = F.sequence(F.floor(F.col("offset") / block), F.floor((F.col("end") - 1) / block))
+    pieces = docs.select("batch", F.inline(F.transform(numbers, piece)))
+    blocks = pieces.groupBy("batch", "block").agg(F.array_sort(F.collect_list(F.struct("pos", "part"))).alias("parts"))
     blocks = blocks.select("batch", "block", F.flatten("parts.part").alias("input_ids"))
     return blocks.select("batch", "block", "input_ids", F.col("input_ids").alias("labels"),
                          F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"))
