@@ -10,6 +10,15 @@ def plan(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_padding_names_no_lambda(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (2, []), (3, ["x"] * 5), (4, None)], "id long, toks array<string>")
+    arr, mask = cp.padded(F.col("toks"), 3)
+    out = df.select("id", arr.alias("a"), mask.alias("m"))
+    assert "lambda" not in plan(out).lower()  # a lambda split the text anew for every place
+    got = {r.id: (r.a, r.m) for r in out.collect()}
+    assert got == {1: (["a", "b", "<pad>"], [1, 1, 0]), 2: (["<pad>"] * 3, [0] * 3), 3: (["x"] * 3, [1] * 3), 4: (None, [0] * 3)}
+
+
 def test_pack_blocks_explodes_pieces_only(spark):
     text = " ".join(f"w{i}" for i in range(150))
     df = spark.createDataFrame([(1, text), (2, None), (3, "a  b!\n" * 5), (1003, "")], "id long, generated_text string")

@@ -156,11 +156,10 @@ def kfold(df: DataFrame, k: int = 3, id_col: str = "id", seed: int = 42) -> Data
 
 def padded(tokens: Column, length: int = 128, pad: str = "<pad>") -> tuple[Column, Column]:
     """T7 for string tokens: ``(padded array, attention mask)``."""
-    t = F.slice(tokens, 1, length)
-    filler = F.array_repeat(F.lit(pad), F.lit(length))
-    arr = F.slice(F.concat(t, filler), 1, length)
-    mask = F.transform(F.sequence(F.lit(1), F.lit(length)),
-                       lambda i: F.when(i <= F.size(t), F.lit(1)).otherwise(F.lit(0)))
+    # the mask by two runs: a lambda would work ``tokens`` out for every place
+    n = F.least(F.greatest(F.coalesce(F.size(tokens), F.lit(0)), F.lit(0)), F.lit(length))
+    arr = F.concat(F.slice(tokens, 1, length), F.array_repeat(F.lit(pad), F.lit(length) - n))
+    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
     return arr, mask
 
 

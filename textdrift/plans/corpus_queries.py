@@ -63,8 +63,9 @@ def q_pack_blocks(spark, sf_dir):
           FROM documents)""")
 def q_pad_tokens(spark, sf_dir):
     """Tokens padded or cut to 128 with an attention mask."""
-    recs = documents_as_records(spark, sf_dir)
-    arr, mask = cp.padded(tokenize("generated_text"), 128)
+    # the tokens stand in a projection of their own, so that each text is split once
+    recs = documents_as_records(spark, sf_dir).select("id", tokenize("generated_text").alias("toks"))
+    arr, mask = cp.padded(F.col("toks"), 128)
     x = recs.select("id", arr.alias("ids"), mask.alias("mask"))
     return x.select("id", F.aggregate("mask", F.lit(0), lambda a, b: a + b).alias("n_real"),
                     F.element_at("ids", 128).alias("last_token"))
