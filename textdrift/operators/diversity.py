@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textdrift.functions.text import Tokenizer, heads, last_token, ngrams, tokenize
+from textdrift.operators.grams import BigramModel, group_counts, text_sums
+from textdrift.session import materialize
 
 TOKEN, NGRAM, BIGRAM, CONTEXT, LAST = 0, 1, 2, 3, 4
 
@@ -138,15 +140,16 @@ def ngram_diversity(records: DataFrame, group_cols: Sequence[str], n: int = 3,
     """A2: number of distinct word n-grams per group (n-grams never cross texts).
 
     ``approximate=True`` uses HyperLogLog++ (``approx_count_distinct``) on
-    the exploded n-grams and skips the exact shuffle of every distinct n-gram.
+    the exploded n-grams and skips the exact shuffle of every distinct n-gram,
+    which goes by 128-bit digests (``operators.grams``).
     """
     g = list(group_cols)
     if approximate:
         tokenized = records.select(*g, tokenizer(text_col).alias("_tok"))
         grams = tokenized.select(*g, F.explode(ngrams(F.col("_tok"), n)).alias("item"))
         return grams.groupBy(*g).agg(F.approx_count_distinct("item", rsd).alias("diversity"))
-    counts = item_counts(records, g, text_col, kinds=(NGRAM,), n=n, tokenizer=tokenizer)
-    return counts.groupBy(*g).agg(F.count("kind").alias("diversity"))
+    tokenized = records.select(*g, tokenizer(text_col).alias("_tok"))
+    return group_counts(tokenized, g, n=n).groupBy(*g).agg(F.coalesce(F.sum("_grams"), F.lit(0)).alias("diversity"))
 
 
 def ngram_sketches(records: DataFrame, group_cols: Sequence[str], n: int = 3, text_col: str = "generated_text",
@@ -158,7 +161,13 @@ def ngram_sketches(records: DataFrame, group_cols: Sequence[str], n: int = 3, te
     sends one per task."""
     g = list(group_cols)
     tokenized = records.select(*g, tokenizer(text_col).alias("_tok"))
-    grams = tokenized.select(*g, F.explode_outer(ngrams(F.col("_tok"), n)).alias("item"))
+    # shifted copies of the tokens side by side: no function call per n-gram
+    parts = [f"_t{i}" for i in range(n)]
+    size = F.greatest(F.size("_tok") - (n - 1), F.lit(0))
+    shifted = F.arrays_zip(*[F.slice("_tok", i + 1, size).alias(c) for i, c in enumerate(parts)])
+    side = tokenized.select(*g, F.inline_outer(shifted)).toDF(*g, *parts)
+    item = F.when(F.coalesce(*parts).isNotNull(), F.concat_ws(" ", *parts))
+    grams = side.select(*g, item.alias("item"))
     return grams.groupBy(*g).agg(F.hll_sketch_agg("item", F.lit(lg_k)).alias("sketch"))
 
 
@@ -234,16 +243,42 @@ def perplexity_aggs(k: float) -> list:
     ]
 
 
-def _log_prob_agg(counts: DataFrame, model: tuple[DataFrame, DataFrame], k: float,
-                  keys: Sequence[str]) -> DataFrame:
+#: A bigram model of at most so many rows is sent to the scored texts; a larger
+#: one is joined to their items by shuffle.
+MODEL_ROWS = 1_000_000
+
+
+def stored_model(reference: DataFrame, k: float, text_col: str = "text") -> tuple[DataFrame, DataFrame, BigramModel | None]:
+    """:func:`bigram_model`, written once, and the model to be sent to the
+    texts, if it is of MODEL_ROWS at most."""
+    table, vocab = bigram_model(reference, text_col)
+    # the contexts stand in the table twice (TOKEN and LAST)
+    table = materialize(table)
+    if table.count() > MODEL_ROWS:
+        return table, vocab, None
+    rows = table.where(F.col("kind") != LAST).collect()  # at most MODEL_ROWS
+    sides = [([r["item"] for r in rows if r["kind"] == kind], [r["tc"] for r in rows if r["kind"] == kind]) for kind in (TOKEN, BIGRAM)]
+    return table, vocab, BigramModel.of(*sides, vocab.first()["V"], k)
+
+
+def _log_prob_agg(records: DataFrame, reference: DataFrame, k: float, keys: Sequence[str],
+                  text_col: str = "generated_text", ref_text_col: str = "text") -> DataFrame:
     """Per key: ``n_bigrams`` and mean negative log-likelihood ``loss``.
 
-    log P(w | v) = log(c(v w) + k) - log(c(v) + k V): bigram rows carry the
-    first term, token and last-token rows the second, so no join key is a hot
-    context word (the count table has one row per key and item)."""
-    table, vocab = model
-    joined = counts.join(table, on=["kind", "item"], how="left").crossJoin(F.broadcast(vocab))
-    agg = joined.groupBy(*keys).agg(*perplexity_aggs(k))
+    log P(w | v) = log(c(v w) + k) - log(c(v) + k V).  A small model is looked
+    up in place, so that a text sends its sums on instead of its items.  With a
+    large one, bigram rows carry the first term, token and last-token rows the
+    second, so no join key is a hot context word (the count table has one row
+    per key and item)."""
+    table, vocab, model = stored_model(reference, k, ref_text_col)
+    if model is not None:
+        tokenized = records.select(*keys, tokenize(text_col).alias("_tok"))
+        sums = text_sums(tokenized, keys, model)
+        agg = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_nb", "_num", "_den")])
+    else:
+        counts = item_counts(records, keys, text_col, kinds=PERPLEXITY_KINDS)
+        joined = counts.join(table, on=["kind", "item"], how="left").crossJoin(F.broadcast(vocab))
+        agg = joined.groupBy(*keys).agg(*perplexity_aggs(k))
     loss = (F.col("_den") - F.col("_num")) / F.col("_nb")
     return agg.select(*keys, F.coalesce("_nb", F.lit(0)).alias("n_bigrams"),
                       F.when(F.col("_nb") > 0, loss).alias("loss"))
@@ -256,8 +291,7 @@ def ngram_perplexity(records: DataFrame, reference: DataFrame, group_cols: Seque
     ``reference``: ``exp(-(1/N) sum log P(w_i | w_{i-1}))`` over the N
     bigrams of the group's texts."""
     g = list(group_cols)
-    counts = item_counts(records, g, text_col, kinds=PERPLEXITY_KINDS)
-    res = _log_prob_agg(counts, bigram_model(reference, ref_text_col), k, g)
+    res = _log_prob_agg(records, reference, k, g, text_col, ref_text_col)
     return res.select(*g, "n_bigrams", F.exp("loss").alias("perplexity"))
 
 
@@ -267,8 +301,7 @@ def text_losses(records: DataFrame, reference: DataFrame, id_col: str = "id",
     """Per-text mean negative log-likelihood ``loss`` and bigram count
     ``n_tokens``: the ``(loss, length)`` table that A5/A6 aggregate."""
     keys = [id_col, *keep_cols]
-    counts = item_counts(records, keys, text_col, kinds=PERPLEXITY_KINDS)
-    res = _log_prob_agg(counts, bigram_model(reference, ref_text_col), k, keys)
+    res = _log_prob_agg(records, reference, k, keys, text_col, ref_text_col)
     # a text without a bigram has no loss
     return res.where("n_bigrams > 0").select(*keys, F.col("n_bigrams").alias("n_tokens"), "loss")
 
