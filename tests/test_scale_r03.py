@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from textdrift.operators import corpus as cp
 from textdrift.operators import diversity as dv
 from textdrift.operators import grams
+from textdrift.operators import overlap as ov
 from textdrift.plans.scoring import score_corpus
 
 
@@ -109,3 +110,18 @@ def test_sketches_of_short_texts(spark):
                                     "id long, run string, generated_text string")
     out = dv.sketch_diversity(dv.ngram_sketches(records, ["run"]), ["run"])
     assert {r.run: r.diversity for r in out.collect()} == {"g": 2, "h": 0, None: 0}
+
+
+PAIRS = [(1, "the cats sat on the mat", "the cat sat on a mat"), (1, "the cats", "running cats"), (2, "", "a"), (None, "a b a", "a b")]
+
+
+def test_rouge_keeps_grams_in_the_pairs_row(spark):
+    pairs = spark.createDataFrame(PAIRS, "pair_id long, generated_text string, input_text string")
+    for stem in (False, True):
+        out = ov.rouge_n(pairs, ["pair_id"], (1, 2), stem=stem)
+        assert "Generate" not in plan(out) and "Join" not in plan(out)  # every n-gram was a row
+        got = {r.pair_id: r for r in out.collect()}
+        assert got.keys() == {1, 2, None}
+        # rows that share their keys count together: 8 words a side
+        assert got[1].rouge1_p == pytest.approx((6 if stem else 5) / 8)
+        assert (got[2].rouge1_f, got[None].rouge1_p, got[None].rouge2_r) == (0.0, pytest.approx(2 / 3), 1.0)
