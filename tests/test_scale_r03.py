@@ -125,3 +125,15 @@ def test_rouge_keeps_grams_in_the_pairs_row(spark):
         # rows that share their keys count together: 8 words a side
         assert got[1].rouge1_p == pytest.approx((6 if stem else 5) / 8)
         assert (got[2].rouge1_f, got[None].rouge1_p, got[None].rouge2_r) == (0.0, pytest.approx(2 / 3), 1.0)
+
+
+def test_op4_scores_by_trigrams(spark, tmp_path):
+    from textdrift.llm import ngram_trie
+    rows = [(i, "a x b" if i % 2 else "c x d") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.score for r in ngram_trie.op4(spark, str(tmp_path)).collect()}
+    by_pairs = {r.doc_id: r.score for r in ngram_trie.score(
+        spark.createDataFrame(rows, "doc_id long, text string"), ngram_trie.learn(
+            spark.createDataFrame(rows, "doc_id long, text string"), order=2)).collect()}
+    # what follows x is settled by the word before it, which pairs do not see
+    assert got[1] > by_pairs[1] + 0.2 and got[2] > by_pairs[2] + 0.2

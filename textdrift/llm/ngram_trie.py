@@ -12,7 +12,8 @@ each further level the (parent, 40-bit word code) pairs of its n-grams.  Both
 are monotone and Elias-Fano coded, as are the counts of level 1 (running sums,
 exact) and the pointers from a node to its children.  Discounted probabilities
 and remaining masses are quantised logarithms, 16 bits each.  A query descends
-by successor search among the children of the node it has reached.
+by successor search among the children of the node it has reached; a text's
+places go down one level at a time, each from the node of its context.
 
 Files.  A shard is one file in the checkpoint folder, written by the task that
 built it under a temporary name and then renamed, so a repeated task does no
@@ -38,6 +39,7 @@ import uuid
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,7 @@ from pyspark.sql import functions as F
 from .common import Hasher, checkpoint_dir, crc_bucket, documents, sources_of, text_or_empty
 from .elias_fano import EliasFano, encode
 
-ORDER = 2
+ORDER = 3
 DISCOUNT = 0.75
 #: Characters of training text per shard, and tokens held at once.
 SHARD_CHARS = 16_000_000
@@ -83,9 +85,9 @@ class Tokens:
     """Token hashes of several texts, each as begin, words, end."""
 
     def __init__(self, texts: list[str], hasher: Hasher) -> None:
-        rows = [[BEGIN, *[hasher[w] for w in t.encode().lower().split()], STOP] for t in texts]
+        rows = [[BEGIN, *map(hasher.__getitem__, t.encode().lower().split()), STOP] for t in texts]
         self.sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.hashes = np.fromiter((h for row in rows for h in row), np.uint64, int(self.sizes.sum()))
+        self.hashes = np.fromiter(chain.from_iterable(rows), np.uint64, int(self.sizes.sum()))
         ends = np.cumsum(self.sizes)
         self.left = np.repeat(ends, self.sizes) - np.arange(len(self.hashes))  # tokens from here to the end
         self.owner = np.repeat(np.arange(len(rows)), self.sizes)
@@ -291,55 +293,41 @@ class Scorer:
         prob = base.copy()
         place = np.arange(len(t.hashes))
         start = place - (np.repeat(np.cumsum(t.sizes) - t.sizes, t.sizes))  # places before, in the text
+        here = node[word]  # of the n-gram of the last level that ends at a place
         for k in range(2, model.order + 1):
             own = np.flatnonzero(start >= k - 1)
-            columns = [word[own - k + 1]] + [word[own - j] for j in range(k - 2, -1, -1)]
-            distinct, back = _numbered(columns, len(words))
-            alpha, mass = self._level(distinct, words, node, k)
-            prob[own] = alpha[back] + mass[back] * prob[own]
+            own = own[here[own - 1] >= 0]  # an unseen context leaves the shorter one's probability
+            here = self._level(t.hashes, own, here, prob, k)
         n = len(texts)
         add = lambda v: np.bincount(t.owner[scored], v[scored], n)
         return (t.sizes - 1, add((count > 0)[word].astype(float)).astype(np.int64), add(np.log10(base)), add(np.log10(prob)))
 
-    def _level(self, grams: list[np.ndarray], words: np.ndarray, node: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Discounted probability of k-grams and the mass their context leaves."""
-        alpha, mass = np.zeros(len(grams[0])), np.ones(len(grams[0]))
-        for shard, at in self._by_shard(words[grams[0]]):
-            here = node[grams[0][at]]
-            for level in range(2, k + 1):
-                if level not in shard.levels:
-                    break
-                nodes, pointers, prob, left = shard.levels[level]
-                ok = here >= 0
-                at, here = at[ok], here[ok]
-                if level == k:
-                    mass[at] = _restored(left[here])
-                has = pointers.get(here + 1) > pointers.get(here)  # a leaf needs no search
-                at, here = at[has], here[has]
-                keys = (here.astype(np.uint64) << _CODE) | _codes(words[grams[level - 1][at]])
-                order = np.argsort(keys, kind="stable")
-                child = np.empty(len(keys), np.int64)
-                child[order] = nodes.find(keys[order])
-                if level == k:
-                    hit = child >= 0
-                    alpha[at[hit]] = _restored(prob[child[hit]])
-                here = child
-        return alpha, mass
-
-
-def _numbered(columns: list[np.ndarray], n: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows of small numbers, sorted, and each row's place in them."""
-    key = columns[0].astype(np.uint64)
-    ids = key
-    for c in columns[1:]:
-        if int(ids.max(initial=0)) * n > 1 << 62:  # keep the combined number in 64 bits
-            ids = np.unique(ids, return_inverse=True)[1].astype(np.uint64)
-        ids = ids * np.uint64(n) + c.astype(np.uint64)
-    _, first, back = np.unique(ids, return_index=True, return_inverse=True)
-    order = np.argsort(columns[0][first], kind="stable")
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    return [c[first][order] for c in columns], place[back]
+    def _level(self, hashes: np.ndarray, own: np.ndarray, before: np.ndarray, prob: np.ndarray, k: int) -> np.ndarray:
+        """Takes ``prob`` at the places ``own`` from order k - 1 to k; the
+        nodes of the k-grams that end at each place.  ``before`` has those of
+        the (k - 1)-grams, so only the last step of a path is searched."""
+        found = np.full(len(hashes), -1, np.int64)
+        numbers = self.model.shard_of(hashes[own - k + 1])
+        order = np.argsort(numbers, kind="stable")
+        own, numbers = own[order], numbers[order]
+        for s in np.unique(numbers).tolist():
+            at = own[slice(*np.searchsorted(numbers, [s, s + 1]))]
+            shard = self.shard(s)
+            if k not in shard.levels:
+                continue
+            nodes, pointers, probs, left = shard.levels[k]
+            context, back = np.unique(before[at - 1], return_inverse=True)
+            prob[at] *= _restored(left[context])[back]
+            has = (pointers.get(context + 1) > pointers.get(context))[back]  # a leaf needs no search
+            at = at[has]
+            keys = (before[at - 1].astype(np.uint64) << _CODE) | _codes(hashes[at])
+            order = np.argsort(keys)
+            at = at[order]
+            child = nodes.find(keys[order])
+            hit = child >= 0
+            prob[at[hit]] += _restored(probs[child[hit]])
+            found[at] = child
+        return found
 
 
 def learn(docs: DataFrame, train: Column | None = None, order: int = ORDER, discount: float = DISCOUNT,
