@@ -137,3 +137,33 @@ def test_op4_scores_by_trigrams(spark, tmp_path):
             spark.createDataFrame(rows, "doc_id long, text string"), order=2)).collect()}
     # what follows x is settled by the word before it, which pairs do not see
     assert got[1] > by_pairs[1] + 0.2 and got[2] > by_pairs[2] + 0.2
+
+
+@pytest.mark.parametrize("idle", [None, 50.0])
+def test_stream_takes_many_keys_a_call(spark, tmp_path, monkeypatch, idle):
+    from textdrift.streaming import monitor as mon
+    monkeypatch.setattr(mon, "BUCKETS", 2)  # a call per key was what took the time
+    rules = mon.MonitorRules()
+    rows = [(i, i * 7 % 40 + 40 * (i // 40) + (200 if i > 300 and i % 3 else 0), i % 11 if i % 13 else None, i % 4, float(i % 5),
+             (i * 37 % 100) / 20, (i * 53 % 100) / 100, (i * 29 % 100) / 500 if i % 9 else None) for i in range(500)]
+    obs = spark.createDataFrame(rows, "event_id long, s long, Run long, Generation int, Perplexity double, Diversity double, "
+                                      "HighFreq double, METEOR double").withColumn("ts", F.timestamp_seconds(F.col("s") + 100_000)).drop("s")
+    for low, high in ((0, 160), (160, 320), (320, 500)):
+        part = obs.where((F.col("event_id") >= low) & (F.col("event_id") < high))
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(obs.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = mon.monitor_stream(stream, rules, key=F.col("Run"), idle_seconds=idle, delay="1000 seconds")
+    q = (out.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/ckpt")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]) <= 2
+    cols = ["monitor_id", "event_id", "seq", "hist_len", "warning_count", "level", "status", "relation_residual", "Diversity_change"]
+    show = lambda df: sorted((tuple(f"{v:.6f}" if isinstance(v, float) else str(v) for v in r) for r in df.collect()))
+    got = spark.read.schema(out.schema).parquet(f"{tmp_path}/out")
+    late = got.where("late").select("monitor_id", "event_id").collect()
+    kept = obs.join(got.where("not late").select("event_id"), "event_id")
+    want = mon.monitor_replay(kept, rules, key=F.col("Run"), idle_seconds=idle)
+    assert len(late) < 100 and got.count() == 500
+    # the replay leaves rows without a key out
+    assert show(got.where("not late and monitor_id is not null").select(*cols)) == show(want.select(*cols))
+    assert got.where("monitor_id is null").count() == 39
