@@ -11,6 +11,9 @@ from __future__ import annotations
 import numpy as np
 
 _ONE = np.uint64(1)
+# Bits of every second bit, pair and half byte, of every byte the lowest and the highest.
+_PAIRS, _FOURS, _EIGHTS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
+_EACH, _TOPS = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
 
 
 def _select_table() -> np.ndarray:
@@ -65,17 +68,21 @@ class EliasFano:
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         """Place of the k-th (from 1) one or zero."""
         before = self.ones if one else self.zeros
+        k = k.astype(before.dtype)  # else the whole directory is cast
         word = np.searchsorted(before, k, "left") - 1
         x = self.bits[word]
         if not one:
             x = ~x
-        r = k - before[word]
-        inside = np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(inside), axis=1, dtype=np.int64)
-        byte = (upto < r[:, None]).sum(axis=1)
-        rows = np.arange(len(word))
-        r = r - np.where(byte > 0, upto[rows, byte - 1], 0)
-        return word * 64 + byte * 8 + _PLACE[inside[rows, byte], r]
+        r = (k - before[word]).astype(np.uint64)
+        # ones up to each byte of a word, side by side in a word
+        s = x - ((x >> _ONE) & _PAIRS)
+        s = (s & _FOURS) + ((s >> np.uint64(2)) & _FOURS)
+        upto = ((s + (s >> np.uint64(4))) & _EIGHTS) * _EACH
+        less = (((r * _EACH - _EACH) | _TOPS) - upto) & _TOPS  # bytes up to which there are fewer than r
+        shift = np.bitwise_count(less).astype(np.uint64) << np.uint64(3)
+        r -= ((upto << np.uint64(8)) >> shift) & np.uint64(255)
+        inside = _PLACE[((x >> shift) & np.uint64(255)).astype(np.int64), r.astype(np.int64)]
+        return word * 64 + shift.astype(np.int64) + inside
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -91,6 +98,19 @@ class EliasFano:
         high = (self._select(i + 1, True) - i).astype(np.uint64)
         return ((high << np.uint64(self.width)) | self._low(i)) + np.uint64(self.base)
 
+    def ends(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Elements at the places ``i`` and at the places after them."""
+        i = np.asarray(i, np.int64)
+        at = self._select(i + 1, True)
+        # the next one mostly lies in the same word
+        rest = self.bits[at >> 6] >> (at & 63).astype(np.uint64) >> _ONE
+        then = at + 1 + np.bitwise_count((rest & (~rest + _ONE)) - _ONE)
+        far = np.flatnonzero(rest == 0)
+        then[far] = self._select(i[far] + 2, True)
+        width, base = np.uint64(self.width), np.uint64(self.base)
+        return ((((at - i).astype(np.uint64) << width) | self._low(i)) + base,
+                (((then - i - 1).astype(np.uint64) << width) | self._low(i + 1)) + base)
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Place of each value, or -1."""
         out = np.full(len(values), -1, np.int64)
@@ -104,23 +124,34 @@ class EliasFano:
         if not len(v):
             return out
         low = v & np.uint64((1 << self.width) - 1)
-        begin = np.zeros(len(v), np.int64)
+        at = np.zeros(len(v), np.int64)
         later = high > 0
-        begin[later] = self._select(high[later], False) - high[later] + 1
-        end = np.full(len(v), self.n, np.int64)
-        more = high < self.top
-        end[more] = self._select(high[more] + 1, False) - high[more]
-        limit = end
-        while len(v):
-            open_ = np.flatnonzero(begin < end)
-            if not len(open_):
-                break
-            mid = (begin[open_] + end[open_]) >> 1
-            less = self._low(mid) < low[open_]
-            begin[open_[less]] = mid[less] + 1
-            end = end.copy()
-            end[open_[~less]] = mid[~less]
-        hit = np.flatnonzero(begin < limit)
-        hit = hit[self._low(begin[hit]) == low[hit]]
-        out[inside[hit]] = begin[hit]
+        at[later] = self._select(high[later], False) + 1
+        begin = at - high
+        # the ones from here on are the elements of this high part
+        off = (at & 63).astype(np.uint64)
+        rest = self.bits[at >> 6] >> off
+        n_ones = np.bitwise_count(rest ^ (rest + _ONE)).astype(np.int64) - 1
+        end = begin + n_ones
+        far = np.flatnonzero(n_ones + off.astype(np.int64) >= 63)  # perhaps beyond the word
+        if len(far):
+            last = high[far] == self.top
+            end[far[last]] = self.n
+            far = far[~last]
+            end[far] = self._select(high[far] + 1, False) - high[far]
+        open_ = np.flatnonzero(begin < end)
+        inside, lo, hi, low = inside[open_], begin[open_], end[open_], low[open_]
+        limit = hi
+        first = lo.copy()
+        todo = np.arange(len(lo))
+        while len(todo):
+            mid = (lo + hi) >> 1
+            less = self._low(mid) < low[todo]
+            lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+            first[todo] = lo
+            still = lo < hi
+            todo, lo, hi = todo[still], lo[still], hi[still]
+        hit = np.flatnonzero(first < limit)
+        hit = hit[self._low(first[hit]) == low[hit]]
+        out[inside[hit]] = first[hit]
         return out

@@ -43,11 +43,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hasher, checkpoint_dir, crc_bucket, documents, sources_of, text_or_empty
+from .common import checkpoint_dir, crc_bucket, documents, sources_of, text_or_empty
 from .elias_fano import EliasFano, encode
 
 ORDER = 3
@@ -81,24 +82,62 @@ def _restored(q: np.ndarray) -> np.ndarray:
     return 10.0 ** (-RANGE * q.astype(np.float64) / 65535)
 
 
-class Tokens:
-    """Token hashes of several texts, each as begin, words, end."""
+def _values(words: pa.LargeStringArray) -> list[bytes]:
+    """``to_pylist`` in bytes; that takes a call per value."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset:words.offset + len(words) + 1].tolist()
+    whole = data.to_pybytes() if data is not None else b""
+    return [whole[a:b] for a, b in zip(at, at[1:])]
+
 
-    def __init__(self, texts: list[str], hasher: Hasher) -> None:
-        rows = [[BEGIN, *map(hasher.__getitem__, t.encode().lower().split()), STOP] for t in texts]
-        self.sizes = np.fromiter(map(len, rows), np.int64, len(rows))
-        self.hashes = np.fromiter(chain.from_iterable(rows), np.uint64, int(self.sizes.sum()))
+class Tokens:
+    """Tokens of several texts, each as begin, words, end: ``words`` has their
+    distinct hashes, sorted, and ``word`` the place of each token's there."""
+
+    def __init__(self, texts: list[str]) -> None:
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array(texts, pa.large_string())))
+        flat, m = lists.flatten(), len(texts)
+        real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+        owner = np.repeat(np.arange(m), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[real]
+        coded = flat.filter(pa.array(real)).dictionary_encode()
+        own = _values(coded.dictionary)
+        hashes = np.fromiter(chain(map(xxhash.xxh64_intdigest, own), (BEGIN, STOP)), np.uint64, len(own) + 2)
+        self.words, place = np.unique(hashes, return_inverse=True)
+        self.sizes = np.bincount(owner, minlength=m) + 2
         ends = np.cumsum(self.sizes)
-        self.left = np.repeat(ends, self.sizes) - np.arange(len(self.hashes))  # tokens from here to the end
-        self.owner = np.repeat(np.arange(len(rows)), self.sizes)
+        self.word = np.empty(int(self.sizes.sum()), np.int64)
+        inner = np.ones(len(self.word), bool)
+        for at, i in ((ends - self.sizes, len(own)), (ends - 1, len(own) + 1)):
+            inner[at] = False
+            self.word[at] = place[i]
+        self.word[inner] = place[coded.indices.to_numpy(zero_copy_only=False)]
+        self.left = np.repeat(ends, self.sizes) - np.arange(len(self.word))  # tokens from here to the end
+        self.owner = np.repeat(np.arange(m), self.sizes)
 
     def after(self, k: int) -> np.ndarray:
-        """The token k places on, PAD beyond the end."""
-        out = np.full(len(self.hashes), PAD, np.uint64)
-        out[:len(out) - k] = self.hashes[k:]
-        out[self.left <= k] = PAD
+        """The place in ``words`` of the token k places on, beyond them after the end."""
+        out = np.full(len(self.word), len(self.words), np.int64)
+        out[:len(out) - k] = self.word[k:]
+        out[self.left <= k] = len(self.words)
         return out
 
+    def ngrams(self, order: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """Distinct n-grams, PAD beyond a text's end, in the order of their
+        first words' hashes, as that hash and the others' codes; their counts."""
+        starts = np.flatnonzero(self.left > 1)  # all but the end token
+        places = [self.word[starts]] + [self.after(k)[starts] for k in range(1, order)]
+        base = len(self.words) + 1
+        if base ** order < 1 << 63:  # one number has them all
+            key = places[0]
+            for p in places[1:]:
+                key = key * base + p
+            key, counts = np.unique(key, return_counts=True)
+            places = [key // base ** (order - 1 - k) % base for k in range(order)]
+        else:
+            places, counts = _distinct(places, np.ones(len(starts), np.int64))
+        codes = _codes(np.append(self.words, np.uint64(PAD)))
+        return [self.words[places[0]]] + [codes[p] for p in places[1:]], counts
+
 
 def _steps(texts: Iterable[str], limit: int = STEP) -> Iterator[list[str]]:
     held, n = [], 0
@@ -223,7 +262,7 @@ class Shard:
     """A memory-mapped shard."""
 
     def __init__(self, path: str) -> None:
-        raw = np.memmap(path, np.uint8, "r")
+        raw = np.asarray(np.memmap(path, np.uint8, "r"))  # a plain view is cheaper to index
         size = int(raw[:8].view(np.uint64)[0])
         index = json.loads(raw[8:8 + size].tobytes())
         start = -(-(8 + size) // 64) * 64
@@ -237,7 +276,8 @@ class Shard:
             level += 1
 
     def count(self, node: np.ndarray) -> np.ndarray:
-        return (self.counts.get(node + 1) - self.counts.get(node)).astype(np.int64)
+        begin, end = self.counts.ends(node)
+        return (end - begin).astype(np.int64)
 
 
 @dataclass
@@ -276,10 +316,10 @@ class Scorer:
                 lo, hi = np.searchsorted(numbers, [s, s + 1])
                 yield self.shard(s), np.arange(lo, hi)
 
-    def score(self, texts: list[str], hasher: Hasher) -> tuple[np.ndarray, ...]:
+    def score(self, texts: list[str]) -> tuple[np.ndarray, ...]:
         """(tokens, known tokens, base score, score) of each text."""
-        model, t = self.model, Tokens(texts, hasher)
-        words, word = np.unique(t.hashes, return_inverse=True)
+        model, t = self.model, Tokens(texts)
+        words, word = t.words, t.word
         node = np.full(len(words), -1, np.int64)
         count = np.zeros(len(words), np.int64)
         for shard, at in self._by_shard(words):
@@ -288,42 +328,50 @@ class Scorer:
             hit = at[found >= 0]
             count[hit] = shard.count(node[hit])
         count[words == np.uint64(STOP)] = model.texts
-        scored = t.hashes != np.uint64(BEGIN)
+        scored = words[word] != np.uint64(BEGIN)
         base = model.unigram(count)[word]
         prob = base.copy()
-        place = np.arange(len(t.hashes))
+        place = np.arange(len(word))
         start = place - (np.repeat(np.cumsum(t.sizes) - t.sizes, t.sizes))  # places before, in the text
+        shards, codes = model.shard_of(words), _codes(words)
         here = node[word]  # of the n-gram of the last level that ends at a place
         for k in range(2, model.order + 1):
             own = np.flatnonzero(start >= k - 1)
             own = own[here[own - 1] >= 0]  # an unseen context leaves the shorter one's probability
-            here = self._level(t.hashes, own, here, prob, k)
+            here = self._level(shards[word[own - k + 1]], codes[word[own]], own, here, prob, k)
         n = len(texts)
         add = lambda v: np.bincount(t.owner[scored], v[scored], n)
         return (t.sizes - 1, add((count > 0)[word].astype(float)).astype(np.int64), add(np.log10(base)), add(np.log10(prob)))
 
-    def _level(self, hashes: np.ndarray, own: np.ndarray, before: np.ndarray, prob: np.ndarray, k: int) -> np.ndarray:
+    def _level(self, numbers: np.ndarray, codes: np.ndarray, own: np.ndarray, before: np.ndarray, prob: np.ndarray,
+               k: int) -> np.ndarray:
         """Takes ``prob`` at the places ``own`` from order k - 1 to k; the
         nodes of the k-grams that end at each place.  ``before`` has those of
-        the (k - 1)-grams, so only the last step of a path is searched."""
-        found = np.full(len(hashes), -1, np.int64)
-        numbers = self.model.shard_of(hashes[own - k + 1])
-        order = np.argsort(numbers, kind="stable")
+        the (k - 1)-grams, so only the last step of a path is searched.
+        ``numbers`` and ``codes`` are the shards and last words of ``own``."""
+        found = np.full(len(before), -1, np.int64)
+        order = np.argsort(numbers.astype(np.uint16) if self.model.bits <= 16 else numbers, kind="stable")
         own, numbers = own[order], numbers[order]
+        keys = (before[own - 1].astype(np.uint64) << _CODE) | codes[order]
         for s in np.unique(numbers).tolist():
-            at = own[slice(*np.searchsorted(numbers, [s, s + 1]))]
+            part = slice(*np.searchsorted(numbers, [s, s + 1]))
             shard = self.shard(s)
             if k not in shard.levels:
                 continue
             nodes, pointers, probs, left = shard.levels[k]
-            context, back = np.unique(before[at - 1], return_inverse=True)
+            order = np.argsort(keys[part])
+            at, key = own[part][order], keys[part][order]
+            parent = (key >> _CODE).astype(np.int64)
+            new = np.ones(len(key), bool)
+            new[1:] = parent[1:] != parent[:-1]
+            context, back = parent[new], np.cumsum(new) - 1
             prob[at] *= _restored(left[context])[back]
-            has = (pointers.get(context + 1) > pointers.get(context))[back]  # a leaf needs no search
-            at = at[has]
-            keys = (before[at - 1].astype(np.uint64) << _CODE) | _codes(hashes[at])
-            order = np.argsort(keys)
-            at = at[order]
-            child = nodes.find(keys[order])
+            begin, end = pointers.ends(context)
+            on = (end > begin)[back]  # a leaf needs no search
+            at, key = at[on], key[on]
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            child = nodes.find(key[new])[np.cumsum(new) - 1]  # each path is searched once
             hit = child >= 0
             prob[at[hit]] += _restored(probs[child[hit]])
             found[at] = child
@@ -343,13 +391,9 @@ def learn(docs: DataFrame, train: Column | None = None, order: int = ORDER, disc
     folder = f"{checkpoint_dir(spark).rstrip('/')}/trie-{uuid.uuid4().hex}"
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher()
         for batch in batches:
             for texts in _steps(batch.column(0).to_pylist(), 4 * STEP):
-                t = Tokens(texts, hasher)
-                starts = t.left > 1  # all but the end token
-                columns = [t.hashes[starts]] + [_codes(t.after(k)[starts]) for k in range(1, order)]
-                columns, counts = _distinct(columns, np.ones(len(columns[0]), np.int64))
+                columns, counts = Tokens(texts).ngrams(order)
                 number = (columns[0] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(counts), np.int64)
                 cut = np.searchsorted(number, np.arange((1 << bits) + 1))
                 for s in range(1 << bits):
@@ -403,9 +447,9 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     rows = sources_of(docs, doc_id, text).select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, hasher = Scorer(model), Hasher()
+        scorer = Scorer(model)
         for batch in batches:
-            parts = [scorer.score(texts, hasher) for texts in _steps(batch.column(1).to_pylist())]
+            parts = [scorer.score(texts) for texts in _steps(batch.column(1).to_pylist())]
             n, known, base, own = (np.concatenate([p[i] for p in parts]) if parts else [] for i in range(4))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()),
