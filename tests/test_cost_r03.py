@@ -2,9 +2,14 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from textdrift.functions.text import spaced, tokenize
 from textdrift.llm import ngram_trie as nt
 from textdrift.llm.elias_fano import EliasFano, encode
+from textdrift.operators import diversity as dv
+from textdrift.operators import grams
+from textdrift.plans.scoring import score_corpus
 
 
 def test_elias_fano_against_plain_search():
@@ -41,3 +46,34 @@ def test_every_path_is_searched_once(spark, monkeypatch, order):
     monkeypatch.setattr(EliasFano, "find", lambda self, values: asked.append(len(values)) or find(self, values))
     nt.Scorer(model).score([text, text])
     assert sum(asked) < 40  # the distinct words and n-grams, not the 6,000 places
+
+
+ODD = ["", None, "  \t", "Ab_1 c!!d\n", "...", "a\x0bb\x0cc\rd\x85e\xa0f\u2003g\u3000h\x1ci", "É\u0301Straße İstanbul ΣΑΣ", "naïve—test «x» $1 \\ $0",
+       "\U0001f600\U0001d400x ٣४ a\u200bb", "日本、語。ok", "\x00\x01z"]
+
+
+def test_spaced_text_splits_into_the_tokens(spark):
+    df = spark.createDataFrame(list(enumerate(ODD)), "id long, text string")
+    rows = df.select("text", tokenize("text").alias("want"), spaced("text").alias("got")).collect()
+    for r in rows:
+        assert [w.decode() for w in r.got.encode().split()] == r.want
+    pieces = df.select("id", spaced("text").alias("t")).orderBy("id").toArrow().column("t").combine_chunks()
+    step = grams.Step(pieces)
+    words = [w for r in rows for w in r.want]
+    assert step.sizes.tolist() == [len(r.want) for r in rows]
+    assert step.each.T.tolist() == grams.digests(words).tolist()
+
+
+def test_scores_match_no_regex_for_every_word(spark):
+    rows = [(i, ["x", None][i % 2], i % 3, t) for i, t in enumerate(ODD * 3)]
+    records = spark.createDataFrame(rows, "id long, run string, generation int, generated_text string")
+    reference = spark.createDataFrame([(1, "a b ok d É . a b")], "id long, text string")
+    lists = records.withColumn("tok", tokenize("generated_text"))
+    for df in (score_corpus(records, reference), dv.ngram_diversity(records, ["run"]), dv.text_losses(records, reference)):
+        assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+    want = {r[0]: (r.n, r.d) for r in lists.groupBy("run").agg(
+        F.sum(F.size("tok")).alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("tok")))).alias("d")).collect()}
+    got = {r.run: (r.n_tokens, r.vocabulary) for r in score_corpus(records, reference, ["run"]).collect()}
+    assert got == want
+    by_lists = dv.ngram_diversity(records, ["run"], tokenizer=lambda c: tokenize(c)).collect()  # as token arrays
+    assert sorted(map(str, dv.ngram_diversity(records, ["run"]).collect())) == sorted(map(str, by_lists))

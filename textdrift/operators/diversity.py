@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textdrift.functions.text import Tokenizer, heads, last_token, ngrams, tokenize
+from textdrift.functions.text import Tokenizer, heads, last_token, ngrams, spaced, tokenize
 from textdrift.operators.grams import BigramModel, group_counts, text_sums
 from textdrift.session import materialize
 
@@ -148,7 +148,8 @@ def ngram_diversity(records: DataFrame, group_cols: Sequence[str], n: int = 3,
         tokenized = records.select(*g, tokenizer(text_col).alias("_tok"))
         grams = tokenized.select(*g, F.explode(ngrams(F.col("_tok"), n)).alias("item"))
         return grams.groupBy(*g).agg(F.approx_count_distinct("item", rsd).alias("diversity"))
-    tokenized = records.select(*g, tokenizer(text_col).alias("_tok"))
+    split = spaced if tokenizer is tokenize else tokenizer
+    tokenized = records.select(*g, split(text_col).alias("_tok"))
     return group_counts(tokenized, g, n=n).groupBy(*g).agg(F.coalesce(F.sum("_grams"), F.lit(0)).alias("diversity"))
 
 
@@ -272,7 +273,7 @@ def _log_prob_agg(records: DataFrame, reference: DataFrame, k: float, keys: Sequ
     per key and item)."""
     table, vocab, model = stored_model(reference, k, ref_text_col)
     if model is not None:
-        tokenized = records.select(*keys, tokenize(text_col).alias("_tok"))
+        tokenized = records.select(*keys, spaced(text_col).alias("_tok"))
         sums = text_sums(tokenized, keys, model)
         agg = sums.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in ("_nb", "_num", "_den")])
     else:

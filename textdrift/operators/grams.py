@@ -1,7 +1,8 @@
 """Distinct n-grams, token counts and bigram log-likelihoods of token arrays, in
 compact form.
 
-Tokens come from Spark as Arrow arrays.  A step of texts becomes numbers: every
+Tokens come from Spark as Arrow arrays, or as a text of tokens between ASCII white
+space (``functions.text.spaced``), which is split here.  A step of texts becomes numbers: every
 distinct token has a 128-bit digest, an n-gram is mixed from its tokens' digests
 into 128 bits as well, so equal digests stand for equal items (among ten
 thousand million different items two meet with a chance below 1e-18).  A step's
@@ -24,9 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Tokens taken at once; a longer text is a step of its own.
-STEP = 1_000_000
-#: A group's digests are dealt into 2 ** SHARD_BITS shards.
-SHARD_BITS = 7
+STEP = 2_000_000
+#: A group's n-gram digests are dealt into 2 ** SHARD_BITS shards, those of its
+#: tokens, of which there are far fewer, into 2 ** TOKEN_BITS.
+SHARD_BITS, TOKEN_BITS = 7, 5
+BLOCK = 1 << 14
 TOKENS, GRAMS, SUMS = 0, 1, 2
 
 _MIX = ((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB))
@@ -39,26 +42,43 @@ _COUNTED = T.StructType([T.StructField("_total", T.LongType()), T.StructField("_
                          T.StructField("_num", T.DoubleType()), T.StructField("_den", T.DoubleType())])
 
 
+def _digested(tokens: Iterable[bytes]) -> np.ndarray:
+    raw = b"".join([hashlib.blake2b(t, digest_size=16).digest() for t in tokens])
+    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+
+
 def digests(tokens: Iterable[str]) -> np.ndarray:
     """128 bits of every token, as two columns."""
-    raw = b"".join(hashlib.blake2b(t.encode(), digest_size=16).digest() for t in tokens)
-    return np.frombuffer(raw, np.uint64).reshape(-1, 2)
+    return _digested(map(str.encode, tokens))
 
 
 def mixed(parts: Sequence[np.ndarray]) -> np.ndarray:
     """Digests of n-grams from their tokens' digests, in order."""
-    out = np.empty((len(parts[0]), 2), np.uint64)
-    for lane, (a, b) in enumerate(_MIX):
-        h = np.full(len(parts[0]), len(parts), np.uint64)
-        for p in parts:
-            h = h * np.uint64(a) + p[:, lane]
-            h ^= h >> np.uint64(32)
-            h *= np.uint64(b)
-            h ^= h >> np.uint64(29)
-        out[:, lane] = h
+    n = len(parts[0])
+    out = np.empty((n, 2), np.uint64)
+    for start in range(0, n, BLOCK):  # a block stays in the cache
+        end = min(n, start + BLOCK)
+        for lane, (a, b) in enumerate(_MIX):
+            h = np.full(end - start, len(parts), np.uint64)
+            for p in parts:
+                h *= np.uint64(a)
+                h += p[start:end, lane]
+                h ^= h >> np.uint64(32)
+                h *= np.uint64(b)
+                h ^= h >> np.uint64(29)
+            out[start:end, lane] = h
     return out
 
 
+def values(words: pa.Array) -> list[bytes]:
+    """``to_pylist`` of texts in bytes; that takes a call per value."""
+    words = words.cast(pa.large_binary())
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64)[words.offset:words.offset + len(words) + 1].tolist() if offsets else [0]
+    whole = data.to_pybytes() if data is not None else b""
+    return [whole[a:b] for a, b in zip(at, at[1:])]
+
+
 @dataclass
 class BigramModel:
     """Counts of an add-k bigram model by digest, sorted: contexts, bigrams."""
@@ -85,49 +105,71 @@ class BigramModel:
         if len(keys):
             first = np.ascontiguousarray(keys[:, 0])
             at = np.minimum(np.searchsorted(first, wanted[:, 0]), len(keys) - 1)
-            hit = (keys[at] == wanted).all(axis=1)
+            hit = np.flatnonzero(first[at] == wanted[:, 0])
+            hit = hit[keys[at[hit], 1] == wanted[hit, 1]]
             out[hit] = counts[at[hit]]
         return out
 
     def _log(self, x: np.ndarray) -> np.ndarray:
         return np.log(x, out=np.zeros(len(x)), where=x > 0)  # Spark's log of 0 is null, which a sum skips
 
-    def context_term(self, tokens: np.ndarray) -> np.ndarray:
-        return self._log(self._looked_up(self.contexts, self.context_counts, tokens) + self.k * self.vocabulary)
+    def seen_contexts(self, tokens: np.ndarray) -> np.ndarray:
+        return self._looked_up(self.contexts, self.context_counts, tokens)
+
+    def context_term(self, counts: np.ndarray) -> np.ndarray:
+        return self._log(counts + self.k * self.vocabulary)
 
-    def bigram_term(self, grams: np.ndarray) -> np.ndarray:
-        return self._log(self._looked_up(self.bigrams, self.bigram_counts, grams) + self.k)
+    def bigram_term(self, grams: np.ndarray, known: bool = True) -> np.ndarray:
+        counts = self._looked_up(self.bigrams, self.bigram_counts, grams) if known else np.zeros(len(grams))
+        return self._log(counts + self.k)
 
 
 class Step:
     """The tokens of some texts as numbers."""
 
-    def __init__(self, lists: pa.Array) -> None:
-        self.sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
+    def __init__(self, tokens: pa.Array) -> None:
+        m = len(tokens)
+        lists = tokens if pa.types.is_list(tokens.type) else pc.ascii_split_whitespace(tokens)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat, self.text = lists.flatten(), np.repeat(np.arange(m), sizes)
+        if lists is not tokens:
+            real = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0  # white space at an end leaves an empty word
+            flat, self.text = flat.filter(pa.array(real)), self.text[real]
+        self.sizes = np.bincount(self.text, minlength=m)
+        coded = flat.dictionary_encode()
         self.code = coded.indices.to_numpy(zero_copy_only=False)
-        self.digest = digests(coded.dictionary.to_pylist())
-        self.text = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.digest = _digested(values(coded.dictionary))
+        self.each = np.take(np.ascontiguousarray(self.digest.T), self.code, axis=1)  # every token's digest
         self.left = np.repeat(np.cumsum(self.sizes), self.sizes) - np.arange(len(self.code))  # tokens to the end of the text
 
+    def starts(self, n: int) -> np.ndarray:
+        return np.flatnonzero(self.left >= n)
+
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Digests of all n-grams and the text of each."""
-        at = np.flatnonzero(self.left >= n)
-        return mixed([self.digest[self.code[at + i]] for i in range(n)]), self.text[at]
+        size, at = max(0, len(self.code) - n + 1), self.starts(n)
+        return mixed([self.each[:, i:i + size].T for i in range(n)])[at], self.text[at]
 
     def sums(self, model: BigramModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: bigrams, sum of log(c(v w) + k), sum of log(c(v) + k V)."""
-        m = len(self.sizes)
-        grams, text = self.grams(2)
-        context = model.context_term(self.digest)[self.code[np.flatnonzero(self.left >= 2)]]
+        m, at = len(self.sizes), self.starts(2)
+        text, code, seen = self.text[at], self.code[at], model.seen_contexts(self.digest)
+        # only a bigram of a context that the model has can be in the model
+        term = np.repeat(model.bigram_term(np.empty((1, 2), np.uint64), known=False), len(at))
+        known = np.flatnonzero((seen > 0)[code])
+        first = at[known]
+        term[known] = model.bigram_term(mixed([self.each[:, first].T, self.each[:, first + 1].T]))
         # bincount of nothing gives whole numbers, whatever the weights
-        return (np.bincount(text, minlength=m).astype(np.int64), np.bincount(text, model.bigram_term(grams), m).astype(float),
-                np.bincount(text, context, m).astype(float))
+        return (np.bincount(text, minlength=m).astype(np.int64), np.bincount(text, term, m).astype(float),
+                np.bincount(text, model.context_term(seen)[code], m).astype(float))
 
 
 def _steps(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch of about STEP tokens."""
-    sizes = pc.fill_null(pc.list_value_length(batch.column(batch.num_columns - 1)), 0).to_numpy(zero_copy_only=False)
+    tokens = batch.column(batch.num_columns - 1)
+    lists = pa.types.is_list(tokens.type)
+    sizes = pc.fill_null(pc.list_value_length(tokens) if lists else pc.binary_length(tokens), 0).to_numpy(zero_copy_only=False)
+    sizes = sizes if lists else sizes // 5  # as words go
     start, held = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if held and held + n > STEP:
@@ -148,18 +190,27 @@ def _grouped(columns: list[pa.Array], rows: int) -> tuple[np.ndarray, np.ndarray
     return first, group
 
 
-def _cells(digest: np.ndarray, group: np.ndarray, n_groups: int, counts: np.ndarray | None = None):
+def _changes(digest: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before."""
+    new = np.ones(len(digest), bool)
+    new[1:] = (digest[1:, 0] != digest[:-1, 0]) | (digest[1:, 1] != digest[:-1, 1])
+    return new
+
+
+def _cells(digest: np.ndarray, group: np.ndarray, n_groups: int, shard_bits: int, counts: np.ndarray | None = None):
     """Distinct digests by cell: (shards, groups, records of all cells, the
     place where each cell starts).  Digests that stay double are told apart
     when the cells are counted."""
-    shard = (digest[:, 0] >> np.uint64(64 - SHARD_BITS)).astype(np.int64)
-    cell = shard * n_groups + group
-    bits = max(1, int((n_groups << SHARD_BITS) - 1).bit_length())
-    key = (cell.astype(np.uint64) << np.uint64(64 - bits)) | ((digest[:, 0] << np.uint64(SHARD_BITS)) >> np.uint64(bits))
+    bits = max(1, int((n_groups << shard_bits) - 1).bit_length())
+    key = digest[:, 0] >> np.uint64(64 - shard_bits)
+    key *= np.uint64(n_groups)
+    key += group.astype(np.uint64)
+    key <<= np.uint64(64 - bits)
+    key |= (digest[:, 0] << np.uint64(shard_bits)) >> np.uint64(bits)
     order = np.argsort(key)
-    cell, digest = cell[order], digest[order]
-    new = np.ones(len(cell), bool)
-    new[1:] = (cell[1:] != cell[:-1]) | (digest[1:] != digest[:-1]).any(axis=1)
+    cell, digest = (key[order] >> np.uint64(64 - bits)).astype(np.int64), digest[order]
+    new = _changes(digest)
+    new[1:] |= cell[1:] != cell[:-1]
     at = np.flatnonzero(new)
     records = digest[at]
     if counts is not None:
@@ -185,10 +236,7 @@ def _distinct(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         members = np.unique(np.concatenate([same, same + 1]))
         inside = order[members]
         order[members] = inside[np.lexsort((records[inside, 1], records[inside, 0]))]
-    by = records[order, :2]
-    new = np.ones(len(by), bool)
-    new[1:] = (by[1:] != by[:-1]).any(axis=1)
-    return order, np.flatnonzero(new)
+    return order, np.flatnonzero(_changes(records[order, :2]))
 
 
 def _schema(df: DataFrame, g: Sequence[str], further: T.StructType) -> T.StructType:
@@ -232,11 +280,11 @@ def group_counts(tokenized: DataFrame, group_cols: Sequence[str], tokens: str =
                 if vocabulary:
                     size = len(step.digest)
                     pairs, counts = np.unique(group[step.text] * size + step.code, return_counts=True)
-                    shards, groups, records, starts = _cells(step.digest[pairs % max(size, 1)], pairs // max(size, 1), m, counts)
+                    shards, groups, records, starts = _cells(step.digest[pairs % max(size, 1)], pairs // max(size, 1), m, TOKEN_BITS, counts)
                     yield out(TOKENS, shards, groups, _binary(records, starts))
                 if n is not None:
                     grams, text = step.grams(n)
-                    shards, groups, records, starts = _cells(grams, group[text], m)
+                    shards, groups, records, starts = _cells(grams, group[text], m, SHARD_BITS)
                     yield out(GRAMS, shards, groups, _binary(records, starts))
 
     def counted(kind: int, parts: list[bytes], nb: int, num: float, den: float) -> list:

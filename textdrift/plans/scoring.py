@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textdrift.functions.text import tokenize
+from textdrift.functions.text import spaced
 from textdrift.operators.diversity import ngram_perplexity, stored_model
 from textdrift.operators.grams import group_counts
 
@@ -33,7 +33,7 @@ def score_corpus(records: DataFrame, reference: DataFrame | None = None,
         _, _, model = stored_model(reference, k, ref_text_col)
         if model is None:  # too large to be sent to the texts
             large = ngram_perplexity(records, reference, g, k, text_col, ref_text_col).drop("n_bigrams")
-    tokenized = records.select(*g, tokenize(text_col).alias("_tok"))
+    tokenized = records.select(*g, spaced(text_col).alias("_tok"))
     cells = group_counts(tokenized, g, n=n, vocabulary=True, model=model, threshold=threshold)
     agg = cells.groupBy(*g).agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(name) for c, name in
