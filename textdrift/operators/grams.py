@@ -249,7 +249,7 @@ def group_counts(tokenized: DataFrame, group_cols: Sequence[str], tokens: str =
     ``_s`` = sum c log2 c, ``_high`` (the counts above ``threshold`` of the
     cell's tokens, which hold all above that share of the group's), ``_grams``
     distinct n-grams, and with a model the sums of :meth:`Step.sums`.  Every
-    group has a row."""
+    group has a row.  ``tokens`` is an array or a spaced text."""
     g = list(group_cols)
     k = len(g)
     rows = tokenized.select(*g, tokens)
