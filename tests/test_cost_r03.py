@@ -77,3 +77,37 @@ def test_scores_match_no_regex_for_every_word(spark):
     assert got == want
     by_lists = dv.ngram_diversity(records, ["run"], tokenizer=lambda c: tokenize(c)).collect()  # as token arrays
     assert sorted(map(str, dv.ngram_diversity(records, ["run"]).collect())) == sorted(map(str, by_lists))
+
+
+def test_cells_hold_eighty_bits_of_a_digest():
+    rng = np.random.default_rng(3)
+    d = rng.integers(0, 1 << 64, (300, 2), np.uint64)
+    d[0], d[1] = (0, 1 << 40), (0, 1 << 41)  # one shard, the first halves meet
+    d = d[rng.integers(0, len(d), 4000)]
+    group, counts = rng.integers(0, 3, len(d)), rng.integers(1, 9, len(d))
+    want = {}
+    for (a, b), g, c in zip(d.tolist(), group.tolist(), counts.tolist()):
+        whole = a << 64 | b
+        cell = want.setdefault((whole >> 121, g), {})
+        cell[whole >> 41 & (1 << 80) - 1] = cell.get(whole >> 41 & (1 << 80) - 1, 0) + c
+    for some, size in ((None, 10), (counts, 14)):
+        shards, groups, records, starts = grams._cells(d, group, 3, 7, some)
+        assert records.nbytes == size * len(records)  # 16 and 24 bytes were shuffled
+        got = {}
+        for s, g, cell in zip(shards.tolist(), groups.tolist(), np.split(records, starts[1:])):
+            kept = got.setdefault((s, g), {})
+            for a, b, *c in cell.tolist():
+                kept[a << 16 | b] = kept.get(a << 16 | b, 0) + (c or [0])[0]
+        assert {k: v.keys() for k, v in got.items()} == {k: v.keys() for k, v in want.items()}
+        assert some is None or got == want
+
+
+def test_digests_alike_in_their_leading_bits_are_told_apart():
+    rng = np.random.default_rng(5)
+    d = np.array([[1 << 63 | i, j] for i in range(3) for j in (0, 7, 1 << 63)], np.uint64)  # places need these trailing bits
+    d = np.concatenate([d, rng.integers(0, 1 << 64, (50, 2), np.uint64)])[rng.integers(0, 59, 3000)]
+    order, starts = grams._distinct(d)
+    runs = np.split(d[order], starts[1:])
+    assert all((r == r[0]).all() for r in runs)
+    assert sorted(tuple(r[0]) for r in runs) == sorted(set(map(tuple, d)))
+    assert len(grams._distinct(np.empty((0, 2), np.uint64))[1]) == 0

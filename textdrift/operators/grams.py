@@ -4,11 +4,13 @@ compact form.
 Tokens come from Spark as Arrow arrays, or as a text of tokens between ASCII white
 space (``functions.text.spaced``), which is split here.  A step of texts becomes numbers: every
 distinct token has a 128-bit digest, an n-gram is mixed from its tokens' digests
-into 128 bits as well, so equal digests stand for equal items (among ten
-thousand million different items two meet with a chance below 1e-18).  A step's
-distinct digests are dealt into cells, (shard, group), of which one row each is
-shuffled; a cell's rows lie together in a sorted partition and are counted one
-cell at a time.  A group of any size is spread over all shards.
+into 128 bits as well.  A step's distinct digests are dealt into cells, (shard,
+group), of which one row each is shuffled; a cell's rows lie together in a
+sorted partition and are counted one cell at a time.  A group of any size is
+spread over all shards.  The shard stands for a digest's first bits; of the rest
+80 are sent.  Equal ones stand for equal items: among ten thousand million
+different n-grams of one group two meet with a chance below 1e-6 (87 bits), of
+tokens below 1e-5 (85 bits).
 """
 
 from __future__ import annotations
@@ -31,6 +33,9 @@ STEP = 2_000_000
 SHARD_BITS, TOKEN_BITS = 7, 5
 BLOCK = 1 << 14
 TOKENS, GRAMS, SUMS = 0, 1, 2
+#: What a cell holds of a digest, and with it of a token's count in the step.
+_SENT = np.dtype([("first", "<u8"), ("second", "<u2")])
+_SENT_COUNT = np.dtype([*_SENT.descr, ("count", "<u4")])
 
 _MIX = ((0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9), (0xC2B2AE3D27D4EB4F, 0x94D049BB133111EB))
 _DIGEST = T.StructType([T.StructField("_kind", T.IntegerType()), T.StructField("_shard", T.IntegerType()),
@@ -55,7 +60,7 @@ def digests(tokens: Iterable[str]) -> np.ndarray:
 def mixed(parts: Sequence[np.ndarray]) -> np.ndarray:
     """Digests of n-grams from their tokens' digests, in order."""
     n = len(parts[0])
-    out = np.empty((n, 2), np.uint64)
+    out = np.empty((2, n), np.uint64)  # half by half
     for start in range(0, n, BLOCK):  # a block stays in the cache
         end = min(n, start + BLOCK)
         for lane, (a, b) in enumerate(_MIX):
@@ -66,8 +71,8 @@ def mixed(parts: Sequence[np.ndarray]) -> np.ndarray:
                 h ^= h >> np.uint64(32)
                 h *= np.uint64(b)
                 h ^= h >> np.uint64(29)
-            out[start:end, lane] = h
-    return out
+            out[lane, start:end] = h
+    return out.T
 
 
 def values(words: pa.Array) -> list[bytes]:
@@ -148,7 +153,7 @@ class Step:
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Digests of all n-grams and the text of each."""
         size, at = max(0, len(self.code) - n + 1), self.starts(n)
-        return mixed([self.each[:, i:i + size].T for i in range(n)])[at], self.text[at]
+        return np.take(mixed([self.each[:, i:i + size].T for i in range(n)]).T, at, axis=1).T, self.text[at]
 
     def sums(self, model: BigramModel) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per text: bigrams, sum of log(c(v w) + k), sum of log(c(v) + k V)."""
@@ -197,46 +202,55 @@ def _changes(digest: np.ndarray) -> np.ndarray:
     return new
 
 
+def _sorted_places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys by their leading bits, those bits): places stand in
+    the trailing ones, as numbers are sorted far faster than places by number."""
+    bits = np.uint64(max(1, (len(key) - 1).bit_length()))
+    key = key >> bits << bits
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    return (key & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.intp), key >> bits
+
+
 def _cells(digest: np.ndarray, group: np.ndarray, n_groups: int, shard_bits: int, counts: np.ndarray | None = None):
     """Distinct digests by cell: (shards, groups, records of all cells, the
     place where each cell starts).  Digests that stay double are told apart
     when the cells are counted."""
     bits = max(1, int((n_groups << shard_bits) - 1).bit_length())
-    key = digest[:, 0] >> np.uint64(64 - shard_bits)
-    key *= np.uint64(n_groups)
-    key += group.astype(np.uint64)
-    key <<= np.uint64(64 - bits)
-    key |= (digest[:, 0] << np.uint64(shard_bits)) >> np.uint64(bits)
-    order = np.argsort(key)
-    cell, digest = (key[order] >> np.uint64(64 - bits)).astype(np.int64), digest[order]
-    new = _changes(digest)
-    new[1:] |= cell[1:] != cell[:-1]
+    first, second = digest[:, 0], digest[:, 1]
+    cell = (first >> np.uint64(64 - shard_bits)) * np.uint64(n_groups)
+    cell += group.astype(np.uint64)
+    order, _ = _sorted_places(cell << np.uint64(64 - bits) | (first << np.uint64(shard_bits)) >> np.uint64(bits))
+    cell, first, second = cell[order].astype(np.int64), first[order], second[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (cell[1:] != cell[:-1])
     at = np.flatnonzero(new)
-    records = digest[at]
-    if counts is not None:
-        summed = np.add.reduceat(counts[order], at) if len(at) else counts[:0]
-        records = np.column_stack([records, summed.astype(np.uint64)])
-    cell = cell[at]
+    first, second, cell = first[at], second[at], cell[at]
+    records = np.empty(len(at), _SENT if counts is None else _SENT_COUNT)
+    records["first"] = first << np.uint64(shard_bits) | second >> np.uint64(64 - shard_bits)  # the shard has the bits before
+    records["second"] = second >> np.uint64(48 - shard_bits) & np.uint64(0xFFFF)
+    if counts is not None and len(at):
+        records["count"] = np.add.reduceat(counts[order], at)
     starts = np.flatnonzero(np.diff(cell, prepend=-1))
-    return cell[starts] // n_groups, cell[starts] % n_groups, np.ascontiguousarray(records), starts
+    return cell[starts] // n_groups, cell[starts] % n_groups, records, starts
 
 
 def _binary(records: np.ndarray, starts: np.ndarray) -> pa.Array:
-    width = records.shape[1] * 8
-    offsets = np.append(starts, len(records)).astype(np.int64) * width
+    offsets = np.append(starts, len(records)).astype(np.int64) * records.itemsize
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(records)]).cast(pa.binary())
 
 
-def _distinct(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(digest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(order, starts of the runs of equal digests)."""
-    order = np.argsort(records[:, 0])
-    first = records[order, 0]
-    same = np.flatnonzero(first[1:] == first[:-1])
-    if len(same):  # order the few runs of an equal first half by the second
-        members = np.unique(np.concatenate([same, same + 1]))
+    order, leading = _sorted_places(digest[:, 0])
+    new = _changes(np.take(digest.T, order, axis=1).T)
+    mixed_up = np.flatnonzero(new[1:] & (leading[1:] == leading[:-1]))
+    if len(mixed_up):  # order the few runs of equal leading bits that hold different digests
+        members = np.flatnonzero(np.isin(leading, leading[mixed_up]))
         inside = order[members]
-        order[members] = inside[np.lexsort((records[inside, 1], records[inside, 0]))]
-    return order, np.flatnonzero(_changes(records[order, :2]))
+        order[members] = inside[np.lexsort((digest[inside, 1], digest[inside, 0]))]
+        new = _changes(np.take(digest.T, order, axis=1).T)
+    return order, np.flatnonzero(new)
 
 
 def _schema(df: DataFrame, g: Sequence[str], further: T.StructType) -> T.StructType:
@@ -291,11 +305,13 @@ def group_counts(tokenized: DataFrame, group_cols: Sequence[str], tokens: str =
         whole = b"".join(parts)
         if kind == SUMS:
             return [0, 0, 0.0, [], 0, nb, num, den]
-        records = np.frombuffer(whole, np.uint64).reshape(-1, 3 if kind == TOKENS else 2)
-        order, starts = _distinct(records)
+        records = np.frombuffer(whole, _SENT_COUNT if kind == TOKENS else _SENT)
+        digest = np.empty((2, len(records)), np.uint64)
+        digest[0], digest[1] = records["first"], records["second"]
+        order, starts = _distinct(digest.T)
         if kind == GRAMS:
             return [0, 0, 0.0, [], len(starts), 0, 0.0, 0.0]
-        c = np.add.reduceat(records[order, 2], starts).astype(np.int64)
+        c = np.add.reduceat(records["count"][order].astype(np.int64), starts)
         total = int(c.sum())
         return [total, len(c), float((c * np.log2(c)).sum()), c[c / total > threshold].tolist(), 0, 0, 0.0, 0.0]
 
