@@ -10,6 +10,9 @@ from __future__ import annotations
 
 import numpy as np
 
+#: Values encoded at once.
+BLOCK = 1 << 18
+
 _ONE = np.uint64(1)
 # Bits of every second bit, pair and half byte, of every byte the lowest and the highest.
 _PAIRS, _FOURS, _EIGHTS = np.uint64(0x5555555555555555), np.uint64(0x3333333333333333), np.uint64(0x0F0F0F0F0F0F0F0F)
@@ -32,26 +35,25 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     """Arrays that hold a non-decreasing uint64 sequence."""
     n = len(values)
     base = int(values[0]) if n else 0
-    v = values - np.uint64(base)
-    span = int(v[-1]) if n else 0
+    span = int(values[-1]) - base if n else 0
     width = max(0, (span // max(1, n)).bit_length() - 1)
     low = np.zeros((n * width >> 6) + 2, np.uint64)
-    if width:
-        part = v & np.uint64((1 << width) - 1)
-        at = np.arange(n, dtype=np.uint64) * np.uint64(width)
-        word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
-        # neighbours share words, so they are combined word by word
-        first = np.flatnonzero(np.diff(word, prepend=-1))
-        if n:
+    bits = np.zeros(((span >> width) + n + 1 if n else 2) + 63 >> 6, np.uint64)
+    for start in range(0, n, BLOCK):  # neighbours share words, blocks too, so they are combined word by word
+        v = values[start:start + BLOCK] - np.uint64(base)
+        place = np.arange(start, start + len(v))
+        if width:
+            part = v & np.uint64((1 << width) - 1)
+            at = place.astype(np.uint64) * np.uint64(width)
+            word, off = (at >> np.uint64(6)).astype(np.int64), at & np.uint64(63)
+            first = np.flatnonzero(np.diff(word, prepend=-1))
             low[word[first]] |= np.bitwise_or.reduceat(part << off, first)
             over = off + np.uint64(width) > np.uint64(64)
             low[word[over] + 1] |= part[over] >> (np.uint64(64) - off[over])
-    high = (v >> np.uint64(width)).astype(np.int64) + np.arange(n)
-    bits = np.zeros((int(high[-1]) + 2 if n else 2) + 63 >> 6, np.uint64)
-    if n:
+        high = (v >> np.uint64(width)).astype(np.int64) + place
         word = high >> 6
         first = np.flatnonzero(np.diff(word, prepend=-1))
-        bits[word[first]] = np.bitwise_or.reduceat(_ONE << (high & 63).astype(np.uint64), first)
+        bits[word[first]] |= np.bitwise_or.reduceat(_ONE << (high & 63).astype(np.uint64), first)
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)])
     return {"head": np.array([n, width, base, span >> width], np.uint64), "low": low, "bits": bits, "ones": ones.astype(np.uint32)}
 
