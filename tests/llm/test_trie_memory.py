@@ -4,9 +4,11 @@ import glob
 import os
 import tracemalloc
 
+import numpy as np
 import pytest
 
 from textdrift.llm import ngram_trie
+from textdrift.llm.elias_fano import EliasFano, encode
 
 
 def test_a_counting_step_holds_few_bytes_a_token():
@@ -35,3 +37,19 @@ def test_a_frequent_words_successors_lie_in_several_shards(spark, order):
     for r in ngram_trie.score(docs, whole).collect():
         assert (got[r.doc_id].n_known, got[r.doc_id].base_score) == (101, r.base_score)
         assert got[r.doc_id].score == pytest.approx(r.score, abs=2e-4 * 101)
+
+
+def test_an_open_shard_takes_no_memory_for_its_nodes(tmp_path):
+    # a directory of the zeros, a quarter of a byte a node, was made anew for every shard that a task opened
+    parts = encode(np.arange(1 << 20, dtype=np.uint64) * np.uint64(1000))
+    for name, a in parts.items():
+        a.tofile(tmp_path / name)
+    mapped = {name: np.memmap(tmp_path / name, a.dtype, "r") for name, a in parts.items()}
+    tracemalloc.start()
+    try:
+        series = EliasFano(mapped)
+        taken = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert taken < 10_000
+    assert series.find(np.array([0, 999, 1000, 1000 * ((1 << 20) - 1)], np.uint64)).tolist() == [0, -1, 1, (1 << 20) - 1]

@@ -55,14 +55,13 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
         first = np.flatnonzero(np.diff(word, prepend=-1))
         bits[word[first]] |= np.bitwise_or.reduceat(_ONE << (high & 63).astype(np.uint64), first)
     ones = np.concatenate([[0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)])
-    return {"head": np.array([n, width, base, span >> width], np.uint64), "low": low, "bits": bits, "ones": ones.astype(np.uint32)}
+    return {"head": np.array([n, width, base, span >> width], np.uint64), "low": low, "bits": bits, "ones": ones.astype(np.uint32), "zeros": (np.arange(len(ones)) * 64 - ones).astype(np.uint32)}
 
 
 class EliasFano:
     def __init__(self, parts: dict[str, np.ndarray]) -> None:
         self.n, self.width, self.base, self.top = (int(x) for x in parts["head"])
-        self.low, self.bits, self.ones = parts["low"], parts["bits"], parts["ones"]
-        self.zeros = np.arange(len(self.ones), dtype=np.int64) * 64 - self.ones
+        self.low, self.bits, self.ones, self.zeros = (parts[k] for k in ("low", "bits", "ones", "zeros"))
 
     def __len__(self) -> int:
         return self.n

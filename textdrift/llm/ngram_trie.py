@@ -367,7 +367,7 @@ class Shard:
         index = json.loads(raw[8:8 + size].tobytes())
         start = -(-(8 + size) // 64) * 64
         a = {name: raw[start + at:start + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in index.items()}
-        series = lambda name: EliasFano({k: a[f"{name}.{k}"] for k in ("head", "low", "bits", "ones")})
+        series = lambda name: EliasFano({k: a[f"{name}.{k}"] for k in ("head", "low", "bits", "ones", "zeros")})
         self.words, self.counts = series("words"), series("counts")
         self.levels = {}
         level = 2
